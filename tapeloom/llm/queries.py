@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, packing, runs, terms
-from tapeloom.shared import table
+from tapeloom.llm import bpe, neardup, packing, runs, spans, terms
+from tapeloom.shared import stripped, table
 
 SUMMARY_COMMON = 0.4
 LABEL_COMMON = 0.1
@@ -25,6 +25,38 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return p1_terms(spark, root).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
 
 
+SPAN_FIELDS = (
+    ("summary", "summary_record", "delivery_id"),
+    ("attempt_n_code", "validated_candidate", "candidate_id"),
+)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Records with a span of at least 160 characters that stands in another record's text."""
+    parts = []
+    for field, source, row_id in SPAN_FIELDS:
+        rows = table(spark, root, source)
+        sharing = spans.sharing_rows(rows, row_id, "custom_id", field)
+        ids = rows.select(F.col(row_id).cast("bigint").alias("id"), stripped(F.col("custom_id")).alias("custom_id"))
+        parts.append(
+            ids.join(sharing, "id", "left_semi").select(F.lit(field).alias("field_name"), "custom_id").distinct()
+        )
+    return parts[0].unionByName(parts[1])
+
+
+def p2_shared_chars(spark: SparkSession, root: str) -> DataFrame:
+    """Every record's number of characters, and of those in spans shared with other records."""
+    parts = [
+        spans.shared_characters(table(spark, root, source), row_id, "custom_id", field).select(
+            F.lit(field).alias("field_name"),
+            F.col("record").alias("custom_id"),
+            "n_texts", "n_chars", "shared_chars", "shared_spans",
+        )
+        for field, source, row_id in SPAN_FIELDS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Runs of at least 5 events of one raw_type, and of at least 3 equal inserted texts."""
     raw = runs.raw_type_runs(table(spark, root, "raw_trace_event"), min_run=5)
@@ -51,6 +83,35 @@ def p3_collapsed_texts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+CODE_FIELDS = ("attempt_n_code", "attempt_n1_code")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of candidates whose programs share three quarters of their words."""
+    candidates = table(spark, root, "validated_candidate")
+    parts = [
+        neardup.near_duplicate_rows(candidates, "candidate_id", field).select(
+            F.lit(field).alias("field_name"),
+            F.col("id_a").alias("candidate_id_a"),
+            F.col("id_b").alias("candidate_id_b"),
+        )
+        for field in CODE_FIELDS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_links(spark: SparkSession, root: str) -> DataFrame:
+    """Every program's class of copies and the number of classes that differ from it by small edits."""
+    candidates = table(spark, root, "validated_candidate")
+    parts = [
+        neardup.near_duplicate_links(candidates, "candidate_id", field).select(
+            F.lit(field).alias("field_name"), F.col("id").alias("candidate_id"), "class_id", "copies", "links"
+        )
+        for field in CODE_FIELDS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     """The token ids of every document."""
     return bpe.encoded(table(spark, root, "documents")).select("doc_id", "ids")
@@ -63,7 +124,10 @@ def p8_containers(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_terms, p3_found, p3_collapsed_types, p3_collapsed_texts, p7_ids, p8_containers)
+    for f in (
+        p1_found, p1_terms, p2_found, p2_shared_chars, p3_found, p3_collapsed_types, p3_collapsed_texts,
+        p4_found, p4_links, p7_ids, p8_containers,
+    )
 }
 
 _STRIP = r"regexp_replace({}, '^[\s\x{{A0}}\x{{85}}]+|[\s\x{{A0}}\x{{85}}]+$', '', 'g')"

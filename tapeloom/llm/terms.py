@@ -101,18 +101,13 @@ def term_frequencies(
     return runs.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def marked(frequencies: DataFrame, n_records: DataFrame, rare_at_most: int = 2, common_above: float = 0.4) -> DataFrame:
-    """`frequencies` with share of records and `mark`: rare, common, or null between them.
-
-    `n_records` is one row with one column, the number of records of the collection.
-    """
-    total = n_records.toDF("n_total")
-    joined = frequencies.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
+def marked(frequencies: DataFrame, n_records: int, rare_at_most: int = 2, common_above: float = 0.4) -> DataFrame:
+    """`frequencies` with the share of the `n_records` records, and `mark`: rare, common, or null between them."""
     mark = F.when(F.col("records") <= rare_at_most, "rare").when(
-        F.col("records") > F.lit(common_above) * F.col("n_total"), "common"
+        F.col("records") > common_above * n_records, "common"
     )
-    share = F.col("records") / F.col("n_total")
-    return joined.select("term", "occurrences", "records", share.alias("record_share"), mark.alias("mark"))
+    share = F.col("records") / F.lit(max(n_records, 1))
+    return frequencies.select("term", "occurrences", "records", share.alias("record_share"), mark.alias("mark"))
 
 
 def field_terms(
@@ -129,6 +124,6 @@ def field_terms(
     a null text still count for the number of records.
     """
     keyed = rows.select(stripped(F.col(record)).alias("r"), F.col(field).alias("x")).where(F.col("r").isNotNull())
-    total = keyed.agg(F.count_distinct("r"))
+    total = keyed.agg(F.count_distinct("r")).first()[0]  # one number
     found = marked(term_frequencies(keyed, "r", "x", terms_of), total, rare_at_most, common_above)
     return found.select(F.lit(field).alias("field_name"), *found.columns)
