@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, neardup, packing, runs, spans, terms
+from tapeloom.llm import abuse, bpe, neardup, packing, runs, spans, terms
 from tapeloom.shared import stripped, table
 
 SUMMARY_COMMON = 0.4
@@ -122,11 +122,31 @@ def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.packed_documents(table(spark, root, "documents"))
 
 
+def _scores(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents")
+    return abuse.scored(documents, abuse.trained(documents, table(spark, root, "review_label")))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content."""
+    return _scores(spark, root).where("flagged").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's score for such content."""
+    return _scores(spark, root).select("doc_id", "score", "flagged")
+
+
+def p9_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Every source's rate of such content."""
+    return abuse.rates(table(spark, root, "documents"), _scores(spark, root))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_terms, p2_found, p2_shared_chars, p3_found, p3_collapsed_types, p3_collapsed_texts,
-        p4_found, p4_links, p7_ids, p8_containers,
+        p4_found, p4_links, p7_ids, p8_containers, p9_found, p9_scores, p9_rates,
     )
 }
 
