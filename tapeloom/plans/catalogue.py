@@ -1,6 +1,6 @@
 """The modules whose queries the driver runs."""
 
-from tapeloom.plans import delivery_and_sessions
+from tapeloom.plans import delivery_and_sessions, scalars
 
 FLAGSHIP = "p6_sessions"
-MODULES = [delivery_and_sessions]
+MODULES = [delivery_and_sessions, scalars]
