@@ -81,7 +81,7 @@ def type_token_ratio(tokens: Column) -> Column:
 
 def clauses(c: Column) -> Column:
     """Parts of a text between `;`, `,`, `.` or the word and."""
-    return F.filter(F.transform(F.split(F.lower(c), r"[;,.]|\band\b"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.lower(c), r"[;,.]|\band\b"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def clause_counts(c: Column, kinds: dict[str, list[str]] | None = None) -> Column:

@@ -1,6 +1,6 @@
 """The modules whose queries the driver runs."""
 
-from tapeloom.plans import delivery_and_sessions, scalars
+from tapeloom.plans import delivery_and_sessions, scalars, sequences, studies
 
-FLAGSHIP = "p6_sessions"
-MODULES = [delivery_and_sessions, scalars]
+FLAGSHIP = "motif_lift"
+MODULES = [delivery_and_sessions, scalars, sequences, studies]
