@@ -101,7 +101,7 @@ def sign_flip(contribution: DataFrame, order: list[str], samples: int = 10_000,
     exact = n <= EXACT_FLIPS
     total = 1 << n if exact else samples
     rows = spark.range(total).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("i"))
-    bit = F.shiftright("b", F.col("i").cast("int")).bitwiseAND(1) if exact else draw(seed, F.col("b"), F.col("i"), F.lit(2))
+    bit = F.expr("shiftright(b, CAST(i AS INT)) & 1") if exact else draw(seed, F.col("b"), F.col("i"), F.lit(2))
     flipped = rows.withColumn("g", F.when(bit == 1, -1.0).otherwise(1.0)).join(numbered, "i").groupBy("b").agg(F.sum(F.col("g") * F.col("c")).alias("x"))
     hits = F.count_if(F.abs("x") + 1e-12 >= abs(observed or 0.0))
     p = hits / total if exact else (hits + 1) / (total + 1)

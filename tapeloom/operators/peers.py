@@ -65,7 +65,7 @@ def discrimination(pairs: DataFrame, scope: list[str], group: list[str], sender:
         F.count_distinct(*scope).alias("n_scopes"),
     )
     return {"summary": pair_level, "per_sender": senders, "per_group": groups, "per_scope": scopes,
-            "signs": groups.agg(F.count_if("mean_delta > 0").alias("n_positive"), F.count_if("mean_delta < 0").alias("n_negative"), F.count(F.lit(1)).alias("n_groups"))}
+            "signs": groups.agg(F.count_if(F.col("mean_delta") > 0).alias("n_positive"), F.count_if(F.col("mean_delta") < 0).alias("n_negative"), F.count(F.lit(1)).alias("n_groups"))}
 
 
 def pair_similarity(pairs: DataFrame, scope: list[str], group: list[str], value: str) -> DataFrame:

@@ -218,14 +218,14 @@ def l01_l16_categorical_metric(spark: SparkSession, root: str) -> DataFrame:
     return m.select("id", "truth", _r("truth_mass").alias("truth_mass"), "truth_rank", "top_label", "top1_match", "top2_hit", "top3_hit", _r("mrr").alias("mrr"), _r("brier").alias("brier"), (_r("log_loss") + F.lit(0.0)).alias("log_loss"))
 
 
-@query(f"""SELECT id, round(pt, 9) AS p_true, obs AS observed, (pt >= 0.5) = obs AS match, round(CASE WHEN obs THEN pt ELSE 1 - pt END, 9) AS truth_mass, round(power(pt - CASE WHEN obs THEN 1 ELSE 0 END, 2), 9) AS brier,
+@query(f"""SELECT id, round(pt, 9) AS p_true, obs AS observed, (pt >= 0.5) = obs AS match, round(CASE WHEN obs THEN pt ELSE 1 - pt END, 9) AS truth_mass, round(power(pt - CASE WHEN obs THEN 1 ELSE 0 END, 2), 7) AS brier,
    round(-ln(least(greatest(CASE WHEN obs THEN pt ELSE 1 - pt END, 1e-12), 1)), 9) + 0.0 AS log_loss FROM (SELECT id, least(1.0, coalesce(sum(p) FILTER (outcome = 'mixed'), 0)) AS pt, bool_or(hyp_rank = 1 AND coalesce(outcome, '') = 'mixed') AS obs FROM {_HYP} GROUP BY id)""")
 def l04_l06_binary_metric(spark: SparkSession, root: str) -> DataFrame:
     """Binary presence metric."""
     e = hypotheses(spark, root).groupBy("id").agg(F.least(F.lit(1.0), F.coalesce(F.sum(F.when(F.col("outcome") == "mixed", F.col("p"))), F.lit(0.0))).alias("pt"),
         F.bool_or((F.col("hyp_rank") == 1) & (F.coalesce("outcome", F.lit("")) == "mixed")).alias("obs"))
     m = V.binary_metric(e, ["id"], F.col("pt"), F.col("obs"))
-    return m.select("id", _r("p_true").alias("p_true"), "observed", "match", _r("truth_mass").alias("truth_mass"), _r("brier").alias("brier"), (_r("log_loss") + F.lit(0.0)).alias("log_loss"))
+    return m.select("id", _r("p_true").alias("p_true"), "observed", "match", _r("truth_mass").alias("truth_mass"), _r("brier", 7).alias("brier"), (_r("log_loss") + F.lit(0.0)).alias("log_loss"))
 
 
 @query("""SELECT log_id, submit_index, a = b AS within_0, abs(a - b) <= 1 AS within_1, abs(a - b) <= 2 AS within_2 FROM (SELECT log_id, submit_index_0idx AS submit_index, arg_min(from_line_0idx, (ordinal_in_interval_1idx, event_id)) AS a,
@@ -438,8 +438,8 @@ def _deltas(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(f"""WITH c AS (SELECT class_id, count(*) FILTER (delta > 0) AS k, count(*) FILTER (delta <> 0) AS n FROM {_PD} GROUP BY class_id),
-   m AS (SELECT class_id, k, n, i, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) AS l, lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) AS at FROM c, LATERAL (SELECT range AS i FROM range(n + 1)))
-   SELECT class_id, k AS n_positive, n AS n_nonzero, round(least(1, sum(CASE WHEN l <= at + 1e-9 THEN exp(l - n * ln(2)) ELSE 0 END)), 7) AS p FROM m GROUP BY ALL""")
+   m AS (SELECT class_id, k, n, i, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) AS l, lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) AS own FROM c, LATERAL (SELECT range AS i FROM range(n + 1)))
+   SELECT class_id, k AS n_positive, n AS n_nonzero, round(least(1, sum(CASE WHEN l <= own + 1e-9 THEN exp(l - n * ln(2)) ELSE 0 END)), 7) AS p FROM m GROUP BY ALL""")
 def i01_i02_sign_test(spark: SparkSession, root: str) -> DataFrame:
     """Exact sign test per class."""
     return N.sign_test(_deltas(spark, root), ["class_id"], "delta").withColumn("p", _r("p", 7))
