@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import ast
 import math
+import os
 import re
 from collections import Counter
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -133,21 +135,28 @@ def _f1(p: float, r: float) -> float:
     return 2 * p * r / (p + r) if p + r else 0.0
 
 
+@lru_cache(maxsize=8192)
 def distance(a: str, b: str) -> int:
-    """Edit distance by rows of numpy."""
-    if a == b:
-        return 0
-    x = np.frombuffer(a.encode("utf-32-le"), dtype="<u4")
-    y = np.frombuffer(b.encode("utf-32-le"), dtype="<u4")
-    if len(x) < len(y):
-        x, y = y, x
-    place = np.arange(len(y) + 1)
-    row = place.copy()
-    for k, c in enumerate(x, 1):
-        step = np.minimum(row[1:] + 1, row[:-1] + (y != c))
-        # deletions along the row: a running minimum of value minus place
-        row = np.minimum.accumulate(np.concatenate([[k], step]) - place) + place
-    return int(row[-1])
+    """Edit distance: a column of the table at a time, as two bit vectors of the places where it rises and falls."""
+    head = len(os.path.commonprefix((a, b)))
+    a, b = a[head:], b[head:]
+    tail = len(os.path.commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return len(a) or len(b)
+    where: dict[str, int] = {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    rise, fall, total = full, 0, len(a)
+    for c in b:
+        same = where.get(c, 0)
+        diagonal = ((same & rise) + rise) ^ rise | same | fall
+        up, down = fall | ~(diagonal | rise) & full, rise & diagonal
+        total += bool(up & last) - bool(down & last)
+        up, down = up << 1 | 1, down << 1
+        rise, fall = (down | ~(diagonal | up)) & full, up & diagonal & full
+    return total
 
 
 def footprint(predicted: list[Hunk], observed: list[Hunk]) -> tuple[float, float, float]:
@@ -236,6 +245,7 @@ def path_scores(predicted: list[dict], observed: list[dict], radius: int = 1) ->
     )))
 
 
+@lru_cache(maxsize=8192)
 def token_ratio(a: str, b: str) -> float:
     """Ratcliff-Obershelp similarity of the tokens."""
     return SequenceMatcher(None, tokens(narrow(a)), tokens(narrow(b)), autojunk=False).ratio()

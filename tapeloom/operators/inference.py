@@ -38,7 +38,7 @@ def quantile(c: Column | str, q: float, kind: str = "linear") -> Column:
 
 def draw(seed: int, b: Column, i: Column, n: Column) -> Column:
     """A number in [0, n) from the first 8 digits of the md5 of `seed:b:i`."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), b, i)), 1, 8), 16, 10).cast("bigint") % n
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), b, i)), 1, 8), 16, 10).cast("bigint") % F.greatest(n, F.lit(1))
 
 
 def cluster_sums(pairs: DataFrame, cluster: list[str], value: str) -> DataFrame:
@@ -137,9 +137,9 @@ def sign_test_p(positives: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def sign_test(rows: DataFrame, keys: list[str], delta: str) -> DataFrame:
-    """(keys, n_positive, n_nonzero, p): zeros and nulls don't count."""
+    """(keys, n_positive, n_nonzero, p): zeros and nulls don't count; NaN where nothing is left."""
     counted = rows.groupBy(*keys).agg(F.count_if(F.col(delta) > 0).alias("n_positive"), F.count_if(F.col(delta) != 0).alias("n_nonzero"))
-    return counted.withColumn("p", sign_test_p("n_positive", "n_nonzero"))
+    return counted.withColumn("p", F.coalesce(sign_test_p("n_positive", "n_nonzero"), F.lit(math.nan)))  # Arrow makes NaN null
 
 
 def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:

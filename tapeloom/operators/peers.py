@@ -61,7 +61,7 @@ def discrimination(pairs: DataFrame, scope: list[str], group: list[str], sender:
     pair_level = scored.agg(
         F.count(F.lit(1)).alias("n_pairs"), F.avg(own).alias("mean_self"), F.avg(other).alias("mean_other"),
         F.avg("delta").alias("mean_delta"), F.median("delta").alias("median_delta"),
-        ((F.count_if(F.col("delta") > 0) + 0.5 * F.count_if(F.col("delta") == 0)) / F.count(F.lit(1))).alias("auc"),
+        F.try_divide(F.count_if(F.col("delta") > 0) + 0.5 * F.count_if(F.col("delta") == 0), F.count(F.lit(1))).alias("auc"),
         F.count_distinct(*scope).alias("n_scopes"),
     )
     return {"summary": pair_level, "per_sender": senders, "per_group": groups, "per_scope": scopes,
