@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.shared import beside
+
 EXACT_FLIPS = 20
 
 
@@ -74,7 +76,7 @@ def cluster_bootstrap(clusters: DataFrame, order: list[str], samples: int = 10_0
         F.percentile("theta", 0.025).alias("low"), F.percentile("theta", 0.975).alias("high"),
         F.avg((F.col("theta") > 0).cast("double")).alias("share_positive"),
     )
-    return seen.join(boot)
+    return beside(seen, boot)
 
 
 def over_collapse_clusters(twin_l: DataFrame, real_l: DataFrame, twin_r: DataFrame, real_r: DataFrame, cluster: list[str], value: str) -> DataFrame:
@@ -115,7 +117,7 @@ def paired_bootstrap(pairs: DataFrame, delta: str, order: list[str], samples: in
     sums = sums.withColumn("sr", F.lit(0.0)).withColumn("nr", F.lit(1))
     boot = bootstrap_means(sums, keys, samples, seed)
     mean = sums.agg((F.sum("sl") / F.sum("nl")).alias("mean"))
-    return mean.join(boot.agg(quantile("theta", 0.025, "floor_index").alias("low"), quantile("theta", 0.975, "floor_index").alias("high")))
+    return beside(mean, boot.agg(quantile("theta", 0.025, "floor_index").alias("low"), quantile("theta", 0.975, "floor_index").alias("high")))
 
 
 def _log_choose(n: int, k: int) -> float:

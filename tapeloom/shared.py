@@ -59,3 +59,11 @@ def tasks(spark: SparkSession) -> int:
 def tokenizer_folder() -> str:
     """Folder of the public vocabulary files; TAPELOOM_TOKENIZERS overrides the default."""
     return os.environ.get("TAPELOOM_TOKENIZERS", "/opt/tokenizers")
+
+
+def beside(*rows: DataFrame) -> DataFrame:
+    """Tables of one row each, with different columns, as one row; no join is made."""
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
