@@ -33,11 +33,14 @@ from pyspark.sql import functions as F
 MAX_LABELLED = 20_000
 MAX_UNLABELLED = 12_000
 FEATURE_BITS = 18
-WINDOW, STRIDE = 20, 10
+WINDOW, STRIDE = 14, 5
 ROUNDS, EPOCHS = 4, 6
 MIN_WORD_TEXTS = 3
 #: How often a reviewed text that isn't abusive counts among the unlabelled ones: they hold the hard cases.
 REVIEWED_WEIGHT = 5
+#: Mean log-odds of standing in confirmed rather than in reviewed clean texts from which a segment may be abusive.
+HINT = 0.2
+HARD_WEIGHT = 20.0
 MIN_PRIOR, MAX_PRIOR = 0.01, 0.05
 
 #: Letters of other scripts that look like Latin ones.
@@ -275,13 +278,15 @@ def train(
     for k in range(rounds):
         chosen = []
         for bag in bags:
-            may = bag[hint[bag] > (0.2 if k else 0.4)]
+            may = bag[hint[bag] > (HINT if k else 2 * HINT)]
             if len(may):
                 chosen += may[score[may] >= -1.0].tolist() if k else [may[np.argmax(score[may])]]
         positive = np.array(sorted(set(chosen)), dtype=np.int64)
         if not len(positive):
             break
-        w, b = fit_nnpu(data, positive, rows_u, times, prior, epochs, seed + k)
+        # segments that look abusive and yet stand in reviewed clean texts as often: the hard cases count more
+        hard = (hint[rows_u] <= HINT) & (score[rows_u] > -2.0) if k else np.zeros(len(rows_u), dtype=bool)
+        w, b = fit_nnpu(data, positive, rows_u, np.where(hard, HARD_WEIGHT, 1.0) * times, prior, epochs, seed + k)
         score = data.scores(w, b)
         share = float(times[score[rows_u] > 0].sum() / times.sum())
         prior = float(np.clip(share, MIN_PRIOR, MAX_PRIOR))
