@@ -142,3 +142,29 @@ def identifier_references(c: Column, code: Column) -> Column:
 def terms_per_thousand(hits: Column, tokens: Column) -> Column:
     """Rate of hits per 1000 words; null for no words."""
     return F.when(tokens > 0, 1000.0 * hits / tokens)
+
+
+def progress_note(before: Column, now: Column) -> Column:
+    """What became of the number of passed tests since the attempt before; a null `before` is a first attempt."""
+    n, b = now.cast("string"), before.cast("string")
+    return (
+        F.when(before.isNull(), F.concat(F.lit("first visible attempt with "), n, F.lit(" passing tests")))
+        .when(now > before, F.concat(F.lit("pass count improved from "), b, F.lit(" to "), n))
+        .when(now < before, F.concat(F.lit("pass count dropped from "), b, F.lit(" to "), n))
+        .otherwise(F.concat(F.lit("pass count stayed at "), n))
+    )
+
+
+def milliseconds_between(later: Column, earlier: Column) -> Column:
+    """Whole milliseconds between two times, rounded half-even."""
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    return F.bround((us(later) - us(earlier)) / 1e3, 0).cast("bigint")
+
+
+def rendered(history: Column, fields: Sequence[str], title: str = "Attempt") -> Column:
+    """An array of structs as text: a numbered heading for each and a line `field: value` for each field it has."""
+    def one(a: Column, i: Column) -> Column:
+        lines = [F.when(a[f].isNotNull(), F.concat(F.lit(f"{f}: "), a[f].cast("string"))) for f in fields]
+        return F.concat_ws("\n", F.format_string(f"{title} %d", i + 1), *lines)
+
+    return F.array_join(F.transform(history, one), "\n\n")

@@ -1,7 +1,8 @@
 """Intervals of event sequences: islands, idle gaps, markers, trace statistics, segments, transitions.
 
-All windows are per log. Where a log is too large for one task, `idle_gap_tape` and `islands`
-may be given finer keys; the sessions and runs operators show how to split a key by time.
+A log may hold a third of all rows. Running sums and lags over whole logs are therefore taken inside
+(log, time bucket), and what a bucket needs from those before it, a few numbers, comes from a window
+over one row per bucket. Only windows inside an interval or a bucket see events.
 """
 
 from __future__ import annotations
@@ -22,45 +23,75 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return F.bround((us(later) - us(earlier)) / 1e6, 3)
 
 
-def islands(events: DataFrame, keys: list[str], order: list[str], closes: Column) -> DataFrame:
+BUCKET_SECONDS = 3600
+
+
+def carried(
+    events: DataFrame, keys: list[str], ts: str, order: list[str], sums: dict[str, Column], bucket_seconds: int = BUCKET_SECONDS
+) -> DataFrame:
+    """`events` with, over all rows of the keys before a row in `order`, each of `sums`, the number `n_before` and the
+    time `ts_before` of the last one. `order` begins with `ts`. Rows with a null key or ts are left out."""
+    ok = F.col(ts).isNotNull()
+    for k in keys:
+        ok = ok & F.col(k).isNotNull()
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.where(ok).withColumn("_b", F.floor(us / F.lit(bucket_seconds * 1_000_000)))
+    inside = _before([*keys, "_b"], order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = {f"_in_{k}": F.coalesce(F.sum(F.coalesce(c, F.lit(0))).over(earlier), F.lit(0)) for k, c in sums.items()}
+    laid = rows.withColumns(local | {"_in_n": F.row_number().over(inside) - 1, "_in_ts": F.lag(ts).over(inside)})
+    per = rows.groupBy(*keys, "_b").agg(
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(f"_s_{k}") for k, c in sums.items()], F.count(F.lit(1)).alias("_s_n"), F.max(ts).alias("_s_ts")
+    )
+    whole = _before(keys, ["_b"])
+    past = whole.rowsBetween(Window.unboundedPreceding, -1)
+    offset = per.select(
+        *keys, "_b", *[F.coalesce(F.sum(f"_s_{k}").over(past), F.lit(0)).alias(f"_off_{k}") for k in [*sums, "n"]], F.lag("_s_ts").over(whole).alias("_off_ts")
+    )
+    met = laid.join(offset, [*keys, "_b"])
+    done = {k: F.col(f"_in_{k}") + F.col(f"_off_{k}") for k in sums}
+    done |= {"n_before": F.col("_in_n") + F.col("_off_n"), "ts_before": F.coalesce("_in_ts", "_off_ts")}
+    return met.select(*events.columns, *[c.alias(k) for k, c in done.items()])
+
+
+def islands(events: DataFrame, keys: list[str], order: list[str], closes: Column, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """`events` with interval_idx, pos_in_interval and closed: a row where `closes` holds ends its interval.
 
-    Rows after the last closing one form an interval that isn't closed. A null `closes` closes nothing.
+    `order` begins with the time. Rows after the last closing one form an interval that isn't closed. A null
+    `closes` closes nothing. Rows with a null key or time are left out.
     """
-    w = _before(keys, order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    shut = F.coalesce(closes, F.lit(False)).cast("int")
-    marked = events.withColumn("_shut", shut).withColumn("interval_idx", F.coalesce(F.sum("_shut").over(before), F.lit(0)))
+    marked = events.withColumn("_shut", F.coalesce(closes, F.lit(False)).cast("int"))
+    numbered = carried(marked, keys, order[0], order, {"interval_idx": F.col("_shut")}, bucket_seconds).drop("n_before", "ts_before")
     inside = Window.partitionBy(*keys, "interval_idx")
     return (
-        marked.withColumn("pos_in_interval", F.row_number().over(inside.orderBy(*order)) - 1)
+        numbered.withColumn("pos_in_interval", F.row_number().over(inside.orderBy(*order)) - 1)
         .withColumn("closed", F.max("_shut").over(inside) == 1)
         .drop("_shut")
     )
 
 
 def idle_gap_tape(
-    events: DataFrame, keys: list[str], ts: str, order: list[str], kind: str, gap_seconds: float = 30.0
+    events: DataFrame, keys: list[str], ts: str, order: list[str], kind: str, gap_seconds: float = 30.0, bucket_seconds: int = BUCKET_SECONDS
 ) -> DataFrame:
     """(keys, position, kind, ts, gap_seconds): the events with an `idle_gap` row before each one that comes at
-    least `gap_seconds` after the one before; positions are counted anew from 0."""
-    w = _before(keys, order)
-    gap = seconds_between(F.col(ts), F.lag(ts).over(w))
-    rows = events.select(*keys, *[c for c in dict.fromkeys([*order, ts, kind]) if c not in keys], gap.alias("gap_seconds"),
-                         F.row_number().over(w).alias("_n"))
-    tape = rows.withColumn(
-        "_k",
-        F.explode(F.when(F.col("gap_seconds") >= gap_seconds, F.array(F.lit("idle_gap"), F.col(kind))).otherwise(F.array(F.col(kind)))),
-    ).withColumn("_first", F.when((F.col("_k") == "idle_gap") & (F.col("gap_seconds") >= gap_seconds), 0).otherwise(1))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_n", "_first")) - 1
-    return tape.select(*keys, place.alias("position"), F.col("_k").alias("kind"), F.col(ts).alias("ts"), "gap_seconds")
+    least `gap_seconds` after the one before; positions are counted anew from 0. `order` begins with `ts`."""
+    taken = events.select(*dict.fromkeys([*keys, *order, ts, kind]))
+    timed = carried(taken, keys, ts, order, {}, bucket_seconds).drop("n_before")
+    timed = timed.withColumn("gap_seconds", seconds_between(F.col(ts), F.col("ts_before"))).drop("ts_before")
+    idle = F.coalesce(F.col("gap_seconds") >= gap_seconds, F.lit(False)).cast("int")
+    counted = carried(timed.withColumn("_idle", idle), keys, ts, order, {"_gaps": F.col("_idle")}, bucket_seconds)
+    place = F.col("n_before") + F.col("_gaps") + F.col("_idle")
+    own = F.struct(place.alias("position"), F.col(kind).alias("kind"))
+    rows = F.when(F.col("_idle") == 1, F.array(F.struct((place - 1).alias("position"), F.lit("idle_gap").alias("kind")), own)).otherwise(F.array(own))
+    return counted.select(*keys, F.explode(rows).alias("_r"), F.col(ts).alias("ts"), "gap_seconds").select(*keys, "_r.position", "_r.kind", "ts", "gap_seconds")
 
 
 def interval_markers(events: DataFrame, keys: list[str], ts: str, order: list[str], kind: str, payload: str, kinds: list[str]) -> DataFrame:
     """The events of `kinds` with the seconds since the event before, of whatever kind, and the first 160 characters of the payload."""
-    w = _before(keys, order)
+    timed = carried(events, keys, ts, order, {}).drop("n_before")
     return (
-        events.withColumn("seconds_since_previous", seconds_between(F.col(ts), F.lag(ts).over(w)))
+        timed.withColumn("seconds_since_previous", seconds_between(F.col(ts), F.col("ts_before")))
+        .drop("ts_before")
         .where(F.col(kind).isin(*kinds))
         .withColumn("payload_preview", F.left(F.col(payload), F.lit(160)))
     )
@@ -118,11 +149,9 @@ def change_stats(changes: DataFrame, keys: list[str], order: list[str]) -> DataF
 
 def segments(events: DataFrame, keys: list[str], order: list[str], kind: str) -> DataFrame:
     """Segments closed by a run or a submit, numbered within attempts closed by a submit: keys, attempt, segment,
-    n_events, n_changes, closed_by (null for the open end)."""
-    w = _before(keys, order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda *ks: F.coalesce(F.sum(F.col(kind).isin(*ks).cast("int")).over(before), F.lit(0))
-    rows = events.withColumn("attempt", count("submit")).withColumn("_anchor", count("submit", "saida_testar"))
+    n_events, n_changes, closed_by (null for the open end). `order` begins with the time."""
+    is_kind = lambda *ks: F.col(kind).isin(*ks).cast("int")
+    rows = carried(events, keys, order[0], order, {"attempt": is_kind("submit"), "_anchor": is_kind("submit", "saida_testar")})
     per = Window.partitionBy(*keys, "attempt")
     rows = rows.withColumn("segment", F.col("_anchor") - F.min("_anchor").over(per))
     last = F.max(F.when(F.col(kind).isin("submit", "saida_testar"), F.col(kind)))

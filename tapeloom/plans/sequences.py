@@ -205,6 +205,41 @@ def j34_contiguous_lines(spark: SparkSession, root: str) -> DataFrame:
     return I.contiguous(c, ["log_id", "submit_index_0idx"], "line")
 
 
+_HISTORY = "(SELECT log_id, list({'t': transition_index_0idx, 'r': visible_run_count} ORDER BY transition_index_0idx) AS h FROM (SELECT DISTINCT log_id, transition_index_0idx, visible_run_count FROM candidate_transition) GROUP BY log_id)"
+
+
+@query(f"""SELECT log_id, array_to_string(list_transform(h, lambda x, i: 'Attempt ' || i || chr(10) || 'transition_index_0idx: ' || x.t || chr(10) || 'visible_run_count: ' || x.r), chr(10) || chr(10)) AS text FROM {_HISTORY}""")
+def j73_rendered_history(spark: SparkSession, root: str) -> DataFrame:
+    """A log's visible history as text."""
+    from tapeloom.functions.words import rendered
+
+    fields = ["transition_index_0idx", "visible_run_count"]
+    t = table(spark, root, "candidate_transition").select("log_id", *fields).distinct()
+    h = t.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("h"))
+    return h.select("log_id", rendered(F.col("h"), fields).alias("text"))
+
+
+@query("""SELECT log_id, transition_index_0idx, CASE WHEN b IS NULL THEN 'first visible attempt with ' || r || ' passing tests' WHEN r > b THEN 'pass count improved from ' || b || ' to ' || r WHEN r < b THEN 'pass count dropped from ' || b || ' to ' || r ELSE 'pass count stayed at ' || r END AS note
+   FROM (SELECT log_id, transition_index_0idx, r, lag(r) OVER (PARTITION BY log_id ORDER BY transition_index_0idx) AS b FROM (SELECT log_id, transition_index_0idx, min(visible_run_count) AS r FROM candidate_transition GROUP BY ALL))""")
+def j36_progress_notes(spark: SparkSession, root: str) -> DataFrame:
+    """Note on what became of a count since the attempt before."""
+    from tapeloom.functions.words import progress_note
+
+    t = table(spark, root, "candidate_transition").groupBy("log_id", "transition_index_0idx").agg(F.min("visible_run_count").alias("r"))
+    b = F.lag("r").over(Window.partitionBy("log_id").orderBy("transition_index_0idx"))
+    return t.withColumn("b", b).select("log_id", "transition_index_0idx", progress_note(F.col("b"), F.col("r")).alias("note"))
+
+
+@query("SELECT delivery_id, CAST(round_even(date_diff('microsecond', (SELECT min(received_ts) FROM scored_row), received_ts) / 1e3, 0) AS BIGINT) AS ms FROM scored_row")
+def j74_milliseconds(spark: SparkSession, root: str) -> DataFrame:
+    """Milliseconds since the first delivery."""
+    from tapeloom.functions.words import milliseconds_between
+
+    r = table(spark, root, "scored_row")
+    first = r.agg(F.min("received_ts")).first()[0]  # one value
+    return r.select("delivery_id", milliseconds_between(F.col("received_ts"), F.lit(first)).alias("ms"))
+
+
 _LIFT = f"""WITH m AS (SELECT log_id, motif FROM {_MOTIFS}), g AS (SELECT motif FROM m GROUP BY motif ORDER BY count(*) DESC, motif LIMIT 1),
   r AS (SELECT log_id, count(*) AS n, CAST(count(*) FILTER (motif = own) AS BIGINT) AS own_hits, CAST(count(*) FILTER (motif = (SELECT motif FROM g)) AS BIGINT) AS global_hits FROM (
     SELECT m.*, o.own FROM m JOIN (SELECT log_id, arg_min(motif, (-c, motif)) AS own FROM (SELECT log_id, motif, count(*) AS c FROM m GROUP BY ALL) GROUP BY log_id) o USING (log_id)) GROUP BY log_id)
