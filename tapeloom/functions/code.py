@@ -159,25 +159,25 @@ def without_fence(c: Column) -> Column:
 
 
 def mismatch_signature(expected: Column, actual: Column, given: Column) -> Column:
-    """How a wrong output differs from the expected one; the first of the cases that holds."""
-    e, a, g = output_form(expected), output_form(actual), output_form(given)
-    n_e, n_a = F.size(F.split(e, "\n")), F.size(F.split(a, "\n"))
-    blank = r"\s+"
+    """How an output differs from the expected one, on the normal forms of both; the first of the cases that holds."""
+    e, a = output_form(expected), output_form(actual)
+    lines = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, "\n"))
+    x, y = lines(e), lines(a)
+    more = F.when(F.size(F.array_distinct(y)) < F.size(y), "repeated_output_value").otherwise("extra_output_lines")
     return (
-        F.when(a == e, "match")
-        .when(a == "", "empty_output")
-        .when(F.lower(a) == F.lower(e), "case_only")
-        .when(F.regexp_replace(a, blank, "") == F.regexp_replace(e, blank, ""), "spacing_only")
-        .when((g != "") & (a == g), "echoes_input")
-        .when(n_a < n_e, "too_few_lines")
-        .when(n_a > n_e, "too_many_lines")
-        .otherwise("different_values")
+        F.when(a == "", "empty_output")
+        .when(a == output_form(given), "unchanged_input_echo")
+        .when(F.size(y) < F.size(x), "missing_output_lines")
+        .when(F.size(y) > F.size(x), more)
+        .when(F.get(x, 0) != F.get(y, 0), "wrong_first_output_line")
+        .when(F.try_element_at(x, F.lit(-1)) != F.try_element_at(y, F.lit(-1)), "wrong_final_output_line")
+        .when(a.isNotNull() & e.isNotNull(), "other_output_mismatch")
     )
 
 
 def steps_bucket(n: Column) -> Column:
     """0, 1 or 2_plus."""
-    return F.when(n == 0, "0").when(n == 1, "1").when(n > 1, "2_plus")
+    return F.when(n <= 0, "0").when(n == 1, "1").when(n > 1, "2_plus")
 
 
 def passed_bucket(vector: Column) -> Column:
@@ -188,4 +188,4 @@ def passed_bucket(vector: Column) -> Column:
 
 def touched_bucket(n: Column) -> Column:
     """Scope of an edit by its number of distinct lines."""
-    return F.when(n <= 2, "local_1_to_2").when(n <= 5, "regional_3_to_5").otherwise("broad_6_plus")
+    return F.when(n <= 2, "local_1_to_2_lines").when(n <= 5, "regional_3_to_5_lines").otherwise("broad_6_plus_lines")

@@ -19,6 +19,18 @@ FAMILIES = {
 }
 
 
+#: Handled keys that change or leave a line.
+MEANINGFUL_KEYS = ("Enter", "Backspace", "Tab", "Delete", "Insert")
+
+
+def is_semantic(kind: Column, payload: Column, keys: bool = False, navigation: bool = True) -> Column:
+    """Whether an event belongs on a tape: edits, runs, submits and kills do; tab clicks with `navigation`, handled
+    keys with `keys` if they are among the meaningful ones."""
+    always = kind.isin("change", "saida_testar", "submit", "kill_program")
+    key = (kind == "keyhandled") & F.trim(payload, F.lit('"')).isin(*MEANINGFUL_KEYS)
+    return F.coalesce(always | ((kind == "tab_click") & F.lit(navigation)) | (key & F.lit(keys)), F.lit(False))
+
+
 def event_kind(raw_type: Column) -> Column:
     """One spelling of a raw type: lower case, `_` for `-`, kill as kill_program."""
     c = F.regexp_replace(F.lower(F.trim(raw_type)), "-", "_")

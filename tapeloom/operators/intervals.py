@@ -181,13 +181,15 @@ def transitions(attempts: DataFrame, keys: list[str], order: str, value: str) ->
 
 
 def truncated(lines: Column, limit: int) -> Column:
-    """An array of at most `limit` lines with a marker between head and tail where some were left out."""
+    """An array of at most `limit` lines: head, a marker with the number of lines left out, and tail; without a
+    marker where there is room for two lines at most."""
     n = F.size(lines)
-    head = (limit + 1) // 2
-    tail = limit - head
-    mark = F.concat(F.lit("... "), (n - limit).cast("string"), F.lit(" lines ..."))
-    end = F.slice(lines, n - tail + 1, F.lit(tail)) if tail else F.slice(lines, 1, 0)
-    return F.when(n > limit, F.concat(F.slice(lines, 1, head), F.array(mark), end)).otherwise(lines)
+    if limit <= 2:
+        return F.slice(lines, 1, limit)
+    head = max(1, (limit - 1) // 2)
+    tail = limit - head - 1
+    mark = F.concat(F.lit("... truncated "), (n - head - tail).cast("string"), F.lit(" stdout lines ..."))
+    return F.when(n > limit, F.concat(F.slice(lines, 1, head), F.array(mark), F.slice(lines, n - tail + 1, F.lit(tail)))).otherwise(lines)
 
 
 def closest_segment(rows: DataFrame, keys: list[str], n: str, target: int, tie: list[str]) -> DataFrame:

@@ -158,7 +158,7 @@ def encoding_case(n_events: Column, n_submits: Column, n_changes: Column, n_runs
 def encoding_flags(n_events: Column, n_changes: Column, n_runs: Column, n_gaps: Column, n_kills: Column) -> Column:
     """The flags that hold."""
     flags = {
-        "few_events": n_events <= 5, "no_changes": n_changes == 0, "runs_without_changes": (n_runs >= 2) & (n_changes < 3),
-        "many_idle_gaps": n_gaps >= 20, "many_runs": n_runs >= 20, "killed": n_kills >= 1,
+        "very_small_event_log": n_events <= 5, "no_code_edits": n_changes == 0, "run_heavy_with_few_edits": (n_runs >= 2) & (n_changes < 3),
+        "many_idle_gaps": n_gaps >= 20, "many_local_runs": n_runs >= 20, "contains_kill_program": n_kills >= 1,
     }
     return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in flags.items()]))

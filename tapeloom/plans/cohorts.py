@@ -157,7 +157,7 @@ _ENC = f"(SELECT log_id, interval_idx, count(*) AS n, count(*) FILTER (kind = 'c
 
 
 @query(f"""SELECT log_id, interval_idx, CASE WHEN n <= 1 AND s = 1 AND c = 0 THEN 'submit_only' WHEN c = 0 AND r >= 1 THEN 'run_heavy_no_change' WHEN n >= 400 OR c >= 350 THEN 'large_dense' ELSE 'repair_focused' END AS case_type,
-   list_filter([CASE WHEN n <= 5 THEN 'few_events' END, CASE WHEN c = 0 THEN 'no_changes' END, CASE WHEN r >= 2 AND c < 3 THEN 'runs_without_changes' END, CASE WHEN r >= 20 THEN 'many_runs' END, CASE WHEN k >= 1 THEN 'killed' END], lambda x: x IS NOT NULL) AS flags FROM {_ENC}""")
+   list_filter([CASE WHEN n <= 5 THEN 'very_small_event_log' END, CASE WHEN c = 0 THEN 'no_code_edits' END, CASE WHEN r >= 2 AND c < 3 THEN 'run_heavy_with_few_edits' END, CASE WHEN r >= 20 THEN 'many_local_runs' END, CASE WHEN k >= 1 THEN 'contains_kill_program' END], lambda x: x IS NOT NULL) AS flags FROM {_ENC}""")
 def c13_c14_encoding(spark: SparkSession, root: str) -> DataFrame:
     """Case and flags of intervals."""
     r = I.islands(events(spark, root), ["log_id"], ORDER, F.col("kind") == "submit")

@@ -183,7 +183,7 @@ def a13_a14_log_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Both logs of each exercise, by their paths; for every third the editor log is taken as missing."""
     c = table(spark, root, "validated_candidate").where("execution_path IS NOT NULL").groupBy(F.col("execution_path").alias("path"), F.col("codemirror_path").alias("other")).agg(F.min("candidate_id").alias("candidate_id"))
     runs, edits = DOC.log_files(c.select("path"), "executions"), DOC.log_files(c.where("candidate_id % 3 <> 0").select(F.col("other").alias("path")), "codemirror")
-    return DOC.log_pairs(runs, edits).select("class_id", "student_id", "assessment_id", "exercise_id", (F.coalesce("reason", F.lit("")) == "editor_log_missing").alias("only_execution"))
+    return DOC.log_pairs(runs, edits).select("class_id", "student_id", "assessment_id", "exercise_id", (F.coalesce("reason", F.lit("")) == "codemirror_log_missing").alias("only_execution"))
 
 
 @query("""SELECT delivery_id, CASE WHEN custom_id IS NULL THEN 'batch_output' WHEN delivery_id % 5 = 0 THEN 'http' WHEN summary IS NULL THEN 'empty' END AS stage FROM summary_record""")

@@ -134,7 +134,7 @@ def c10_a05_slug_and_grade(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("""SELECT log_id, transition_index_0idx, CASE WHEN visible_attempt_count - 1 = 0 THEN '0' WHEN visible_attempt_count - 1 = 1 THEN '1' ELSE '2_plus' END AS depth,
-  CASE WHEN visible_change_event_count <= 2 THEN 'local_1_to_2' WHEN visible_change_event_count <= 5 THEN 'regional_3_to_5' ELSE 'broad_6_plus' END AS scope
+  CASE WHEN visible_change_event_count <= 2 THEN 'local_1_to_2_lines' WHEN visible_change_event_count <= 5 THEN 'regional_3_to_5_lines' ELSE 'broad_6_plus_lines' END AS scope
   FROM (SELECT DISTINCT log_id, transition_index_0idx, visible_attempt_count, visible_change_event_count FROM candidate_transition)""")
 def c18_c20_buckets(spark: SparkSession, root: str) -> DataFrame:
     """Depth and edit-scope buckets."""
@@ -142,11 +142,10 @@ def c18_c20_buckets(spark: SparkSession, root: str) -> DataFrame:
     return t.select("log_id", "transition_index_0idx", C.steps_bucket(F.col("visible_attempt_count") - 1).alias("depth"), C.touched_bucket(F.col("visible_change_event_count")).alias("scope"))
 
 
-@query(f"""SELECT candidate_id, CASE WHEN a = e THEN 'match' WHEN a = '' THEN 'empty_output' WHEN lower(a) = lower(e) THEN 'case_only'
-   WHEN regexp_replace(a, '\\s+', '', 'g') = regexp_replace(e, '\\s+', '', 'g') THEN 'spacing_only' WHEN g <> '' AND a = g THEN 'echoes_input'
-   WHEN len(string_split(a, chr(10))) < len(string_split(e, chr(10))) THEN 'too_few_lines' WHEN len(string_split(a, chr(10))) > len(string_split(e, chr(10))) THEN 'too_many_lines'
-   ELSE 'different_values' END AS signature
-  FROM (SELECT candidate_id, {_OUTPUT.format('code_n')} AS e, {_OUTPUT.format('code_n1')} AS a, {_OUTPUT.format('custom_id')} AS g FROM {PROGRAMS_SQL} WHERE code_n IS NOT NULL AND code_n1 IS NOT NULL)""")
+@query(f"""WITH t AS (SELECT candidate_id, {_OUTPUT.format('code_n')} AS e, {_OUTPUT.format('code_n1')} AS a, {_OUTPUT.format('custom_id')} AS g FROM {PROGRAMS_SQL} WHERE code_n IS NOT NULL AND code_n1 IS NOT NULL),
+   l AS (SELECT *, CASE WHEN e = '' THEN [] ELSE string_split(e, chr(10)) END AS x, CASE WHEN a = '' THEN [] ELSE string_split(a, chr(10)) END AS y FROM t)
+   SELECT candidate_id, CASE WHEN a = '' THEN 'empty_output' WHEN a = g THEN 'unchanged_input_echo' WHEN len(y) < len(x) THEN 'missing_output_lines' WHEN len(y) > len(x) AND len(list_distinct(y)) < len(y) THEN 'repeated_output_value'
+     WHEN len(y) > len(x) THEN 'extra_output_lines' WHEN x[1] <> y[1] THEN 'wrong_first_output_line' WHEN x[-1] <> y[-1] THEN 'wrong_final_output_line' ELSE 'other_output_mismatch' END AS signature FROM l""")
 def c17_mismatch_signature(spark: SparkSession, root: str) -> DataFrame:
     """How one text differs from another, as outputs (C17)."""
     p = programs(spark, root).where("code_n IS NOT NULL AND code_n1 IS NOT NULL")

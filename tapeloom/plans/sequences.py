@@ -38,14 +38,15 @@ def f06_f07_submit_intervals(spark: SparkSession, root: str) -> DataFrame:
     return r.select("log_id", "event_id", F.col("interval_idx").cast("bigint").alias("interval_idx"), F.col("pos_in_interval").cast("bigint").alias("pos_in_interval"), "closed")
 
 
-_GAPPED = f"(SELECT *, round(date_diff('microsecond', lag(ts) OVER (PARTITION BY log_id ORDER BY {_O}), ts) / 1e6, 3) AS gap, row_number() OVER (PARTITION BY log_id ORDER BY {_O}) AS n FROM {EVENTS_SQL})"
+_GAPPED = f"(SELECT *, round(date_diff('microsecond', lag(ts) OVER (PARTITION BY log_id ORDER BY {_O}), ts) / 1e6, 3) AS gap, row_number() OVER (PARTITION BY log_id ORDER BY {_O}) AS n FROM {EVENTS_SQL} WHERE kind <> 'keyhandled' OR trim(payload, chr(34)) IN ('Enter', 'Backspace', 'Tab', 'Delete', 'Insert'))"
 
 
 @query(f"""SELECT log_id, CAST(row_number() OVER (PARTITION BY log_id ORDER BY n, first) - 1 AS BIGINT) AS position, kind, ts FROM (
    SELECT log_id, n, 1 AS first, kind, ts FROM {_GAPPED} UNION ALL SELECT log_id, n, 0, 'idle_gap', ts FROM {_GAPPED} WHERE gap >= 30)""")
 def f08_idle_gap_tape(spark: SparkSession, root: str) -> DataFrame:
-    """Event tapes with idle gaps of 30 seconds or more."""
-    r = I.idle_gap_tape(events(spark, root), ["log_id"], "ts", ORDER, "kind", 30.0)
+    """Tapes of the semantic events with idle gaps of 30 seconds or more."""
+    e = events(spark, root).where(S.is_semantic(F.col("kind"), F.col("payload"), keys=True))
+    r = I.idle_gap_tape(e, ["log_id"], "ts", ORDER, "kind", 30.0)
     return r.select("log_id", F.col("position").cast("bigint").alias("position"), "kind", "ts")
 
 
@@ -147,7 +148,7 @@ def f23_f24_binned_paths(spark: SparkSession, root: str) -> DataFrame:
     return r.select("log_id", "interval_idx", F.to_json(S.binned_steps(F.col("steps"), 8)).alias("path"))
 
 
-@query(f"""SELECT event_id, CASE WHEN len(output_lines) > 4 THEN output_lines[1:2] || ['... ' || CAST(len(output_lines) - 4 AS VARCHAR) || ' lines ...'] || output_lines[len(output_lines) - 1:len(output_lines)] ELSE output_lines END AS shown
+@query(f"""SELECT event_id, CASE WHEN len(output_lines) > 4 THEN output_lines[1:1] || ['... truncated ' || CAST(len(output_lines) - 3 AS VARCHAR) || ' stdout lines ...'] || output_lines[len(output_lines) - 1:len(output_lines)] ELSE output_lines END AS shown
    FROM (SELECT DISTINCT event_id, output_lines FROM raw_trace_event) WHERE output_lines IS NOT NULL""")
 def f12_truncated_output(spark: SparkSession, root: str) -> DataFrame:
     """Program output with its middle left out."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -27,9 +28,23 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A path in the shared folder that nothing else uses; what is written there goes when the driver's program ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _MADE:
+        try:
+            drop_path(spark, path)
+        except Exception:  # the session is gone: its folder is no longer ours to reach
+            return
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -44,7 +44,7 @@ def log_pairs(executions: DataFrame, editors: DataFrame) -> DataFrame:
     """Both logs of each (class, student, assessment, exercise), and which one is missing."""
     keys = ["class_id", "student_id", "assessment_id", "exercise_id"]
     both = executions.withColumnRenamed("path", "execution_path").join(editors.withColumnRenamed("path", "editor_path"), keys, "full_outer")
-    missing = F.concat_ws("+", F.when(F.col("execution_path").isNull(), "execution_log_missing"), F.when(F.col("editor_path").isNull(), "editor_log_missing"))
+    missing = F.concat_ws("+", F.when(F.col("execution_path").isNull(), "execution_log_missing"), F.when(F.col("editor_path").isNull(), "codemirror_log_missing"))
     return both.withColumn("reason", F.when(missing != "", missing))
 
 

@@ -26,6 +26,36 @@ def test_idle_gap_at_the_threshold(spark):
     assert got == ["change", "idle_gap", "change", "change"]
 
 
+def test_running_sums_over_buckets(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, None]), START + timedelta(seconds=rng.choice([0, 1, 3600, 7200]) + rng.randrange(20_000)), i, rng.random() < 0.2) for i in range(400)]
+    df = spark.createDataFrame(rows, "log_id int, ts timestamp, n int, shut boolean").withColumn("_other", F.lit(0))
+    got = {r.n: (r.interval_idx, r.pos_in_interval) for r in I.islands(df, ["log_id"], ["ts", "n"], F.col("shut"), 600).collect()}
+    want = {}
+    for log in (1, 2):
+        idx = pos = 0
+        for _, t, n, shut in sorted((r for r in rows if r[0] == log), key=lambda r: (r[1], r[2])):
+            want[n] = (idx, pos)
+            idx, pos = (idx + 1, 0) if shut else (idx, pos + 1)
+    assert got == want
+    gaps = I.idle_gap_tape(df, ["log_id"], "ts", ["ts", "n"], "n", 30.0, 600).withColumn("k", F.col("kind"))
+    places = [r.position for r in gaps.where("log_id = 1").orderBy("position").collect()]
+    assert places == list(range(len(places)))
+
+
+def test_semantic_events_and_mismatches(spark):
+    from tapeloom.functions import code as C
+    from tapeloom.functions import sequences as S
+
+    e = spark.createDataFrame([("change", None), ("keyhandled", '"Enter"'), ("keyhandled", '"a"'), ("tab_click", ""), ("focus", ""), (None, "")], "k string, p string")
+    assert [r.x for r in e.select(S.is_semantic(F.col("k"), F.col("p"), keys=True, navigation=False).alias("x")).collect()] == [True, True, False, False, False, False]
+    m = spark.createDataFrame([("1\n2", "", "5"), ("1", "5", "5"), ("1\n2", "1", ""), ("1", "1\n1", ""), ("1", "1\n2", ""), ("1\n2", "3\n2", ""), ("1\n2", "1\n3", ""), ("1\n2\n3", "1\n9\n3", "")], "e string, a string, g string")
+    got = [r.x for r in m.select(C.mismatch_signature(F.col("e"), F.col("a"), F.col("g")).alias("x")).collect()]
+    assert got == ["empty_output", "unchanged_input_echo", "missing_output_lines", "repeated_output_value", "extra_output_lines", "wrong_first_output_line", "wrong_final_output_line", "other_output_mismatch"]
+
+
 def test_peers_of_three(spark):
     rows = [("s", "a", "FF", 1), ("s", "b", "FF", 2), ("s", "c", "TF", 3), ("s", "a", None, 4)]
     df = spark.createDataFrame(rows, "scope string, student string, sig string, id int")
@@ -196,7 +226,7 @@ def test_listing_assessments_and_json(spark, tmp_path):
     (tmp_path / "c1/users/s1/codemirror/10_20.log").write_text("x")
     files = DOC.list_files(spark, str(tmp_path))
     pairs = DOC.log_pairs(DOC.log_files(files, "executions"), DOC.log_files(files, "codemirror"))
-    assert {(r.exercise_id, r.reason) for r in pairs.collect()} == {("20", None), ("21", "editor_log_missing")}
+    assert {(r.exercise_id, r.reason) for r in pairs.collect()} == {("20", None), ("21", "codemirror_log_missing")}
     (tmp_path / "c1/assessments").mkdir()
     (tmp_path / "c1/assessments/10.data").write_text("---- assessment title: Lab 1\n---- exercise 1: 20\n---- exercise 2: 21\n")
     a = DOC.read_assessments(spark, str(tmp_path / "c1/assessments")).first()
