@@ -203,7 +203,31 @@ _TEXT = _islands(
          GROUP BY event_id HAVING min(try_cast(event_timestamp AS TIMESTAMP)) IS NOT NULL)""",
 )
 
+_SPANS = f"""WITH t AS (
+      SELECT 'summary' AS field_name, {_STRIP.format('custom_id')} AS custom_id, summary AS x FROM summary_record
+      UNION ALL SELECT 'attempt_n_code', {_STRIP.format('custom_id')}, attempt_n_code FROM validated_candidate),
+    w AS (SELECT field_name, custom_id, substr(x, i, 160) AS s FROM
+      (SELECT *, unnest(range(1, length(x) - 158)) AS i FROM t WHERE custom_id IS NOT NULL AND length(x) >= 160)),
+    g AS (SELECT field_name, s FROM w GROUP BY field_name, s HAVING count(DISTINCT custom_id) > 1)
+    SELECT DISTINCT field_name, custom_id FROM w JOIN g USING (field_name, s)"""
+
+
+def _close(field: str) -> str:
+    return f"""SELECT '{field}' AS field_name, a AS candidate_id_a, b AS candidate_id_b FROM (
+      SELECT x.id AS a, y.id AS b, sum(least(x.n, y.n)) AS s, any_value(x.total) AS na, any_value(y.total) AS nb
+      FROM {field}_w x JOIN {field}_w y ON x.word = y.word AND x.id < y.id GROUP BY x.id, y.id)
+      WHERE s / (na + nb - s) >= 0.75"""
+
+
+def _counted(field: str) -> str:
+    return f"""{field}_w AS (SELECT *, sum(n) OVER (PARTITION BY id) AS total FROM (SELECT id, word, count(*) AS n FROM (
+      SELECT candidate_id AS id, unnest(regexp_extract_all(lower({field}), '[\\p{{L}}\\p{{N}}_]+')) AS word
+      FROM validated_candidate WHERE {field} IS NOT NULL) GROUP BY id, word))"""
+
+
 ORACLE = {
+    "p2_found": _SPANS,
+    "p4_found": "WITH " + ", ".join(map(_counted, CODE_FIELDS)) + " " + " UNION ALL ".join(map(_close, CODE_FIELDS)),
     "p1_terms": _TERMS,
     "p1_found": f"SELECT field_name, term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
     "p3_found": f"""SELECT 'raw_type' AS seq_kind, first_event_id, last_event_id FROM ({_RAW})

@@ -1,6 +1,6 @@
 """Frequency of every distinct value or term.
 
-An external sort: (term, record) pairs, already counted within each record, are range
+An external sort: (term, record) pairs, counted within each batch of rows, are range
 partitioned and sorted on both columns, so that a very common term is spread over as many
 partitions as its pairs need. Each partition is then read once in order and its runs are
 measured; only one partial row per term and partition is left to add up.
@@ -39,15 +39,13 @@ def whole_value(text: str) -> list[str]:
 def _pairs(terms_of: Callable[[str], list[str]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            term: list[str] = []
-            occ: list[int] = []
-            size: list[int] = []
-            for text in batch["x"]:
-                found = Counter(terms_of(text))
-                term += found.keys()
-                occ += found.values()
-                size.append(len(found))
-            rec = np.repeat(batch["r"].to_numpy(), size)
+            # a record of very many rows is reduced here: its pairs must meet in one partition later
+            by: dict[str, Counter] = {}
+            for record, text in zip(batch["r"], batch["x"]):
+                by.setdefault(record, Counter()).update(terms_of(text))
+            term = [t for found in by.values() for t in found]
+            occ = [n for found in by.values() for n in found.values()]
+            rec = np.repeat(np.array(list(by), dtype=object), [len(found) for found in by.values()])
             for lo in range(0, len(term), 50_000):
                 hi = lo + 50_000
                 yield pd.DataFrame({"term": term[lo:hi], "rec": rec[lo:hi], "n": np.array(occ[lo:hi], dtype=np.int64)})
