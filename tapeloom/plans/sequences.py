@@ -165,6 +165,16 @@ def tape_pairs(spark: SparkSession, root: str) -> DataFrame:
 _PAIRS = f"(SELECT * FROM (SELECT log_id, interval_idx, kinds[1:40] AS a, lead(kinds[1:40]) OVER (PARTITION BY log_id ORDER BY interval_idx) AS b FROM {_MOTIFS}) WHERE b IS NOT NULL)"
 
 
+_CHARS = "array_to_string(list_transform({}, lambda k: CASE k WHEN 'change' THEN 'c' WHEN 'saida_testar' THEN 'r' WHEN 'submit' THEN 's' WHEN 'kill_program' THEN 'k' WHEN 'keyhandled' THEN 'h' ELSE 't' END), '')"
+
+
+@query(f"SELECT log_id, interval_idx, round(1 - levenshtein({_CHARS.format('a')}, {_CHARS.format('b')}) / greatest(len(a), len(b)), 9) AS edit_similarity FROM {_PAIRS}")
+def j39_edit_similarity(spark: SparkSession, root: str) -> DataFrame:
+    """Edit similarity of neighbouring tapes."""
+    p = tape_pairs(spark, root)
+    return p.select("log_id", "interval_idx", F.round(S.edit_similarity(F.col("a"), F.col("b")), 9).alias("edit_similarity"))
+
+
 @query()
 def j39_j41_sequence_similarity(spark: SparkSession, root: str) -> DataFrame:
     """Edit similarity, longest common subsequence and time warping of neighbouring tapes."""
