@@ -144,11 +144,23 @@ def sign_test(rows: DataFrame, keys: list[str], delta: str) -> DataFrame:
     return counted.withColumn("p", F.coalesce(sign_test_p("n_positive", "n_nonzero"), F.lit(math.nan)))  # Arrow makes NaN null
 
 
-def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
-    """Ranks from 1 within the keys, equal values sharing the mean of theirs."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    same = Window.partitionBy(*keys, value)
-    return rows.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2)
+def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str = "rank", buckets: int = 200) -> DataFrame:
+    """Ranks from 1 within the keys, equal values sharing the mean of theirs; rows with a null key or value are left out.
+
+    Values are counted, the counts cut into about `buckets` ranges of values, and summed up inside each range and over
+    the ranges, so that no key is sorted in one task however many values it has.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = counts.agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
+    cuts = sorted({float(c) for c in cuts if not math.isnan(float(c))})
+    edge = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    laid = counts.withColumn("_b", F.size(F.filter(edge, lambda c: c < F.col(value).cast("double"))))
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offset = laid.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s")).select(*keys, "_b", F.coalesce(F.sum("_s").over(past), F.lit(0)).alias("_o"))
+    ranks = laid.withColumn("_l", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(offset, [*keys, "_b"])
+    ranks = ranks.select(*keys, value, (F.col("_o") + F.col("_l") + (F.col("_c") + 1) / 2).alias(name))
+    return rows.join(ranks, [*keys, value])
 
 
 def wilcoxon_p(w_plus: float, n: int, ties: float, variant: str = "auto", has_ties: bool = True) -> float:
@@ -176,11 +188,12 @@ def wilcoxon_p(w_plus: float, n: int, ties: float, variant: str = "auto", has_ti
 def wilcoxon(rows: DataFrame, keys: list[str], delta: str, variant: str = "auto") -> DataFrame:
     """(keys, n, w_plus, p): signed-rank test of differences; zeros and nulls are dropped, ties share ranks."""
     live = rows.where(F.col(delta).isNotNull() & (F.col(delta) != 0)).withColumn("_a", F.abs(delta))
-    ranked = average_ranks(live, keys, "_a", "_r").withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_a")))
+    ranked = average_ranks(live, keys, "_a", "_r").groupBy(*keys, "_a").agg(
+        F.count(F.lit(1)).alias("_t"), F.sum(F.when(F.col(delta) > 0, F.col("_r")).otherwise(0.0)).alias("_w")
+    )
     sums = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(delta) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.pow("_t", F.lit(2)) - 1).alias("_ties"),  # over rows: sum of t^3 - t over groups
-    )
+        F.sum("_t").alias("n"), F.sum("_w").alias("w_plus"), F.sum(F.pow("_t", F.lit(3)) - F.col("_t")).alias("_ties")
+    )
 
     @F.pandas_udf(T.DoubleType())
     def p(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import words as W
+from tapeloom.shared import first_rows
 
 
 def weights(docs: DataFrame, doc: list[str], text: str) -> DataFrame:
@@ -47,8 +48,7 @@ def similarity_to(queries: DataFrame, w: DataFrame) -> DataFrame:
 def top_terms(docs: DataFrame, keys: list[str], terms: Column, k: int = 25) -> DataFrame:
     """(keys, term, n, place) of the k commonest elements of an array column, ties by the term."""
     counts = docs.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "term")
-    return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return first_rows(counts, keys, [F.desc("n"), "term"], k)
 
 
 def document_frequency(docs: DataFrame, keys: list[str], doc: str, terms: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.shared import first_rows
+
 
 def tertiles(rows: DataFrame, value: str) -> DataFrame:
     """`rows` with tertile T1, T2 or T3 by the linear quantiles .33 and .67 of `value`, equal values to the lower; null stays null."""
@@ -44,8 +46,8 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, target: int, seed
     have = {r[stratum]: r["n"] for r in rows.where(F.col(stratum).isin(*strata)).groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).collect()}
     take = rebalanced(quotas(target, strata), have)
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in take.items() for x in kv]), F.col(stratum))
-    w = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key)
-    return rows.where(F.col(stratum).isin(*strata)).withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= limit)
+    order = [F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key]
+    return first_rows(rows.where(F.col(stratum).isin(*strata)), [stratum], order, max(take.values()), "pick").where(F.col("pick") <= limit)
 
 
 def matched_groups(rows: DataFrame, scope: list[str], signature: str, actor: str) -> DataFrame:
@@ -120,9 +122,8 @@ def funnel(rows: DataFrame, keys: list[str], stages: dict[str, Column]) -> DataF
 
 def reasons(rows: DataFrame, reason: str, example: str, most: int = 10) -> DataFrame:
     """(reason, n, examples): number of rows and the first `most` ids for each reason."""
-    w = Window.partitionBy(reason).orderBy(example)
     live = rows.where(F.col(reason).isNotNull())
-    few = live.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
+    few = first_rows(live.select(reason, example), [reason], [example], most, "_k")
     examples = few.groupBy(reason).agg(F.array_sort(F.collect_list(example)).alias("examples"))
     return live.groupBy(reason).agg(F.count(F.lit(1)).alias("n")).join(examples, reason)
 

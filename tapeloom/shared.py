@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, no-break space included.
@@ -82,3 +82,12 @@ def beside(*rows: DataFrame) -> DataFrame:
     for more in rows[1:]:
         out = out.unionByName(more, allowMissingColumns=True)
     return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list[Column | str], k: int, place: str = "place") -> DataFrame:
+    """The first `k` rows of each key with their place from 1. A key may hold any share of the rows: its rows are cut
+    down to `k` in each of many shards before they meet. `order` must be total for the result to be fixed."""
+    shard = F.pmod(F.xxhash64(*rows.columns), F.lit(max(tasks(rows.sparkSession), 8)))
+    some = rows.withColumn("_shard", shard).withColumn(place, F.row_number().over(Window.partitionBy(*keys, "_shard").orderBy(*order)))
+    few = some.where(F.col(place) <= k).drop("_shard", place)
+    return few.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= k)
