@@ -88,3 +88,32 @@ def require_none(violations: DataFrame, what: str) -> None:
     found = violations.limit(1).collect()
     if found:
         raise ValueError(f"{what}: {found[0].asDict()}")
+
+
+def expectations(checks: dict[str, DataFrame]) -> DataFrame:
+    """(check_name, n_violations, holds) of named tables of violations, zeros included."""
+    parts = [v.agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(k).alias("check_name"), "n_violations") for k, v in checks.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("holds", F.col("n_violations") == 0)
+
+
+def strict_pairs(left: DataFrame, right: DataFrame, keys: list[str], same: list[str] | None = None) -> DataFrame:
+    """Inner join on unique keys that both sides share exactly and with equal columns `same`; anything else is an error.
+
+    Columns of the right side other than the keys and `same` get the suffix _right.
+    """
+    require_none(duplicate_keys(left, keys), "repeated key on the left")
+    require_none(duplicate_keys(right, keys), "repeated key on the right")
+    require_none(key_differences(left, right, keys), "key of one side only")
+    if same:
+        require_none(column_differences(left, right, keys, same), "different values")
+    drop = [*keys, *(same or [])]
+    return left.join(right.select(*keys, *[F.col(c).alias(f"{c}_right") for c in right.columns if c not in drop]), keys)
+
+
+def missing_json_keys(document: Column, keys: list[str]) -> Column:
+    """The keys of `keys` that a JSON object hasn't, in order; all of them for text that is no object."""
+    have = F.coalesce(F.json_object_keys(document), F.array().cast("array<string>"))
+    return F.array_except(F.array(*map(F.lit, keys)), have)

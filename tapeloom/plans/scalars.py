@@ -251,3 +251,18 @@ def k01_k12_row_contract(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "scored_row").select("delivery_id",
         signature_problem(F.col("attempt_n_pass_fail_vector"), F.col("attempt_n_pass_vector_signature")).alias("problem"),
         probability_problem(F.col("hyp_probabilities"), 3, 3, 1e-3).alias("probability_problem"))
+
+
+@query("""SELECT * , n_violations = 0 AS holds FROM (SELECT 'unique_delivery' AS check_name, (SELECT count(*) FROM (SELECT delivery_id FROM scored_row GROUP BY 1 HAVING count(*) > 1)) AS n_violations
+   UNION ALL SELECT 'key_present', (SELECT count(*) FROM scored_row WHERE custom_id IS NULL) UNION ALL SELECT 'score_in_range', (SELECT count(*) FROM scored_row WHERE top_1_score < 0 OR top_1_score > 1)
+   UNION ALL SELECT 'candidate_of_scope', (SELECT count(*) FROM validated_candidate v WHERE NOT EXISTS (SELECT 1 FROM scope_record s WHERE s.class_id = v.class_id AND s.assessment_id = v.assessment_id AND s.exercise_id = v.exercise_id)))""")
+def k08_k09_expectations(spark: SparkSession, root: str) -> DataFrame:
+    """Integrity checks across tables, as numbers of violations."""
+    from tapeloom.operators import contracts as K
+
+    s, v = table(spark, root, "scored_row"), table(spark, root, "validated_candidate")
+    scope = ["class_id", "assessment_id", "exercise_id"]
+    return K.expectations({
+        "unique_delivery": K.duplicate_keys(s, ["delivery_id"]), "key_present": s.where("custom_id IS NULL"),
+        "score_in_range": s.where("top_1_score < 0 OR top_1_score > 1"), "candidate_of_scope": v.join(table(spark, root, "scope_record"), scope, "left_anti"),
+    })

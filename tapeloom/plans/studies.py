@@ -64,7 +64,7 @@ def _discrimination(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 @query(f"""SELECT count(*) AS n_pairs, round(avg(own), 9) AS mean_self, round(avg(other), 9) AS mean_other, round(avg(delta), 9) + 0.0 AS mean_delta, round(median(delta), 9) + 0.0 AS median_delta,
-   round((count(*) FILTER (delta > 0) + 0.5 * count(*) FILTER (delta = 0)) / count(*), 9) AS auc, count(DISTINCT scope) AS n_scopes FROM {_D}""")
+   round((count(*) FILTER (delta > 0) + 0.5 * count(*) FILTER (delta = 0)) / nullif(count(*), 0), 9) AS auc, count(DISTINCT scope) AS n_scopes FROM {_D}""")
 def d03_identity_discrimination(spark: SparkSession, root: str) -> DataFrame:
     """Own against peers' score over all pairs."""
     s = _discrimination(spark, root)["summary"]
@@ -439,7 +439,7 @@ def _deltas(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"""WITH c AS (SELECT class_id, count(*) FILTER (delta > 0) AS k, count(*) FILTER (delta <> 0) AS n FROM {_PD} GROUP BY class_id),
    m AS (SELECT class_id, k, n, i, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) AS l, lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) AS own FROM c, LATERAL (SELECT range AS i FROM range(n + 1)))
-   SELECT class_id, k AS n_positive, n AS n_nonzero, CASE WHEN n = 0 THEN 'nan'::DOUBLE ELSE round(least(1, sum(CASE WHEN l <= own + 1e-9 THEN exp(l - n * ln(2)) ELSE 0 END)), 7) END AS p FROM m GROUP BY ALL""")
+   SELECT class_id, k AS n_positive, n AS n_nonzero, CASE WHEN n = 0 THEN 'nan'::DOUBLE ELSE round(least(1, sum(CASE WHEN l <= own + 1e-9 THEN exp(l - n * ln(2)) ELSE 0 END)), 7) END AS p FROM m GROUP BY class_id, k, n""")
 def i01_i02_sign_test(spark: SparkSession, root: str) -> DataFrame:
     """Exact sign test per class."""
     return N.sign_test(_deltas(spark, root), ["class_id"], "delta").withColumn("p", _r("p", 7))

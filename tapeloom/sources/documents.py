@@ -131,3 +131,18 @@ def markdown_table(rows: DataFrame, limit: int = 500) -> str:
 def metric_pivot(values: DataFrame, key: list[str], condition: str, value: str, conditions: list[str]) -> DataFrame:
     """Metrics by condition: a column for each of `conditions`."""
     return values.groupBy(*key).pivot(condition, conditions).agg(F.first(value))
+
+
+def by_priority(listing: DataFrame, patterns: list[str]) -> DataFrame:
+    """Of each directory the file that matches the first of `patterns` that any does, of several the last by name:
+    (directory, path)."""
+    rank = F.coalesce(*[F.when(F.col("path").rlike(p), F.lit(k)) for k, p in enumerate(patterns)])
+    rows = listing.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory"), rank.alias("rank")).where("rank IS NOT NULL")
+    return rows.groupBy("directory").agg(F.max_by("path", F.struct((-F.col("rank")).alias("r"), "path")).alias("path"))
+
+
+def examples(predictions: DataFrame, observed: DataFrame, key: str = "custom_id") -> DataFrame:
+    """Predictions (key, hyps) with their observed events (key, events), and a reason where one is missing."""
+    both = predictions.join(observed, key, "full_outer")
+    reason = F.when(F.col("hyps").isNull(), "no_prediction").when(F.col("events").isNull(), "no_observed_events")
+    return both.withColumn("reason", reason)

@@ -40,7 +40,7 @@ def test_running_sums_over_buckets(spark):
             want[n] = (idx, pos)
             idx, pos = (idx + 1, 0) if shut else (idx, pos + 1)
     assert got == want
-    gaps = I.idle_gap_tape(df, ["log_id"], "ts", ["ts", "n"], "n", 30.0, 600).withColumn("k", F.col("kind"))
+    gaps = I.idle_gap_tape(df.withColumn("what", F.lit("change")), ["log_id"], "ts", ["ts", "n"], "what", 30.0, 600)
     places = [r.position for r in gaps.where("log_id = 1").orderBy("position").collect()]
     assert places == list(range(len(places)))
 
@@ -237,3 +237,35 @@ def test_listing_assessments_and_json(spark, tmp_path):
     DOC.write_bundles(spark.createDataFrame([("a", 1)], "k string, v int"), ["k"], str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).first().v == 1
     assert DOC.markdown_table(spark.createDataFrame([("a", 0.5)], "k string, v double")).splitlines()[-1] == "| a | 0.5 |"
+
+
+def test_strict_pairs_and_expectations(spark):
+    a = spark.createDataFrame([(1, "x", 0.5), (2, "y", 0.1)], "k int, t string, v double")
+    got = K.strict_pairs(a, a, ["k"], ["t"]).orderBy("k").collect()
+    assert [(r.v, r.v_right) for r in got] == [(0.5, 0.5), (0.1, 0.1)]
+    for bad in (a.limit(1), a.withColumn("t", F.lit("z")), a.union(a)):
+        with pytest.raises(ValueError):
+            K.strict_pairs(a, bad, ["k"], ["t"])
+    e = {r.check_name: (r.n_violations, r.holds) for r in K.expectations({"none": a.limit(0), "two": a}).collect()}
+    assert e == {"none": (0, True), "two": (2, False)}
+    j = spark.createDataFrame([('{"a": 1}',), ("[",), (None,)], "j string")
+    assert [r.m for r in j.select(K.missing_json_keys(F.col("j"), ["a", "b"]).alias("m")).collect()] == [["b"], ["a", "b"], ["a", "b"]]
+
+
+def test_priority_and_examples(spark):
+    f = spark.createDataFrame([("d/x.json",), ("d/results_1.jsonl",), ("d/results_2.jsonl",), ("e/x.json",), ("e/y.txt",)], "path string")
+    assert {r.directory: r.path for r in DOC.by_priority(f, [r"results_.*\.jsonl$", r"\.json$"]).collect()} == {"d": "d/results_2.jsonl", "e": "e/x.json"}
+    p, o = spark.createDataFrame([("a", 1), ("b", 2)], "custom_id string, hyps int"), spark.createDataFrame([("b", 3), ("c", 4)], "custom_id string, events int")
+    assert {r.custom_id: r.reason for r in DOC.examples(p, o).collect()} == {"a": "no_observed_events", "b": None, "c": "no_prediction"}
+
+
+def test_ranks_against_sorting(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), rng.choice([float(rng.randrange(30)), None, rng.random()])) for _ in range(500)]
+    got = N.average_ranks(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", buckets=7).collect()
+    for key in "ab":
+        xs = [x for k, x in rows if k == key and x is not None]
+        want = sorted((x, sum(y < x for y in xs) + (xs.count(x) + 1) / 2) for x in xs)
+        assert sorted((r.x, r["rank"]) for r in got if r.k == key) == want
