@@ -1,11 +1,17 @@
-"""Column expressions on arrays: similarities of sequences, run compression, motifs. All run in the JVM."""
+"""Column expressions on arrays: similarities of sequences, run compression, motifs. All run in the JVM but the three
+dynamic programmes, whose tables higher-order functions copy at every cell: Arrow UDFs, fit for sequences of any length."""
 
 from __future__ import annotations
 
+from itertools import count
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions.code import overlap
+from tapeloom.functions.diff import distance
 
 #: The family of each kind of event.
 FAMILIES = {
@@ -50,24 +56,57 @@ def multiset_jaccard(a: Column, b: Column) -> Column:
     return F.when(every == 0, 1.0).otherwise(s / every)
 
 
-def _table(a: Column, b: Column, first: Column, cell) -> Column:
-    """The last row of a dynamic programme over two arrays; `cell(up, left, diagonal, x, y)` gives a value."""
+def _spelled(a, b) -> tuple[str, str]:
+    """Both sequences with a character for each element; a null is like no other element."""
+    seen, fresh = {}, count(0x10000)
+    spell = lambda xs: "".join(chr(next(fresh) if x is None else seen[x] if x in seen else seen.setdefault(x, next(fresh))) for x in xs)
+    return spell(a), spell(b)
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a row of the table at a time, as the bits where it doesn't rise."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def warping_cost(a: str, b: str) -> int:
+    """Least number of unequal pairs on a warping path over two texts that aren't empty."""
+    far = len(a) + len(b)
+    row = [0] + [far] * len(b)
+    for x in a:
+        diag, left, new = row[0], far, [far]
+        for y, up in zip(b, row[1:]):
+            left = min(up, left, diag) + (x != y)
+            new.append(left)
+            diag = up
+        row = new
+    return row[-1]
+
+
+def _each(f, a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None or not len(x) or not len(y) else f(*_spelled(x, y)) for x, y in zip(a, b)], dtype="Int64")
 
-    def row(prev: Column, x: Column) -> Column:
-        start = F.array(F.element_at(prev, 1) + _step(first))
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            start,
-            lambda cur, j: F.concat(
-                cur,
-                F.array(cell(F.element_at(prev, j + 1), F.element_at(cur, -1), F.element_at(prev, j), x, F.element_at(b, j))),
-            ),
-        )
 
-    def _step(c: Column) -> Column:
-        return F.element_at(c, 2) - F.element_at(c, 1)
+@F.pandas_udf(T.LongType())
+def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _each(distance, a, b)
 
-    return F.aggregate(a, first, row)
+
+@F.pandas_udf(T.LongType())
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _each(common_length, a, b)
+
+
+@F.pandas_udf(T.LongType())
+def _warping(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _each(warping_cost, a, b)
 
 
 def _guard(a: Column, b: Column, value: Column, empty: float) -> Column:
@@ -82,32 +121,17 @@ def _guard(a: Column, b: Column, value: Column, empty: float) -> Column:
 
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - edits / longer length."""
-    rows = F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: i)
-    last = _table(
-        a, b, rows, lambda up, left, diag, x, y: F.least(up + 1, left + 1, diag + F.when(x == y, 0).otherwise(1))
-    )
-    return _guard(a, b, 1 - F.element_at(last, -1) / F.greatest(F.size(a), F.size(b)), 0.0)
+    return _guard(a, b, 1 - _edits(a, b) / F.greatest(F.size(a), F.size(b)), 0.0)
 
 
 def lcss_ratio(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence over the longer length."""
-    rows = F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: F.lit(0))
-    last = _table(
-        a, b, rows, lambda up, left, diag, x, y: F.when(x == y, diag + 1).otherwise(F.greatest(up, left))
-    )
-    return _guard(a, b, F.element_at(last, -1) / F.greatest(F.size(a), F.size(b)), 0.0)
-
-
-_FAR = 1_000_000
+    return _guard(a, b, _common(a, b) / F.greatest(F.size(a), F.size(b)), 0.0)
 
 
 def dtw_similarity(a: Column, b: Column) -> Column:
     """1 - time-warping cost / longer length, at least 0; a step costs 1 where the elements differ."""
-    rows = F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: i * _FAR)
-    last = _table(
-        a, b, rows, lambda up, left, diag, x, y: F.least(up, left, diag) + F.when(x == y, 0).otherwise(1)
-    )
-    return _guard(a, b, F.greatest(F.lit(0.0), 1 - F.element_at(last, -1) / F.greatest(F.size(a), F.size(b))), 0.0)
+    return _guard(a, b, F.greatest(F.lit(0.0), 1 - _warping(a, b) / F.greatest(F.size(a), F.size(b))), 0.0)
 
 
 def shared_prefix(a: Column, b: Column) -> Column:

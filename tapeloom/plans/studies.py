@@ -242,7 +242,7 @@ def l07_j47_tolerance_metric(spark: SparkSession, root: str) -> DataFrame:
 def l09_l15_sequence_metrics(spark: SparkSession, root: str) -> DataFrame:
     """Sequence metrics of a log's two earlier tapes as hypotheses for the next."""
     w = Window.partitionBy("log_id").orderBy("interval_idx")
-    m = I.interval_motifs(events(spark, root), ["log_id"], ORDER, "kind").select("log_id", "interval_idx", F.slice("kinds", 1, 40).alias("t"))
+    m = I.interval_motifs(events(spark, root), ["log_id"], ORDER, "kind").select("log_id", "interval_idx", F.col("kinds").alias("t"))
     m = m.withColumn("h1", F.lag("t", 1).over(w)).withColumn("h2", F.lag("t", 2).over(w)).where("h2 IS NOT NULL")
     h = m.select("log_id", "interval_idx", "t", F.explode(F.array(F.struct(F.lit(0.7).alias("p"), F.lit("h1").alias("label"), F.col("h1").alias("x")), F.struct(F.lit(0.3).alias("p"), F.lit("h2").alias("label"), F.col("h2").alias("x")))).alias("h")).select("log_id", "interval_idx", "t", "h.*")
     fam = lambda c: F.transform(c, S.event_family)

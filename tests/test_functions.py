@@ -86,6 +86,32 @@ def test_sequence_programmes_against_plain_ones(spark):
         assert r.d == pytest.approx(max(0, 1 - cost / n))
 
 
+def test_whole_tapes_are_scored(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tapeloom.plans import sequences, studies
+
+    tapes = [["change"] * 45 + ["saida_testar", "submit"], ["change"] * 45 + ["kill_program", "change", "submit"], ["change"] * 45 + ["saida_testar", "change", "submit"]]
+    kinds = [k for t in tapes for k in t]
+    rows = [(i, 7, datetime(2024, 3, 4) + timedelta(seconds=i), i, k, "") for i, k in enumerate(kinds)]
+    spark.createDataFrame(rows, "event_id bigint, log_id bigint, event_ts timestamp, line_number bigint, raw_type string, payload string").write.parquet(f"{tmp_path}/raw_trace_event.parquet")
+    edits = lambda a, b: 1 - _dp(a, b, lambda u, v, d, q: min(u + 1, v + 1, d + (not q)), lambda k: k) / max(len(a), len(b))
+    common = lambda a, b: _dp(a, b, lambda u, v, d, q: d + 1 if q else max(u, v), lambda k: 0) / max(len(a), len(b))
+    warped = lambda a, b: 1 - _dp(a, b, lambda u, v, d, q: min(u, v, d) + (not q), lambda k: 10**6 * bool(k)) / max(len(a), len(b))
+    pairs = {i: (tapes[i], tapes[i + 1]) for i in (0, 1)}
+    got = {r.interval_idx: r for r in sequences.j39_j41_sequence_similarity(spark, str(tmp_path)).collect()}
+    one_of = {r.interval_idx: r.edit_similarity for r in sequences.j39_edit_similarity(spark, str(tmp_path)).collect()}
+    shared = {r.interval_idx: r for r in sequences.j42_j44_prefixes(spark, str(tmp_path)).collect()}
+    for i, (a, b) in pairs.items():
+        both = sum((Counter(a) & Counter(b)).values())
+        assert (got[i].edit_similarity, got[i].lcss, got[i].dtw) == pytest.approx((edits(a, b), common(a, b), warped(a, b)))
+        assert one_of[i] == pytest.approx(edits(a, b)) and shared[i].prefix == 45
+        assert shared[i].jaccard == pytest.approx(both / (len(a) + len(b) - both))
+    scores = {r.metric: r for r in studies.l09_l15_sequence_metrics(spark, str(tmp_path)).collect()}
+    assert scores["edit"].expected_score == pytest.approx(0.7 * edits(tapes[1], tapes[2]) + 0.3 * edits(tapes[0], tapes[2]))
+    assert scores["lcss"].top1_score == pytest.approx(common(tapes[1], tapes[2])) and scores["prefix"].top1_score == pytest.approx(45 / 48)
+
+
 def test_binned_steps(spark):
     kinds = ["local_run", "edit"] * 36
     steps = ", ".join(f"named_struct('action', '{k}', 'start', {i if k == 'edit' else 'CAST(NULL AS INT)'}, 'end', {i if k == 'edit' else 'CAST(NULL AS INT)'})" for i, k in enumerate(kinds))
