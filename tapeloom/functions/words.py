@@ -81,7 +81,7 @@ def type_token_ratio(tokens: Column) -> Column:
 
 def clauses(c: Column) -> Column:
     """Parts of a text between `;`, `,`, `.` or the word and."""
-    return F.filter(F.transform(F.split(F.lower(c), r"[;,.]|\band\b"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.lower(c), r"(?U)[;,.]|\band\b"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def clause_counts(c: Column, kinds: dict[str, list[str]] | None = None) -> Column:
@@ -121,7 +121,7 @@ def line_hit(mentions: Column, observed: Column, tolerance: int = 2) -> Column:
 
 def action_kinds(c: Column, patterns: dict[str, str] | None = None) -> Column:
     """The kinds of events a text speaks of."""
-    made = [F.when(c.rlike(p), F.lit(k)) for k, p in (patterns or ACTION_PATTERNS).items()]
+    made = [F.when(c.rlike("(?U)" + p), F.lit(k)) for k, p in (patterns or ACTION_PATTERNS).items()]
     return F.array_compact(F.array(*made))
 
 
@@ -135,7 +135,7 @@ def identifier_references(c: Column, code: Column) -> Column:
     from tapeloom.functions.code import code_tokens, identifier_tokens
 
     names = identifier_tokens(code_tokens(code))
-    said = F.filter(F.regexp_extract_all(c, F.lit(r"\w+"), F.lit(0)), lambda w: w.rlike(r"[_\d]") | (F.length(w) >= 4))
+    said = F.filter(F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: w.rlike(r"[_\d]") | (F.length(w) >= 4))
     return F.array_sort(F.array_intersect(said, names))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.sequences import event_kind
-from tapeloom.shared import stripped, table
+from tapeloom.shared import UNI_SPACE, stripped, table
 
 SEMANTIC = ("change", "saida_testar", "submit", "kill_program", "keyhandled", "tab_click")
 
@@ -29,12 +29,11 @@ EVENTS_SQL = r"""(SELECT * FROM (SELECT event_id, min(log_id) AS log_id, min(eve
 
 
 def programs(spark: SparkSession, root: str) -> DataFrame:
-    """validated_candidate with both programs, in plain ASCII so that characters are bytes, and its keys."""
-    ascii_of = lambda c: F.regexp_replace(F.col(c), r"[^\x00-\x7f]", "?")
+    """validated_candidate with both programs as they are stored, and its keys."""
     return table(spark, root, "validated_candidate").select(
         "candidate_id", stripped(F.col("custom_id")).alias("custom_id"), "class_id", "assessment_id", "exercise_id",
-        stripped(F.col("student_id")).alias("student_id"), ascii_of("attempt_n_code").alias("code_n"),
-        ascii_of("attempt_n1_code").alias("code_n1"), F.col("attempt_n_pass_fail_vector").alias("vector"),
+        stripped(F.col("student_id")).alias("student_id"), F.col("attempt_n_code").alias("code_n"),
+        F.col("attempt_n1_code").alias("code_n1"), F.col("attempt_n_pass_fail_vector").alias("vector"),
     )
 
 
@@ -73,14 +72,13 @@ SCORED_SQL = r"""(SELECT custom_id, run_condition, delivery_id, concat_ws(':', c
 
 
 def summaries(spark: SparkSession, root: str) -> DataFrame:
-    """summary_record, the kept copy of each message with a text: white space as one blank, plain ASCII."""
+    """summary_record, the kept copy of each message with a text: white space of any kind as one blank, all else as stored."""
     from tapeloom.operators.quotient import delivered_once
 
     rows = delivered_once(table(spark, root, "summary_record")).where("custom_id IS NOT NULL AND summary IS NOT NULL")
-    plain = F.regexp_replace(F.col("summary"), r"[^\x00-\x7f]", "?")
     return rows.select(
         stripped(F.col("custom_id")).alias("custom_id"), "run_condition", "exercise_id", "student_id",
-        F.trim(F.regexp_replace(plain, r"[ \t\n\r\f\x0B]+", " ")).alias("summary"),
+        F.trim(F.regexp_replace("summary", f"{UNI_SPACE}+", " ")).alias("summary"),
     )
 
 

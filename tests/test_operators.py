@@ -269,3 +269,24 @@ def test_ranks_against_sorting(spark):
         xs = [x for k, x in rows if k == key and x is not None]
         want = sorted((x, sum(y < x for y in xs) + (xs.count(x) + 1) / 2) for x in xs)
         assert sorted((r.x, r["rank"]) for r in got if r.k == key) == want
+
+
+def test_texts_keep_their_letters(spark, tmp_path):
+    from tapeloom.plans import cohorts, scalars
+
+    at = datetime(2024, 3, 4)
+    texts = ["O aluno n\u00e3o corrigiu; run\u00e9 \u00e9\u00a0outro", "\u0441\u0442\u0443\u0434\u0435\u043d\u0442 runs line 3", "caf\u00e9 cafe\u0301 caf\u00e8"]
+    rows = [(f"c{i}", "full_trace", i, at, "e", f"s{i}", t) for i, t in enumerate(texts)]
+    schema = "custom_id string, run_condition string, delivery_id bigint, received_ts timestamp, exercise_id string, student_id string, summary string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/summary_record.parquet")
+    words = {r.custom_id: r for r in scalars.j56_j66_word_features(spark, str(tmp_path)).collect()}
+    assert [words[f"c{i}"].n_words for i in range(3)] == [7, 4, 3] and words["c2"].ttr == 1
+    assert words["c0"].opening == "o aluno n\u00e3o" and words["c1"].opening == "\u0441\u0442\u0443\u0434\u0435\u043d\u0442 runs line"
+    rates = {r.family: r.hits for r in cohorts.g43_g39_term_rates(spark, str(tmp_path)).collect()}
+    assert rates == {"line": 1, "run": 1}  # `run` with an accented letter behind it is another word
+    code = spark.createDataFrame([("1", "c", "a", "e", "s", "x = '\u00e9'", "x = '\u00e8'", [True])],
+        "candidate_id string, class_id string, assessment_id string, exercise_id string, student_id string, attempt_n_code string, attempt_n1_code string, attempt_n_pass_fail_vector array<boolean>")
+    code.withColumn("custom_id", F.lit("k")).write.parquet(f"{tmp_path}/validated_candidate.parquet")
+    from tapeloom.plans.inputs import programs
+
+    assert programs(spark, str(tmp_path)).where("code_n = code_n1").count() == 0
