@@ -36,14 +36,16 @@ _STATE = "idx int, n int, changes int, runs int"
 def _close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     idx, n, changes, runs = state.get if state.exists else (0, 0, 0, 0)
     out = []
-    for batch in batches:
-        for kind, ts in batch.sort_values(["ts", "line_number", "event_id"])[["kind", "ts"]].itertuples(index=False):
-            n += 1
-            changes += kind == "change"
-            runs += kind == "saida_testar"
-            if kind == "submit":
-                out.append((key[0], idx, n, changes, runs, ts))
-                idx, n, changes, runs = idx + 1, 0, 0, 0
+    # a log's rows come in chunks of maxRecordsPerBatch in no order: they are sorted as a whole
+    every = pd.concat([b[["ts", "line_number", "event_id", "kind"]] for b in batches], ignore_index=True)
+    # a missing line number goes first, as in the batch operators
+    for kind, ts in every.sort_values(["ts", "line_number", "event_id"], na_position="first")[["kind", "ts"]].itertuples(index=False):
+        n += 1
+        changes += kind == "change"
+        runs += kind == "saida_testar"
+        if kind == "submit":
+            out.append((key[0], idx, n, changes, runs, ts))
+            idx, n, changes, runs = idx + 1, 0, 0, 0
     state.update((int(idx), int(n), int(changes), int(runs)))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
@@ -51,7 +53,8 @@ def _close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 def interval_stream(events: DataFrame) -> DataFrame:
     """One row per closed interval of a log, from a stream of (log_id, event_id, kind, ts, line_number).
 
-    The state of a log is four numbers. Events of a log must come in order of time from one micro-batch to the next.
+    The state of a log is four numbers. Events of a log must come in order of time from one micro-batch to the next;
+    those of one micro-batch may come in any order and are held together, log by log, to be sorted.
     """
     return events.groupBy("log_id").applyInPandasWithState(_close, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 

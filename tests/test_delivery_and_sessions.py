@@ -98,3 +98,23 @@ def test_session_types_repeated_events_and_logs_without_student(spark):
     assert got[2]["n_events"] == 2 and got[2]["events_by_kind"] == {"submit": 1, "unknown": 1} and got[2]["duration_seconds"] == 29 * 60
     assert student_sessions(trace.limit(0), logs).count() == 0
     assert student_sessions(trace, logs.where(F.lit(False))).count() == 0
+
+
+def test_interval_stream_of_a_log_longer_than_a_batch(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tapeloom.streaming import tapes
+
+    kinds = (["change"] * 3 + ["saida_testar", "submit"]) * 6
+    rows = [(1, i, k, datetime(2024, 3, 4) + timedelta(seconds=i), i) for i, k in enumerate(kinds)]
+    rows = [rows[i * 7 % len(rows)] for i in range(len(rows))]  # out of order
+    schema = "log_id bigint, event_id bigint, kind string, ts timestamp, line_number bigint"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/events")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/events")
+        got = tapes.run_available(tapes.interval_stream(stream), "intervals").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.interval_idx, r.n_events, r.n_changes, r.n_runs) for r in got) == [(i, 5, 3, 1) for i in range(6)]
