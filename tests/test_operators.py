@@ -290,3 +290,25 @@ def test_texts_keep_their_letters(spark, tmp_path):
     from tapeloom.plans.inputs import programs
 
     assert programs(spark, str(tmp_path)).where("code_n = code_n1").count() == 0
+
+
+def test_sign_flip_query_takes_every_cluster(spark):
+    from itertools import product
+
+    from tapeloom.plans import studies
+
+    root = "/root/testdata/sf0.001"
+    c = [r.c for r in N.contributions(N.contrast_clusters(*studies._conditions(spark, root), ["scope"], "top_1_score"), ["scope"]).collect()]
+    assert len(c) == 14
+    got = studies.i08_sign_flip(spark, root).first()
+    hits = sum(abs(sum(s * x for s, x in zip(signs, c))) + 1e-12 >= abs(sum(c)) for signs in product((1, -1), repeat=len(c)))
+    assert (got.n_assignments, got.exact) == (2**14, True) and got.p == pytest.approx(hits / 2**14)
+
+
+def test_sign_flip_of_ten_clusters_is_exact(spark):
+    from itertools import product
+
+    c = [0.3, -0.1, 0.25, 0.05, -0.4, 0.15, 0.2, -0.05, 0.35, 0.1]
+    got = N.sign_flip(spark.createDataFrame(list(enumerate(c)), "scope int, c double"), ["scope"]).first()
+    hits = sum(abs(sum(s * x for s, x in zip(signs, c))) + 1e-12 >= abs(sum(c)) for signs in product((1, -1), repeat=10))
+    assert (got.p, got.n_assignments, got.exact) == (pytest.approx(hits / 1024), 1024, True)
