@@ -146,10 +146,11 @@ def e01_transition_alignment(spark: SparkSession, root: str) -> DataFrame:
 # parsers
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '(?m)^-- TEST CASE \d+:$')) AS n_headers FROM documents WHERE doc_kind = 'run_output' AND regexp_matches(text, '(?m)^-- TEST CASE \d+:$') AND NOT contains(text, chr(13))""")
 def a03_test_case_headers(spark: SparkSession, root: str) -> DataFrame:
-    """Test-case headers of program outputs."""
-    head = r"(?m)^-- TEST CASE \d+:$"
-    d = table(spark, root, "documents").where("doc_kind = 'run_output'").where(F.col("text").rlike(head) & ~F.col("text").contains("\r"))
-    return d.select("doc_id", F.regexp_count("text", F.lit(head)).cast("bigint").alias("n_headers"))
+    """Test-case headers of program outputs, whatever their line ends."""
+    head = r"(?md)^-- TEST CASE \d+:[^\S\n]*$"
+    lf = F.regexp_replace("text", r"\r\n?", "\n")
+    d = table(spark, root, "documents").where("doc_kind = 'run_output'").where(lf.rlike(head))
+    return d.select("doc_id", F.regexp_count(lf, F.lit(head)).cast("bigint").alias("n_headers"))
 
 
 @query()

@@ -312,3 +312,14 @@ def test_sign_flip_of_ten_clusters_is_exact(spark):
     got = N.sign_flip(spark.createDataFrame(list(enumerate(c)), "scope int, c double"), ["scope"]).first()
     hits = sum(abs(sum(s * x for s, x in zip(signs, c))) + 1e-12 >= abs(sum(c)) for signs in product((1, -1), repeat=10))
     assert (got.p, got.n_assignments, got.exact) == (pytest.approx(hits / 1024), 1024, True)
+
+
+
+def test_headers_with_every_line_end(spark, tmp_path):
+    from tapeloom.plans import programs
+
+    texts = ["-- TEST CASE 1:\nok\n-- TEST CASE 2:\n", "-- TEST CASE 1:\r\nok\r\n-- TEST CASE 2:\r\n", "-- TEST CASE 1:\rok\r-- TEST CASE 2:\r", "x -- TEST CASE 1:\r\n"]
+    rows = [(f"d{i}", "run_output", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id string, doc_kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_headers for r in programs.a03_test_case_headers(spark, str(tmp_path)).collect()}
+    assert got == {"d0": 2, "d1": 2, "d2": 2}
