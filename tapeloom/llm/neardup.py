@@ -8,9 +8,14 @@ a text of a elements by d = floor(a (1 - t) / t) whatever its partner.
 The space of elements is split into blocks by hash. An element on which two texts differ
 spoils one block, so that of a text's blocks all but d are equal in a close partner's
 fingerprint: if both put d + 1 of their blocks, the first in one order of all blocks, into
-the join, they share one of them. This holds for every pair, not with some probability. The
-order takes the rarest blocks first, by a table of hashed counts of fixed size, since blocks
-of common words pair texts for nothing. Candidates are then verified by their exact distance.
+the join, they share one of them. This needs more than d blocks that aren't empty, so that
+their number grows with the texts: a pair is split into four blocks or more for each element
+of the longer one's size class (powers of two), at least 512, and a text enters its own class
+and the next one if a partner may be there. A text whose elements fall into d blocks or fewer
+by chance (unlikely, but possible) is joined on single elements instead, with all texts. So no
+pair is lost, whatever the lengths. The order takes the rarest blocks first, by a table of
+hashed counts of fixed size, since blocks of common words pair texts for nothing. Candidates
+are then verified by their exact distance.
 
 Texts with equal fingerprints are one class and are joined as one.
 """
@@ -29,7 +34,12 @@ from pyspark.sql import functions as F
 from tapeloom.shared import tasks, written
 
 _WORD = re.compile(r"\w+")
+#: Blocks of the shortest texts, those of fewer than 2 * BLOCKS / PER_ELEMENT elements.
 BLOCKS = 512
+#: Blocks for each element of the least size of a class.
+PER_ELEMENT = 4
+#: Elements of texts that are taken at once, a single longer text aside.
+_AT_ONCE = 2_000_000
 #: Counters of the table of block frequencies, one for all texts however many there are.
 COUNTERS = 1 << 18
 
@@ -74,17 +84,56 @@ def elements(texts: list[str], known: _Words) -> tuple[np.ndarray, np.ndarray]:
     return e[order], sizes
 
 
-def block_signatures(e: np.ndarray, sizes: np.ndarray, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit signature of each non-empty block of each text, and its text."""
+def most_spoiled(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """The greatest distance d that a text of each size can have from a close partner."""
+    return np.floor(sizes * (1 - threshold) / threshold + 1e-9).astype(np.int64)
+
+
+def size_classes(sizes: np.ndarray, threshold: float, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
+    """(text, blocks): the numbers of blocks that each text is split into, one for each class its partners may be in."""
+    first = int(np.log2(blocks // PER_ELEMENT))
+    low = np.maximum(np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64), first)
+    longest = np.floor(sizes / threshold + 1e-9)
+    high = np.maximum(np.floor(np.log2(np.maximum(longest, 1))).astype(np.int64), first)
+    times = high - low + 1
+    text = np.repeat(np.arange(len(sizes)), times)
+    step = np.arange(len(text)) - np.repeat(np.cumsum(times) - times, times)
+    return text, np.int64(PER_ELEMENT) << (low[text] + step)
+
+
+def block_signatures(e: np.ndarray, sizes: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit signature of each non-empty block of each text, and its text; `blocks` is the number for each text."""
     row = np.repeat(np.arange(len(sizes)), sizes)
-    block = e % np.uint64(blocks)
+    of = blocks.astype(np.uint64)[row]
+    block = e % of
     order = np.lexsort((block, row))
-    b, r, x = block[order], row[order], e[order]
+    b, r, x = block[order] + (of[order] << np.uint64(32)), row[order], e[order]
     new = np.ones(len(x), dtype=bool)
     new[1:] = (b[1:] != b[:-1]) | (r[1:] != r[:-1])
     start = np.flatnonzero(new)
     total = np.add.reduceat(_mix(x), start) if len(x) else np.empty(0, dtype=np.uint64)
-    return _mix(total + b[start]), r[start]
+    return _mix(total + _mix(b[start])), r[start]
+
+
+def _parts(lists: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, elements, sizes) of stretches of a list column that are small enough to be worked on at once."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    e = lists.values.to_numpy().view(np.uint64)
+    lo = 0
+    while lo < len(lists):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _AT_ONCE, side="right")) - 1)
+        yield lo, e[offsets[lo] : offsets[hi]], np.diff(offsets[lo : hi + 1])
+        lo = hi
+
+
+def _split(e: np.ndarray, sizes: np.ndarray, threshold: float, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, entry of each, text of each entry): an entry is a text in one of its classes."""
+    text, per_entry = size_classes(sizes, threshold, blocks)
+    start = np.cumsum(sizes) - sizes
+    n = sizes[text]
+    at = np.repeat(start[text] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    sig, entry = block_signatures(e[at], n, per_entry)
+    return sig, entry, text
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -99,13 +148,18 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 2_000):
-            part = batch.slice(lo, 2_000)
-            e, sizes = elements(part.column(1).to_pylist(), known)
+        texts, lo = batch.column(1).to_pylist(), 0
+        while lo < len(texts):
+            hi, chars = lo, 0
+            while hi < len(texts) and (hi == lo or chars < _AT_ONCE) and hi < lo + 2_000:
+                chars += len(texts[hi])
+                hi += 1
+            e, sizes = elements(texts[lo:hi], known)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes.astype(np.int32)), _lists(_signed(e), sizes)],
+                [batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int32)), _lists(_signed(e), sizes)],
                 names=["class_id", "size", "e"],
             )
+            lo = hi
 
 
 def _class_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,45 +178,63 @@ def _class_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _block_counts(blocks: int, counters: int):
+def _block_counts(threshold: float, blocks: int, counters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, dtype=np.int64)
         for batch in batches:
-            lists = batch.column(0)
-            e = lists.flatten().to_numpy().view(np.uint64)
-            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            sig, _ = block_signatures(e, sizes, blocks)
-            total += np.bincount((sig % np.uint64(counters)).astype(np.int64), minlength=counters)
+            for _, e, sizes in _parts(batch.column(0)):
+                sig, _, _ = _split(e, sizes, threshold, blocks)
+                total += np.bincount((sig % np.uint64(counters)).astype(np.int64), minlength=counters)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
 
     return run
 
 
-def _first_blocks(counts, blocks: int, threshold: float):
+def _first_blocks(counts, threshold: float, blocks: int):
+    """(block, id, size) of the first d + 1 blocks of each text in each of its classes; a null block marks a text that
+    has no more than d in one of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in batches:
-            lists = batch.column(1)
-            e = lists.flatten().to_numpy().view(np.uint64)
-            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            sig, row = block_signatures(e, sizes, blocks)
-            often = table[(sig % np.uint64(len(table))).astype(np.int64)]
-            order = np.lexsort((sig, often, row))
-            sig, row = sig[order], row[order]
-            first = np.searchsorted(row, np.arange(len(sizes)))
-            place = np.arange(len(row)) - first[row]
-            most = np.floor(sizes * (1 - threshold) / threshold + 1e-9).astype(np.int64) + 1
-            keep = place < most[row]
             ids = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(_signed(sig[keep])),
-                    pa.array(ids[row[keep]]),
-                    pa.array(sizes[row[keep]].astype(np.int32)),
-                ],
-                names=["block", "id", "size"],
-            )
+            for lo, e, sizes in _parts(batch.column(1)):
+                sig, entry, text = _split(e, sizes, threshold, blocks)
+                often = table[(sig % np.uint64(len(table))).astype(np.int64)]
+                order = np.lexsort((sig, often, entry))
+                sig, entry = sig[order], entry[order]
+                filled = np.bincount(entry, minlength=len(text))
+                most = most_spoiled(sizes, threshold)[text] + 1
+                place = np.arange(len(entry)) - (np.cumsum(filled) - filled)[entry]
+                keep = place < most[entry]
+                few = np.unique(text[(filled < most) & (sizes[text] > 0)])
+                row = np.concatenate([text[entry[keep]], few])
+                none = np.zeros(len(row), dtype=bool)
+                none[len(row) - len(few) :] = True
+                block = np.concatenate([_signed(sig[keep]), np.zeros(len(few), dtype=np.int64)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block, mask=none), pa.array(ids[lo + row]), pa.array(sizes[row].astype(np.int32))],
+                    names=["block", "id", "size"],
+                )
+
+    return run
+
+
+def _first_elements(threshold: float):
+    """(block, id, size): the first d + 1 elements of each text, each as a block of its own; they are in the order of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for lo, e, sizes in _parts(batch.column(1)):
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(e)) - (np.cumsum(sizes) - sizes)[row]
+                keep = place <= most_spoiled(sizes, threshold)[row]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_signed(e[keep])), pa.array(ids[lo + row[keep]]), pa.array(sizes[row[keep]].astype(np.int32))],
+                    names=["block", "id", "size"],
+                )
 
     return run
 
@@ -186,7 +258,7 @@ def close_classes(
     texts: DataFrame, threshold: float = 0.75, blocks: int = BLOCKS, counters: int = COUNTERS
 ) -> DataFrame:
     """(class_a, class_b, similarity) of all pairs of `texts` (class_id, x) with similarity of at least
-    `threshold`, class_a < class_b."""
+    `threshold` (above 0.5, so that a partner is in the same size class or a neighbouring one), class_a < class_b."""
     spark = texts.sparkSession
     fingerprints = written(
         texts.select("class_id", "x").mapInArrow(_fingerprints, "class_id bigint, size int, e array<bigint>"),
@@ -194,7 +266,7 @@ def close_classes(
     )
     per_counter = (
         fingerprints.select("e")
-        .mapInArrow(_block_counts(blocks, counters), "at int, n bigint")
+        .mapInArrow(_block_counts(threshold, blocks, counters), "at int, n bigint")
         .groupBy("at")
         .agg(F.sum("n").alias("n"))
         .toPandas()  # at most `counters` rows
@@ -202,21 +274,26 @@ def close_classes(
     table = np.zeros(counters, dtype=np.int64)
     table[per_counter["at"].to_numpy(dtype=np.int64)] = per_counter["n"].to_numpy(dtype=np.int64)
     counts = spark.sparkContext.broadcast(table)
-    chosen = fingerprints.select("class_id", "e").mapInArrow(
-        _first_blocks(counts, blocks, threshold), "block bigint, id bigint, size int"
-    )
+    lists = fingerprints.select("class_id", "e")
+    chosen = lists.mapInArrow(_first_blocks(counts, threshold, blocks), "block bigint, id bigint, size int")
     chosen = chosen.repartition(tasks(spark), "block")  # the only exchange of all blocks: both uses below share it
-    shared = chosen.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block")
-    live = written(chosen.join(shared, "block", "left_semi"), "blocks")
-    a, b = live.alias("a"), live.alias("b")
+    wanted = chosen.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR block IS NULL").select("block")
+    live = written(chosen.join(wanted, chosen["block"].eqNullSafe(wanted["block"]), "left_semi"), "blocks")
     t = F.lit(threshold)
-    fits = (F.col("a.size") >= t * F.col("b.size")) & (F.col("b.size") >= t * F.col("a.size"))
-    candidates = written(
-        a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id")) & fits)
-        .select(F.col("a.id").alias("class_a"), F.col("b.id").alias("class_b"))
-        .distinct(),
-        "candidates",
-    )
+
+    def met(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        fits = (F.col("a.size") >= t * F.col("b.size")) & (F.col("b.size") >= t * F.col("a.size"))
+        apart = F.col("a.id") < F.col("b.id") if once else F.col("a.id") != F.col("b.id")
+        both = a.join(b, (F.col("a.block") == F.col("b.block")) & apart & fits)
+        return both.select(F.least("a.id", "b.id").alias("class_a"), F.greatest("a.id", "b.id").alias("class_b"))
+
+    pairs = met(live, live, True)
+    few = live.where("block IS NULL").select(F.col("id").alias("few_id")).distinct()
+    if not few.isEmpty():
+        single = lists.mapInArrow(_first_elements(threshold), "block bigint, id bigint, size int")
+        pairs = pairs.union(met(single.join(few, F.col("id") == F.col("few_id"), "left_semi"), single, False))
+    candidates = written(pairs.distinct(), "candidates")
     asked = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
     needed = written(fingerprints.join(asked, "class_id", "left_semi"), "asked")
     left = needed.select(F.col("class_id").alias("class_a"), F.col("size").alias("na"), F.col("e").alias("ea"))

@@ -180,6 +180,37 @@ def test_near_duplicates_against_all_pairs(spark, seed):
     assert set(links) == {k for k, _ in live} and links[len(texts) - 2] == links[0]
 
 
+@pytest.mark.parametrize(("n", "copies"), [(120, 12), (600, 12), (1_500, 12), (2_000, 12), (12_000, 10), (50_000, 4)])
+def test_no_close_pair_of_long_texts_is_lost(spark, n, copies):
+    rng = random.Random(n)
+    texts = []
+    for k in range(copies):
+        words = [f"{k}_{j}" for j in range(n)]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        same = int(0.86 * n)  # similarity 0.86 / 1.14 = 0.754: as far apart as may be, the differences spread evenly
+        swapped = [f"z{k}_{j}" if j * (n - same) // n != (j + 1) * (n - same) // n else w for j, w in enumerate(words)]
+        texts.append(" ".join(swapped))
+        longer = words + [f"y{k}_{j}" for j in range(int(n / 0.751) - n)]  # the same by insertions only
+        texts.append(" ".join(longer))
+    df = spark.createDataFrame(list(enumerate(texts)), "cid bigint, code string").repartition(8)
+    got = {tuple(r) for r in neardup.near_duplicate_rows(df, "cid", "code").collect()}
+    want = {(3 * k, 3 * k + d) for k in range(copies) for d in (1, 2)}
+    print(f"{n} words: recall {len(got & want) / len(want)}")
+    assert got == want
+
+
+def test_texts_with_too_few_blocks_meet_on_elements(spark):
+    rng = random.Random(5)
+    texts = []
+    for k in range(60):
+        words = [f"{k}_{j}" for j in range(rng.choice([3, 7, 30, 90]))]
+        texts += [" ".join(words), " ".join(words[1:] + ["new"])]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "class_id bigint, x string")
+    got = {(r.class_a, r.class_b) for r in neardup.close_classes(df, 0.75, blocks=8).collect()}
+    assert got == {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and similar(a, b) >= 0.75}
+
+
 def test_no_programs(spark):
     assert neardup.near_duplicate_rows(spark.createDataFrame([], "i bigint, c string"), "i", "c").count() == 0
 
