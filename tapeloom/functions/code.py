@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tapeloom.shared import SPACES, UNI_SPACE, WORD_CHARS
+
 #: The words that count as structure, not as identifiers.
 KEYWORDS = (
     "False None True and as assert async await break case class continue def del elif else except finally "
     "for from global if import in is lambda match nonlocal not or pass raise return try while with yield"
 ).split()
 
-#: Fixed value: tokens are words, numbers, two-character operators, single signs, and any other character.
-TOKEN = r"(?U)[A-Za-z_][A-Za-z_0-9]*|\d+|==|!=|<=|>=|:=|->|[-+*/%<>=(){}\[\],.:;]|[^\s]"
+#: Fixed value: tokens are names, numbers, two-character operators, single signs, and any other character.
+TOKEN = rf"[A-Za-z_][{WORD_CHARS}]*|\p{{Nd}}+|==|!=|<=|>=|:=|->|[-+*/%<>=(){{}}\[\],.:;]|[^{SPACES}]"
+_LINE_SPACES = SPACES.replace(r"\n", "")
 
 
 def _lf(c: Column) -> Column:
@@ -27,12 +30,12 @@ def narrow(c: Column) -> Column:
 
 def without_blank_end(c: Column) -> Column:
     """White space at line ends and all blank lines at the end dropped."""
-    return F.regexp_replace(F.regexp_replace(_lf(c), r"(?md)[ \t\f\x0B]+$", ""), r"\n+\z", "")
+    return F.regexp_replace(F.regexp_replace(_lf(c), rf"(?md)[{_LINE_SPACES}]+$", ""), r"\n+\z", "")
 
 
 def output_form(c: Column) -> Column:
     """Program output for comparison: white space at line ends and around the whole dropped."""
-    return F.regexp_replace(F.regexp_replace(_lf(c), r"(?md)[ \t\f\x0B]+$", ""), r"\A\s+|\s+\z", "")
+    return F.regexp_replace(F.regexp_replace(_lf(c), rf"(?md)[{_LINE_SPACES}]+$", ""), rf"\A{UNI_SPACE}+|{UNI_SPACE}+\z", "")
 
 
 def normalize_code(c: Column, mode: str = "narrow") -> Column:

@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.functions.code import KEYWORDS
+from tapeloom.functions.code import KEYWORDS, TOKEN
+from tapeloom.shared import SPACES, WORD_CHARS
 
 _KEYWORDS = frozenset(KEYWORDS)
-_TOKEN = re.compile(r"[A-Za-z_][A-Za-z_0-9]*|\d+|==|!=|<=|>=|:=|->|[-+*/%<>=(){}\[\],.:;]|[^\s]")
+#: `code.TOKEN` in Python's spelling, which has no \p{} classes but Unicode's \w, \d and \s.
+_TOKEN = re.compile(TOKEN.replace(rf"[A-Za-z_][{WORD_CHARS}]", r"[A-Za-z_][\w]").replace(r"\p{Nd}", r"\d").replace(f"[^{SPACES}]", r"\S"))
 REPAIR = (
     "strict_footprint_precision strict_footprint_recall strict_footprint_f1 windowed_footprint_precision "
     "windowed_footprint_recall windowed_footprint_f1 windowed_footprint_mean_iou aligned_content_f1 "

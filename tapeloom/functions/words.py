@@ -7,6 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tapeloom.shared import WORD_CHARS
+
+#: A word, and a place where one begins or ends.
+WORD = f"[{WORD_CHARS}]+"
+_EDGE = f"(?:(?<=[{WORD_CHARS}])(?![{WORD_CHARS}])|(?<![{WORD_CHARS}])(?=[{WORD_CHARS}]))"
+
 #: Common words that carry no content, for the operators below; pass others as parameters.
 STOPWORDS = (
     "a an and are as at be but by for from has have he her his i in is it its of on or she that the their them "
@@ -31,7 +37,12 @@ ACTION_PATTERNS = {
 
 def word_list(c: Column) -> Column:
     """Lower-case words, letters digits and underscores."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+
+
+def bounded(pattern: str) -> str:
+    """A pattern whose `\\b` and `\\d` hold for letters and digits of any script."""
+    return pattern.replace(r"\b", _EDGE).replace(r"\d", r"\p{Nd}")
 
 
 def sentences(c: Column) -> Column:
@@ -81,7 +92,7 @@ def type_token_ratio(tokens: Column) -> Column:
 
 def clauses(c: Column) -> Column:
     """Parts of a text between `;`, `,`, `.` or the word and."""
-    return F.filter(F.transform(F.split(F.lower(c), r"(?U)[;,.]|\band\b"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.lower(c), bounded(r"[;,.]|\band\b")), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def clause_counts(c: Column, kinds: dict[str, list[str]] | None = None) -> Column:
@@ -121,7 +132,7 @@ def line_hit(mentions: Column, observed: Column, tolerance: int = 2) -> Column:
 
 def action_kinds(c: Column, patterns: dict[str, str] | None = None) -> Column:
     """The kinds of events a text speaks of."""
-    made = [F.when(c.rlike("(?U)" + p), F.lit(k)) for k, p in (patterns or ACTION_PATTERNS).items()]
+    made = [F.when(c.rlike(bounded(p)), F.lit(k)) for k, p in (patterns or ACTION_PATTERNS).items()]
     return F.array_compact(F.array(*made))
 
 
@@ -135,7 +146,7 @@ def identifier_references(c: Column, code: Column) -> Column:
     from tapeloom.functions.code import code_tokens, identifier_tokens
 
     names = identifier_tokens(code_tokens(code))
-    said = F.filter(F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: w.rlike(r"[_\d]") | (F.length(w) >= 4))
+    said = F.filter(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), lambda w: w.rlike(r"[_\d]") | (F.length(w) >= 4))
     return F.array_sort(F.array_intersect(said, names))
 
 

@@ -111,7 +111,7 @@ def next_word_counts(docs: DataFrame, keys: list[str], text: str, opening: Seque
 def term_rates(docs: DataFrame, keys: list[str], text: str, families: dict[str, str]) -> DataFrame:
     """(keys, family, hits, docs_with_any, per_1000): regex families over all texts of a group."""
     t = F.size(W.word_list(F.col(text)))
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.regexp_count(text, F.lit("(?U)" + p)).alias("h")) for k, p in families.items()]))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.regexp_count(text, F.lit(W.bounded(p))).alias("h")) for k, p in families.items()]))
     rows = docs.where(F.col(text).isNotNull()).select(*keys, t.alias("n"), each.alias("x"))
     return rows.groupBy(*keys, "x.family").agg(
         F.sum("x.h").alias("hits"), F.count_if(F.col("x.h") > 0).alias("docs_with_any"), W.terms_per_thousand(F.sum("x.h"), F.sum("n")).alias("per_1000")

@@ -10,7 +10,7 @@ from tapeloom.operators import intervals as I
 from tapeloom.operators import prose as P
 from tapeloom.operators import selection as L
 from tapeloom.operators import views as V
-from tapeloom.plans.inputs import PROGRAMS_SQL, SCORED_SQL, SUMMARIES_SQL, events, programs, scored, summaries
+from tapeloom.plans.inputs import PROGRAMS_SQL, SCORED_SQL, SUMMARIES_SQL, ascii_sql, events, programs, scored, summaries
 from tapeloom.plans.scalars import _NG, _STOP, _WORDS
 from tapeloom.plans.sequences import _ISL, ORDER
 from tapeloom.shared import stripped, table
@@ -250,7 +250,7 @@ def g41_opening_entropy(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(f"""SELECT run_condition, f AS family, CAST(sum(h) AS BIGINT) AS hits, count(*) FILTER (h > 0) AS docs_with_any, round(1000.0 * sum(h) / sum(n), 9) AS per_1000 FROM (SELECT run_condition, len({_WORDS}) AS n, unnest(['line', 'run']) AS f,
-   unnest([len(regexp_extract_all(summary, '\\bline \\d+')), len(regexp_extract_all(summary, '\\bruns?\\b'))]) AS h FROM {SUMMARIES_SQL}) GROUP BY ALL""")
+   unnest([len(regexp_extract_all({ascii_sql('summary')}, '\\bline \\d+')), len(regexp_extract_all({ascii_sql('summary')}, '\\bruns?\\b'))]) AS h FROM {SUMMARIES_SQL}) GROUP BY ALL""")
 def g43_g39_term_rates(spark: SparkSession, root: str) -> DataFrame:
     """Terms of families per 1000 words."""
     return P.term_rates(summaries(spark, root), ["run_condition"], "summary", {"line": r"\bline \d+", "run": r"\bruns?\b"}).withColumn("per_1000", F.round("per_1000", 9))

@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.sequences import event_kind
-from tapeloom.shared import UNI_SPACE, stripped, table
+from tapeloom.shared import UNI_SPACE, WORD_CHARS, stripped, table
+
+
+
+def strip_sql(c: str) -> str:
+    """SQL of `shared.stripped`."""
+    return f"regexp_replace({c}, '^{UNI_SPACE}+|{UNI_SPACE}+$', '', 'g')"
+
+
+def ascii_sql(c: str) -> str:
+    """SQL of a text for patterns with `\\b` and `\\d`, which RE2 has for ASCII only: digits of other scripts as 0, other
+    letters as z, other characters as ~. Word edges and counts of ASCII words are those of the text as stored."""
+    zero = f"regexp_replace({c}, '\\p{{Nd}}', '0', 'g')"
+    return f"regexp_replace(regexp_replace({zero}, '[^\\x00-\\x7f{WORD_CHARS}]', '~', 'g'), '[^\\x00-\\x7f]', 'z', 'g')"
+
 
 SEMANTIC = ("change", "saida_testar", "submit", "kill_program", "keyhandled", "tab_click")
 
@@ -21,9 +35,9 @@ def events(spark: SparkSession, root: str) -> DataFrame:
     return once.where(F.col("ts").isNotNull() & F.col("kind").isin(*SEMANTIC))
 
 
-EVENTS_SQL = r"""(SELECT * FROM (SELECT event_id, min(log_id) AS log_id, min(event_ts) AS ts, min(line_number) AS line_number,
+EVENTS_SQL = f"""(SELECT * FROM (SELECT event_id, min(log_id) AS log_id, min(event_ts) AS ts, min(line_number) AS line_number,
    min(CASE WHEN k = 'kill' THEN 'kill_program' ELSE k END) AS kind, min(payload) AS payload
-   FROM (SELECT *, replace(lower(regexp_replace(raw_type, '^\s+|\s+$', '', 'g')), '-', '_') AS k FROM raw_trace_event
+   FROM (SELECT *, replace(lower({strip_sql('raw_type')}), '-', '_') AS k FROM raw_trace_event
          WHERE event_id IS NOT NULL) GROUP BY event_id)
    WHERE ts IS NOT NULL AND kind IN ('change', 'saida_testar', 'submit', 'kill_program', 'keyhandled', 'tab_click'))"""
 
@@ -37,10 +51,8 @@ def programs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-PROGRAMS_SQL = r"""(SELECT candidate_id, regexp_replace(custom_id, '^\s+|\s+$', '', 'g') AS custom_id, class_id, assessment_id,
-   exercise_id, regexp_replace(student_id, '^\s+|\s+$', '', 'g') AS student_id,
-   regexp_replace(attempt_n_code, '[^\x00-\x7f]', '?', 'g') AS code_n,
-   regexp_replace(attempt_n1_code, '[^\x00-\x7f]', '?', 'g') AS code_n1,
+PROGRAMS_SQL = f"""(SELECT candidate_id, {strip_sql('custom_id')} AS custom_id, class_id, assessment_id,
+   exercise_id, {strip_sql('student_id')} AS student_id, attempt_n_code AS code_n, attempt_n1_code AS code_n1,
    attempt_n_pass_fail_vector AS vector FROM validated_candidate)"""
 
 
@@ -61,12 +73,12 @@ def scored(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-SCORED_SQL = r"""(SELECT custom_id, run_condition, delivery_id, concat_ws(':', class_id, exercise_id, task_id) AS scope, student_id,
+SCORED_SQL = f"""(SELECT custom_id, run_condition, delivery_id, concat_ws(':', class_id, exercise_id, task_id) AS scope, student_id,
    attempt_n_pass_vector_signature AS signature, attempt_n_pass_fail_vector, hyp_probabilities,
    CASE WHEN isnan(top_1_score) THEN NULL ELSE top_1_score END AS top_1_score,
    CASE WHEN isnan(expected_score) THEN NULL ELSE expected_score END AS expected_score
-   FROM (SELECT * REPLACE (regexp_replace(custom_id, '^\s+|\s+$', '', 'g') AS custom_id), row_number() OVER (
-            PARTITION BY regexp_replace(custom_id, '^\s+|\s+$', '', 'g'), run_condition
+   FROM (SELECT * REPLACE ({strip_sql('custom_id')} AS custom_id), row_number() OVER (
+            PARTITION BY {strip_sql('custom_id')}, run_condition
             ORDER BY received_ts NULLS LAST, delivery_id) AS copy_no FROM scored_row WHERE custom_id IS NOT NULL)
    WHERE copy_no = 1)"""
 
@@ -82,9 +94,9 @@ def summaries(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-SUMMARIES_SQL = r"""(SELECT custom_id, run_condition, exercise_id, student_id,
-   trim(regexp_replace(regexp_replace(summary, '[^\x00-\x7f]', '?', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS summary
-   FROM (SELECT * REPLACE (regexp_replace(custom_id, '^\s+|\s+$', '', 'g') AS custom_id), row_number() OVER (
-            PARTITION BY regexp_replace(custom_id, '^\s+|\s+$', '', 'g'), run_condition
+SUMMARIES_SQL = f"""(SELECT custom_id, run_condition, exercise_id, student_id,
+   trim(regexp_replace(summary, '{UNI_SPACE}+', ' ', 'g')) AS summary
+   FROM (SELECT * REPLACE ({strip_sql('custom_id')} AS custom_id), row_number() OVER (
+            PARTITION BY {strip_sql('custom_id')}, run_condition
             ORDER BY received_ts NULLS LAST, delivery_id) AS copy_no FROM summary_record WHERE custom_id IS NOT NULL)
    WHERE copy_no = 1 AND summary IS NOT NULL)"""

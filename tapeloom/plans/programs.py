@@ -144,7 +144,7 @@ def e01_transition_alignment(spark: SparkSession, root: str) -> DataFrame:
 
 
 # parsers
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '(?m)^-- TEST CASE \d+:$')) AS n_headers FROM documents WHERE doc_kind = 'run_output' AND regexp_matches(text, '(?m)^-- TEST CASE \d+:$') AND NOT contains(text, chr(13))""")
+@query(r"""SELECT * FROM (SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?m)^-- TEST CASE \d+:[\t\v\f\r ]*$')) AS n_headers FROM documents WHERE doc_kind = 'run_output') WHERE n_headers > 0""")
 def a03_test_case_headers(spark: SparkSession, root: str) -> DataFrame:
     """Test-case headers of program outputs, whatever their line ends."""
     head = r"(?md)^-- TEST CASE \d+:[^\S\n]*$"

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import code as C
 from tapeloom.functions import words as W
-from tapeloom.plans.inputs import PROGRAMS_SQL, SUMMARIES_SQL, programs, summaries
-from tapeloom.shared import table
+from tapeloom.plans.inputs import PROGRAMS_SQL, SUMMARIES_SQL, ascii_sql, programs, strip_sql, summaries
+from tapeloom.shared import SPACES, UNI_SPACE, table
 
 QUERIES = {}
 ORACLE = {}
@@ -25,11 +25,22 @@ def query(sql: str | None = None):
 
 
 _NARROW = r"regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), '\n\z', ''), '(?m)[ \t]+$', '', 'g')"
-_BLANK = r"regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), '(?m)[ \t\f\v]+$', '', 'g'), '\n+\z', '')"
-_OUTPUT = r"regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'), '(?m)[ \t\f\v]+$', '', 'g'), '\A\s+|\s+\z', '', 'g')"
 
 
-@query(f"SELECT candidate_id, {_NARROW.format('code_n')} AS narrow, {_BLANK.format('code_n')} AS blank, {_OUTPUT.format('code_n')} AS output FROM {PROGRAMS_SQL}")
+def _blank(c: str) -> str:
+    inside = SPACES.replace(r"\n", "")
+    return f"regexp_replace(regexp_replace({c}, '\\r\\n?', chr(10), 'g'), '(?m)[{inside}]+$', '', 'g')"
+
+
+def blank_sql(c: str) -> str:
+    return f"regexp_replace({_blank(c)}, '\\n+\\z', '')"
+
+
+def output_sql(c: str) -> str:
+    return f"regexp_replace({_blank(c)}, '\\A{UNI_SPACE}+|{UNI_SPACE}+\\z', '', 'g')"
+
+
+@query(f"SELECT candidate_id, {_NARROW.format('code_n')} AS narrow, {blank_sql('code_n')} AS blank, {output_sql('code_n')} AS output FROM {PROGRAMS_SQL}")
 def j01_j03_normal_forms(spark: SparkSession, root: str) -> DataFrame:
     """The three normal forms of a program."""
     p = programs(spark, root)
@@ -49,13 +60,16 @@ def j04_j06_code_distance(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-_TOK = r"regexp_extract_all({}, '[A-Za-z_][A-Za-z_0-9]*|\d+|==|!=|<=|>=|:=|->|[-+*/%<>=(){{}}\[\],.:;]|[^\s]')"
+def token_sql(c: str) -> str:
+    return f"regexp_extract_all({c}, '{C.TOKEN}')"
+
+
 _KW = "[" + ", ".join(f"'{k}'" for k in C.KEYWORDS) + "]"
 
 
 @query(f"""SELECT candidate_id, len(t) AS n_tokens, len(list_filter(t, lambda x: regexp_matches(x, '^[A-Za-z_]') AND NOT list_contains({_KW}, x))) AS n_identifiers,
   len(list_filter(t, lambda x: NOT (regexp_matches(x, '^[A-Za-z_]') AND NOT list_contains({_KW}, x)))) AS n_structural
-  FROM (SELECT candidate_id, {_TOK.format('code_n')} AS t FROM {PROGRAMS_SQL} WHERE code_n IS NOT NULL)""")
+  FROM (SELECT candidate_id, {token_sql('code_n')} AS t FROM {PROGRAMS_SQL} WHERE code_n IS NOT NULL)""")
 def j07_j08_tokens(spark: SparkSession, root: str) -> DataFrame:
     """Tokens of a program and their parts."""
     t = programs(spark, root).where("code_n IS NOT NULL").select("candidate_id", C.code_tokens(F.col("code_n")).alias("t"))
@@ -69,7 +83,7 @@ _OVER = "list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filt
 
 @query(f"""SELECT candidate_id, CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE round(2 * coalesce({_OVER}, 0) / (len(a) + len(b)), 9) END AS token_f1,
   CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE round(coalesce({_OVER}, 0) / (len(a) + len(b) - coalesce({_OVER}, 0)), 9) END AS multiset_jaccard
-  FROM (SELECT candidate_id, {_TOK.format('code_n')} AS a, {_TOK.format('code_n1')} AS b FROM {PROGRAMS_SQL} WHERE code_n IS NOT NULL AND code_n1 IS NOT NULL)""")
+  FROM (SELECT candidate_id, {token_sql('code_n')} AS a, {token_sql('code_n1')} AS b FROM {PROGRAMS_SQL} WHERE code_n IS NOT NULL AND code_n1 IS NOT NULL)""")
 def j09_j42_token_overlap(spark: SparkSession, root: str) -> DataFrame:
     """Multiset F1 and Jaccard of the tokens of two attempts."""
     from tapeloom.functions.sequences import multiset_jaccard
@@ -142,7 +156,7 @@ def c18_c20_buckets(spark: SparkSession, root: str) -> DataFrame:
     return t.select("log_id", "transition_index_0idx", C.steps_bucket(F.col("visible_attempt_count") - 1).alias("depth"), C.touched_bucket(F.col("visible_change_event_count")).alias("scope"))
 
 
-@query(f"""WITH t AS (SELECT candidate_id, {_OUTPUT.format('code_n')} AS e, {_OUTPUT.format('code_n1')} AS a, {_OUTPUT.format('custom_id')} AS g FROM {PROGRAMS_SQL} WHERE code_n IS NOT NULL AND code_n1 IS NOT NULL),
+@query(f"""WITH t AS (SELECT candidate_id, {output_sql('code_n')} AS e, {output_sql('code_n1')} AS a, {output_sql('custom_id')} AS g FROM {PROGRAMS_SQL} WHERE code_n IS NOT NULL AND code_n1 IS NOT NULL),
    l AS (SELECT *, CASE WHEN e = '' THEN [] ELSE string_split(e, chr(10)) END AS x, CASE WHEN a = '' THEN [] ELSE string_split(a, chr(10)) END AS y FROM t)
    SELECT candidate_id, CASE WHEN a = '' THEN 'empty_output' WHEN a = g THEN 'unchanged_input_echo' WHEN len(y) < len(x) THEN 'missing_output_lines' WHEN len(y) > len(x) AND len(list_distinct(y)) < len(y) THEN 'repeated_output_value'
      WHEN len(y) > len(x) THEN 'extra_output_lines' WHEN x[1] <> y[1] THEN 'wrong_first_output_line' WHEN x[-1] <> y[-1] THEN 'wrong_final_output_line' ELSE 'other_output_mismatch' END AS signature FROM l""")
@@ -152,7 +166,7 @@ def c17_mismatch_signature(spark: SparkSession, root: str) -> DataFrame:
     return p.select("candidate_id", C.mismatch_signature(F.col("code_n"), F.col("code_n1"), F.col("custom_id")).alias("signature"))
 
 
-_WORDS = "regexp_extract_all(lower(summary), '\\w+')"
+_WORDS = f"regexp_extract_all(lower(summary), '{W.WORD}')"
 _NG = "list_transform(CASE WHEN len(w) >= {n} THEN range(1, len(w) - {n} + 2) ELSE [] END, lambda i: array_to_string(w[i:i + {n} - 1], ' '))"
 
 
@@ -183,12 +197,12 @@ def j57_j59_phrases(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _clause_sql() -> str:
-    has = lambda ws: f"list_has_any(regexp_extract_all(p, '\\w+'), [{', '.join(repr(x) for x in ws)}])"
+    has = lambda ws: f"list_has_any(regexp_extract_all(p, '{W.WORD}'), [{', '.join(repr(x) for x in ws)}])"
     every = [w for ws in W.CLAUSE_WORDS.values() for w in ws]
     cols = [f"len(list_filter(c, lambda p: {has(ws)})) AS n_{k}" for k, ws in W.CLAUSE_WORDS.items()]
     cols.append(f"len(list_filter(c, lambda p: NOT {has(every)})) AS n_other")
     return f"""SELECT custom_id, run_condition, {', '.join(cols)} FROM (SELECT *, list_filter(list_transform(
-      regexp_split_to_array(lower(summary), '[;,.]|\\band\\b'), lambda x: trim(x)), lambda y: y <> '') AS c FROM {SUMMARIES_SQL})"""
+      regexp_split_to_array({ascii_sql('lower(summary)')}, '[;,.]|\\band\\b'), lambda x: trim(x)), lambda y: y <> '') AS c FROM {SUMMARIES_SQL})"""
 
 
 @query(_clause_sql())
@@ -202,7 +216,7 @@ _ACT = {k: p.replace("(?i)", "") for k, p in W.ACTION_PATTERNS.items()}
 
 
 @query(f"""SELECT custom_id, run_condition, len(list_filter(regexp_split_to_array(regexp_replace(summary, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS n_sentences,
-  list_filter([{', '.join(f"CASE WHEN regexp_matches(summary, '{p}', 'i') THEN '{k}' END" for k, p in _ACT.items())}], lambda x: x IS NOT NULL) AS actions FROM {SUMMARIES_SQL}""")
+  list_filter([{', '.join(f"CASE WHEN regexp_matches({ascii_sql('summary')}, '{p}', 'i') THEN '{k}' END" for k, p in _ACT.items())}], lambda x: x IS NOT NULL) AS actions FROM {SUMMARIES_SQL}""")
 def j65_j68_sentences_and_actions(spark: SparkSession, root: str) -> DataFrame:
     """Sentences and the actions a summary speaks of."""
     s = summaries(spark, root)
@@ -220,18 +234,18 @@ def j67_line_mentions(spark: SparkSession, root: str) -> DataFrame:
     return summaries(spark, root).select("custom_id", "run_condition", W.line_mentions(F.col("summary")).cast("array<bigint>").alias("lines"))
 
 
-@query(f"""SELECT s.custom_id, run_condition, list_sort(list_distinct(list_filter(regexp_extract_all(summary, '\\w+'), lambda w: (regexp_matches(w, '[_\\d]') OR length(w) >= 4)
+@query(f"""SELECT s.custom_id, run_condition, list_sort(list_distinct(list_filter(regexp_extract_all(summary, '{W.WORD}'), lambda w: (regexp_matches(w, '[_\\d]') OR length(w) >= 4)
    AND list_contains(t, w) AND regexp_matches(w, '^[A-Za-z_]') AND NOT list_contains({_KW}, w)))) AS refs
-  FROM {SUMMARIES_SQL} s JOIN (SELECT custom_id, {_TOK.format('code_n')} AS t FROM {PROGRAMS_SQL} WHERE code_n IS NOT NULL) p USING (custom_id)""")
+  FROM {SUMMARIES_SQL} s JOIN (SELECT custom_id, {token_sql('code_n')} AS t FROM {PROGRAMS_SQL} WHERE code_n IS NOT NULL) p USING (custom_id)""")
 def j61_j70_code_references(spark: SparkSession, root: str) -> DataFrame:
     """Names of the program that its summary speaks of."""
     p = programs(spark, root).where("code_n IS NOT NULL").select("custom_id", "code_n")
     return summaries(spark, root).join(p, "custom_id").select("custom_id", "run_condition", W.identifier_references(F.col("summary"), F.col("code_n")).alias("refs"))
 
 
-@query(r"""SELECT delivery_id, parts[1] AS class_id, parts[2] AS student_id, parts[3] AS assessment_id, parts[4] AS exercise_id, try_cast(parts[5] AS INTEGER) AS n,
+@query(f"""SELECT delivery_id, parts[1] AS class_id, parts[2] AS student_id, parts[3] AS assessment_id, parts[4] AS exercise_id, try_cast(parts[5] AS INTEGER) AS n,
   coalesce(len(parts) = 5 AND NOT list_contains(parts, '') AND try_cast(parts[5] AS INTEGER) IS NOT NULL, false) AS valid
-  FROM (SELECT delivery_id, string_split(regexp_replace(custom_id, '^\s+|\s+$', '', 'g'), ':') AS parts FROM scored_row)""")
+  FROM (SELECT delivery_id, string_split({strip_sql('custom_id')}, ':') AS parts FROM scored_row)""")
 def k11_row_keys(spark: SparkSession, root: str) -> DataFrame:
     """The parts of a custom_id as columns, and whether they are what they should be."""
     from tapeloom.operators.contracts import row_key

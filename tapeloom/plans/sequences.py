@@ -162,7 +162,7 @@ def tape_pairs(spark: SparkSession, root: str) -> DataFrame:
     return m.withColumn("b", F.lead("a").over(Window.partitionBy("log_id").orderBy("interval_idx"))).where("b IS NOT NULL")
 
 
-_PAIRS = f"(SELECT * FROM (SELECT log_id, interval_idx, kinds[1:40] AS a, lead(kinds[1:40]) OVER (PARTITION BY log_id ORDER BY interval_idx) AS b FROM {_MOTIFS}) WHERE b IS NOT NULL)"
+_PAIRS = f"(SELECT * FROM (SELECT log_id, interval_idx, kinds AS a, lead(kinds) OVER (PARTITION BY log_id ORDER BY interval_idx) AS b FROM {_MOTIFS}) WHERE b IS NOT NULL)"
 
 
 _CHARS = "array_to_string(list_transform({}, lambda k: CASE k WHEN 'change' THEN 'c' WHEN 'saida_testar' THEN 'r' WHEN 'submit' THEN 's' WHEN 'kill_program' THEN 'k' WHEN 'keyhandled' THEN 'h' ELSE 't' END), '')"

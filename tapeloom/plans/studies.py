@@ -402,22 +402,25 @@ def i06_over_collapse(spark: SparkSession, root: str) -> DataFrame:
     return N.cluster_bootstrap(c, ["scope"], samples=200)
 
 
-_CON = f"(SELECT scope, (sl - sr) / (SELECT sum(nl) FROM {_CL}) AS c, row_number() OVER (ORDER BY scope) - 1 AS i FROM {_CL} ORDER BY scope LIMIT 10)"
+def _flips(samples: int) -> str:
+    return f"""WITH c AS (SELECT scope, (sl - sr) / (SELECT sum(nl) FROM {_CL}) AS c, row_number() OVER (ORDER BY scope) - 1 AS i FROM {_CL}), k AS (SELECT count(*) AS n, count(*) <= 20 AS exact, CASE WHEN count(*) <= 20 THEN 1 << count(*) ELSE {samples} END AS total FROM c),
+   x AS (SELECT b, sum(CASE WHEN CASE WHEN exact THEN (b >> i) & 1 ELSE {_hash(42, 'b', 'i', '2')} END = 1 THEN -c ELSE c END) AS x FROM k, LATERAL (SELECT range AS b FROM range(k.total)), c GROUP BY b)
+   SELECT round(CASE WHEN any_value(exact) THEN count(*) FILTER (hit) / any_value(total) ELSE (count(*) FILTER (hit) + 1) / (any_value(total) + 1) END, 9) AS p, CAST(any_value(total) AS BIGINT) AS n_assignments, any_value(exact) AS exact
+   FROM (SELECT abs(x) + 1e-12 >= (SELECT abs(sum(c)) FROM c) AS hit FROM x), k"""
 
 
-@query(f"""WITH c AS {_CON}, m AS (SELECT range AS b FROM range(1024)), x AS (SELECT b, sum(CASE WHEN (b >> i) & 1 = 1 THEN -c ELSE c END) AS x FROM m, c GROUP BY b)
-   SELECT round(count(*) FILTER (abs(x) + 1e-12 >= (SELECT abs(sum(c)) FROM c)) / 1024, 9) AS p, CAST(1024 AS BIGINT) AS n_assignments, true AS exact FROM x""")
+@query(_flips(10_000))
 def i08_sign_flip(spark: SparkSession, root: str) -> DataFrame:
     """Sign-flip test over all clusters: exact up to 20, hashed draws beyond."""
     c = N.contributions(N.contrast_clusters(*_conditions(spark, root), ["scope"], "top_1_score"), ["scope"])
     return N.sign_flip(c, ["scope"]).withColumn("p", _r("p"))
 
 
-@query()
+@query(_flips(500))
 def i08_sign_flip_sampled(spark: SparkSession, root: str) -> DataFrame:
     """Sign-flip test over all clusters."""
     c = N.contributions(N.contrast_clusters(*_conditions(spark, root), ["scope"], "top_1_score"), ["scope"])
-    return N.sign_flip(c, ["scope"], samples=500)
+    return N.sign_flip(c, ["scope"], samples=500).withColumn("p", _r("p"))
 
 
 @query(f"""WITH p AS (SELECT a.custom_id, a.top_1_score - b.top_1_score AS d, row_number() OVER (ORDER BY a.custom_id) - 1 AS i FROM {_FULL} a JOIN {_NONE} b ON a.custom_id = b.custom_id WHERE a.top_1_score - b.top_1_score IS NOT NULL), k AS (SELECT count(*) AS k FROM p),

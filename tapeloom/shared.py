@@ -10,8 +10,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: White space as Unicode has it, no-break space included.
-UNI_SPACE = r"[\h\v\x1C-\x1F]"
+#: The characters of white space as Unicode has it, no-break space included; like WORD_CHARS for the
+#: regular expressions of Java and of RE2 alike.
+SPACES = r"\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+UNI_SPACE = f"[{SPACES}]"
+#: The characters of words: letters and numbers of any script, and the underscore.
+WORD_CHARS = r"\p{L}\p{N}_"
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
