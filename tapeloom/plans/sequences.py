@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import sequences as S
 from tapeloom.operators import intervals as I
 from tapeloom.plans.inputs import EVENTS_SQL, events
+from tapeloom.plans.sqlparts import sequence_tables
 from tapeloom.shared import table
 
 QUERIES = {}
@@ -141,7 +142,20 @@ def _step_array() -> "F.Column":
         kind(x).alias("action"), F.when(x == "change", i).alias("start"), F.when(x == "change", i + 1).alias("end")))
 
 
-@query()
+# steps of the interval, neighbours of one action merged; then 7 bins of the steps before the submit where they are more, merged again
+_STEP = "CASE kind WHEN 'change' THEN 'edit' WHEN 'submit' THEN 'submit' ELSE 'local_run' END"
+_MERGED = f"""(SELECT log_id, interval_idx, g, any_value(action) AS action, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN action = prev THEN 0 ELSE 1 END) OVER (PARTITION BY log_id, interval_idx ORDER BY i) AS g FROM (
+   SELECT *, lag(action) OVER (PARTITION BY log_id, interval_idx ORDER BY i) AS prev FROM (SELECT log_id, interval_idx, {_STEP} AS action, i, CASE WHEN kind = 'change' THEN i END AS s, CASE WHEN kind = 'change' THEN i + 1 END AS e FROM (
+   SELECT *, row_number() OVER (PARTITION BY log_id, interval_idx ORDER BY pos) - 1 AS i FROM {_ISL} WHERE closed AND kind IN ('change', 'saida_testar', 'submit'))))) GROUP BY ALL)"""
+_BINNED = f"""(SELECT log_id, interval_idx, bin, CASE WHEN count(*) FILTER (action = 'edit') > 0 THEN 'edit' ELSE 'local_run' END AS action, min(s) AS s, max(e) AS e FROM (SELECT *, CASE WHEN n + 1 > 8 THEN len(list_filter(range(1, 7), lambda b: floor(b * n / 7) <= k)) ELSE k END AS bin
+   FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY log_id, interval_idx ORDER BY g) - 1 AS k FROM {_MERGED} WHERE action <> 'submit' WINDOW w AS (PARTITION BY log_id, interval_idx))) GROUP BY ALL)"""
+_JSON = """CASE WHEN action = 'edit' THEN '{"action":"edit","start":' || s || ',"end":' || e || '}' ELSE '{"action":"local_run"}' END"""
+_PATH = f"""SELECT m.log_id, m.interval_idx, '[' || coalesce(p || ',', '') || '{{"action":"submit"}}]' AS path FROM (SELECT DISTINCT log_id, interval_idx FROM {_MERGED}) m LEFT JOIN (
+   SELECT log_id, interval_idx, string_agg({_JSON}, ',' ORDER BY g) AS p FROM (SELECT log_id, interval_idx, g, any_value(action) AS action, min(s) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN action = prev THEN 0 ELSE 1 END) OVER (PARTITION BY log_id, interval_idx ORDER BY bin) AS g
+   FROM (SELECT *, lag(action) OVER (PARTITION BY log_id, interval_idx ORDER BY bin) AS prev FROM {_BINNED})) GROUP BY ALL) GROUP BY log_id, interval_idx) p USING (log_id, interval_idx)"""
+
+
+@query(_PATH)
 def f23_f24_binned_paths(spark: SparkSession, root: str) -> DataFrame:
     """Paths of at most 8 merged steps."""
     r = I.interval_motifs(events(spark, root), ["log_id"], ORDER, "kind").withColumn("steps", _step_array())
@@ -175,7 +189,8 @@ def j39_edit_similarity(spark: SparkSession, root: str) -> DataFrame:
     return p.select("log_id", "interval_idx", F.round(S.edit_similarity(F.col("a"), F.col("b")), 9).alias("edit_similarity"))
 
 
-@query()
+@query(f"""WITH p AS {_PAIRS}, t AS {sequence_tables('p', 'log_id, interval_idx')} SELECT log_id, interval_idx, round(1 - levenshtein({_CHARS.format('a')}, {_CHARS.format('b')}) / greatest(len(a), len(b)), 9) AS edit_similarity,
+   round(lcs / greatest(len(a), len(b)), 9) AS lcss, round(greatest(0, 1 - dtw / greatest(len(a), len(b))), 9) AS dtw FROM p JOIN t USING (log_id, interval_idx)""")
 def j39_j41_sequence_similarity(spark: SparkSession, root: str) -> DataFrame:
     """Edit similarity, longest common subsequence and time warping of neighbouring tapes."""
     p = tape_pairs(spark, root)

@@ -15,6 +15,7 @@ from tapeloom.operators import peers as P
 from tapeloom.operators import views as V
 from tapeloom.plans.inputs import EVENTS_SQL, PROGRAMS_SQL, SCORED_SQL, events, programs, scored
 from tapeloom.plans.sequences import _MOTIFS, ORDER
+from tapeloom.plans.sqlparts import boot_row, flip_row, hash_draw, sequence_tables, signed_ranks, student_two_sided
 from tapeloom.shared import stripped, table
 
 QUERIES = {}
@@ -238,7 +239,19 @@ def l07_j47_tolerance_metric(spark: SparkSession, root: str) -> DataFrame:
     return V.tolerance_metric(e, ["log_id", "submit_index"], F.col("a"), F.col("b"))
 
 
-@query()
+_CHAR = "CASE k WHEN 'change' THEN 'c' WHEN 'saida_testar' THEN 'r' WHEN 'submit' THEN 's' WHEN 'kill_program' THEN 'k' WHEN 'keyhandled' THEN 'h' ELSE 't' END"
+_FAMCHAR = "CASE k WHEN 'change' THEN 'e' WHEN 'saida_testar' THEN 'r' WHEN 'submit' THEN 's' WHEN 'kill_program' THEN 'u' ELSE 'n' END"
+_HYPS = f"""(SELECT log_id, interval_idx, p, label, list_transform(x, lambda k: {_CHAR}) AS a, list_transform(t, lambda k: {_CHAR}) AS b, list_transform(x, lambda k: {_FAMCHAR}) AS fa, list_transform(t, lambda k: {_FAMCHAR}) AS fb FROM (
+   SELECT log_id, interval_idx, kinds AS t, unnest([0.7, 0.3]) AS p, unnest(['h1', 'h2']) AS label, unnest([lag(kinds, 1) OVER w, lag(kinds, 2) OVER w]) AS x, lag(kinds, 2) OVER w IS NOT NULL AS live FROM {_MOTIFS} WINDOW w AS (PARTITION BY log_id ORDER BY interval_idx)) WHERE live)"""
+_SHARED = "list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda z: z = x)))))"
+
+
+@query(f"""WITH h AS {_HYPS}, f AS (SELECT log_id, interval_idx, label, fa AS a, fb AS b FROM h), own AS {sequence_tables('h', 'log_id, interval_idx, label')}, fam AS {sequence_tables('f', 'log_id, interval_idx, label')},
+   v AS (SELECT log_id, interval_idx, p, label, {_SHARED} / (len(a) + len(b) - {_SHARED}) AS overlap, 1 - levenshtein(array_to_string(a, ''), array_to_string(b, '')) / greatest(len(a), len(b)) AS edit, 1 - levenshtein(array_to_string(fa, ''), array_to_string(fb, '')) / greatest(len(a), len(b)) AS family_edit,
+     own.lcs / greatest(len(a), len(b)) AS lcss, fam.lcs / greatest(len(a), len(b)) AS family_lcss, greatest(0, 1 - fam.dtw / greatest(len(a), len(b))) AS family_dtw, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) / greatest(len(a), len(b)) AS prefix
+     FROM h JOIN own USING (log_id, interval_idx, label) JOIN fam USING (log_id, interval_idx, label)),
+   l AS (UNPIVOT v ON overlap, edit, family_edit, lcss, family_lcss, family_dtw, prefix INTO NAME metric VALUE s)
+   SELECT metric, log_id, interval_idx, round(arg_max(s, (p, label)), 9) AS top1_score, round(sum(p * s), 9) AS expected_score FROM l GROUP BY metric, log_id, interval_idx""")
 def l09_l15_sequence_metrics(spark: SparkSession, root: str) -> DataFrame:
     """Sequence metrics of a log's two earlier tapes as hypotheses for the next."""
     w = Window.partitionBy("log_id").orderBy("interval_idx")
@@ -377,46 +390,36 @@ _CL = f"""(SELECT l.scope, sl, nl, sr, nr FROM (SELECT scope, sum(top_1_score) A
    JOIN (SELECT scope, sum(top_1_score) AS sr, count(*) AS nr FROM {_NONE} WHERE top_1_score IS NOT NULL GROUP BY scope) r USING (scope))"""
 
 
-def _hash(seed: int, b: str, i: str, n: str) -> str:
-    return f"CAST(('0x' || substr(md5('{seed}:' || {b} || ':' || {i}), 1, 8)) AS BIGINT) % {n}"
-
-
-@query(f"""WITH c AS (SELECT *, row_number() OVER (ORDER BY scope) - 1 AS i FROM {_CL}), k AS (SELECT count(*) AS k FROM c),
-   d AS (SELECT b.range AS b, {_hash(42, 'b.range', 's.range', 'k.k')} AS i FROM range(500) b, k, LATERAL (SELECT * FROM range(k.k)) s),
-   t AS (SELECT b, sum(sl) / sum(nl) - sum(sr) / sum(nr) AS theta FROM d JOIN c USING (i) GROUP BY b)
-   SELECT round((SELECT sum(sl) / sum(nl) - sum(sr) / sum(nr) FROM c), 9) AS observed, (SELECT count(*) FROM c) AS n_clusters, round(quantile_cont(theta, 0.025), 9) AS low, round(quantile_cont(theta, 0.975), 9) AS high,
-     round(avg(CASE WHEN theta > 0 THEN 1 ELSE 0 END), 9) AS share_positive FROM t""")
+@query(f"SELECT * FROM {boot_row(_CL, 500)}")
 def i03_i07_cluster_bootstrap(spark: SparkSession, root: str) -> DataFrame:
     """Cluster bootstrap of the difference of two conditions."""
     c = N.contrast_clusters(*_conditions(spark, root), ["scope"], "top_1_score")
     return N.cluster_bootstrap(c, ["scope"], samples=500).select("n_clusters", *[_r(x).alias(x) for x in ("observed", "low", "high", "share_positive")])
 
 
-@query()
+_TWINS = f"""(SELECT run_condition, scope, sum(1 - abs(expected_score_a - expected_score_b)) AS st, count(expected_score_a - expected_score_b) AS nt, sum(1 - abs(top_1_score_a - top_1_score_b)) AS sr, count(top_1_score_a - top_1_score_b) AS nr FROM {_PAIRS}
+   GROUP BY ALL HAVING count(expected_score_a - expected_score_b) > 0 AND count(top_1_score_a - top_1_score_b) > 0)"""
+_COLLAPSE = f"(SELECT l.scope, l.st - l.sr AS sl, l.nt AS nl, r.st - r.sr AS sr, r.nt AS nr FROM {_TWINS} l JOIN {_TWINS} r ON l.scope = r.scope WHERE l.run_condition = 'full_trace' AND r.run_condition = 'no_trace')"
+
+
+@query(f"SELECT * FROM {boot_row(_COLLAPSE, 200)}")
 def i06_over_collapse(spark: SparkSession, root: str) -> DataFrame:
     """Bootstrap of a difference of differences."""
     p = _pairs(spark, root)
     side = lambda c, v: p.where(F.col("run_condition") == c).withColumn("v", v)
     twin, real = 1 - F.abs(F.col("expected_score_a") - F.col("expected_score_b")), 1 - F.abs(F.col("top_1_score_a") - F.col("top_1_score_b"))
     c = N.over_collapse_clusters(side("full_trace", twin), side("full_trace", real), side("no_trace", twin), side("no_trace", real), ["scope"], "v")
-    return N.cluster_bootstrap(c, ["scope"], samples=200)
+    return N.cluster_bootstrap(c, ["scope"], samples=200).select("n_clusters", *[_r(x).alias(x) for x in ("observed", "low", "high", "share_positive")])
 
 
-def _flips(samples: int) -> str:
-    return f"""WITH c AS (SELECT scope, (sl - sr) / (SELECT sum(nl) FROM {_CL}) AS c, row_number() OVER (ORDER BY scope) - 1 AS i FROM {_CL}), k AS (SELECT count(*) AS n, count(*) <= 20 AS exact, CASE WHEN count(*) <= 20 THEN 1 << count(*) ELSE {samples} END AS total FROM c),
-   x AS (SELECT b, sum(CASE WHEN CASE WHEN exact THEN (b >> i) & 1 ELSE {_hash(42, 'b', 'i', '2')} END = 1 THEN -c ELSE c END) AS x FROM k, LATERAL (SELECT range AS b FROM range(k.total)), c GROUP BY b)
-   SELECT round(CASE WHEN any_value(exact) THEN count(*) FILTER (hit) / any_value(total) ELSE (count(*) FILTER (hit) + 1) / (any_value(total) + 1) END, 9) AS p, CAST(any_value(total) AS BIGINT) AS n_assignments, any_value(exact) AS exact
-   FROM (SELECT abs(x) + 1e-12 >= (SELECT abs(sum(c)) FROM c) AS hit FROM x), k"""
-
-
-@query(_flips(10_000))
+@query(f"SELECT * FROM {flip_row(_CL, 10_000)}")
 def i08_sign_flip(spark: SparkSession, root: str) -> DataFrame:
     """Sign-flip test over all clusters: exact up to 20, hashed draws beyond."""
     c = N.contributions(N.contrast_clusters(*_conditions(spark, root), ["scope"], "top_1_score"), ["scope"])
     return N.sign_flip(c, ["scope"]).withColumn("p", _r("p"))
 
 
-@query(_flips(500))
+@query(f"SELECT * FROM {flip_row(_CL, 500)}")
 def i08_sign_flip_sampled(spark: SparkSession, root: str) -> DataFrame:
     """Sign-flip test over all clusters."""
     c = N.contributions(N.contrast_clusters(*_conditions(spark, root), ["scope"], "top_1_score"), ["scope"])
@@ -424,7 +427,7 @@ def i08_sign_flip_sampled(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT a.custom_id, a.top_1_score - b.top_1_score AS d, row_number() OVER (ORDER BY a.custom_id) - 1 AS i FROM {_FULL} a JOIN {_NONE} b ON a.custom_id = b.custom_id WHERE a.top_1_score - b.top_1_score IS NOT NULL), k AS (SELECT count(*) AS k FROM p),
-   r AS (SELECT b.range AS b, {_hash(42, 'b.range', 's.range', 'k.k')} AS i FROM range(100) b, k, LATERAL (SELECT * FROM range(k.k)) s), t AS (SELECT b, avg(d) AS theta FROM r JOIN p USING (i) GROUP BY b)
+   r AS (SELECT b.range AS b, {hash_draw(42, 'b.range', 's.range', 'k.k')} AS i FROM range(100) b, k, LATERAL (SELECT * FROM range(k.k)) s), t AS (SELECT b, avg(d) AS theta FROM r JOIN p USING (i) GROUP BY b)
    SELECT round((SELECT avg(d) FROM p), 9) AS mean, round(list_sort(list(theta))[CAST(floor(0.025 * 99) AS BIGINT) + 1], 9) AS low, round(list_sort(list(theta))[CAST(floor(0.975 * 99) AS BIGINT) + 1], 9) AS high FROM t""")
 def i10_i13_paired_bootstrap(spark: SparkSession, root: str) -> DataFrame:
     """Bootstrap of a paired difference with index limits."""
@@ -448,26 +451,29 @@ def i01_i02_sign_test(spark: SparkSession, root: str) -> DataFrame:
     return N.sign_test(_deltas(spark, root), ["class_id"], "delta").withColumn("p", _r("p", 7))
 
 
-_RK = f"(SELECT *, abs(delta) AS a, rank() OVER (PARTITION BY class_id ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY class_id, abs(delta)) - 1) / 2 AS r FROM {_PD} WHERE delta <> 0)"
+@query(f"SELECT class_id, n, w_plus, p FROM {signed_ranks(_PD, 'class_id')}")
+def i11_i12_h26_signed_ranks(spark: SparkSession, root: str) -> DataFrame:
+    """Signed-rank test per class: sums of ranks and p."""
+    return N.wilcoxon(_deltas(spark, root), ["class_id"], "delta").select("class_id", "n", _r("w_plus", 6).alias("w_plus"), _r("p", 7).alias("p"))
 
 
-@query(f"SELECT class_id, count(*) AS n, round(sum(CASE WHEN delta > 0 THEN r ELSE 0 END), 6) AS w_plus FROM {_RK} GROUP BY class_id")
-def i11_i12_h26_signed_ranks(spark: SparkSession, root: str) -> DataFrame:
-    """Signed-rank sums per class."""
-    return N.wilcoxon(_deltas(spark, root), ["class_id"], "delta").select("class_id", "n", _r("w_plus", 6).alias("w_plus"))
+_WHOLE = f"(SELECT 0 AS g, delta FROM {_PD})"
 
 
-@query()
+@query(f"SELECT n, w_plus, p FROM {signed_ranks(_WHOLE, 'g')}")
 def i11_wilcoxon(spark: SparkSession, root: str) -> DataFrame:
-    """Wilcoxon test per class."""
-    return N.wilcoxon(_deltas(spark, root), ["class_id"], "delta")
+    """Signed-rank test over all pairs, with ties."""
+    return N.wilcoxon(_deltas(spark, root).withColumn("g", F.lit(0)), ["g"], "delta").select("n", _r("w_plus", 6).alias("w_plus"), _r("p", 7).alias("p"))
+
+
+_RHO = f"(SELECT count(*) AS n, corr(rx, ry) AS rho FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM {_PD}))"
 
 
-@query(f"""SELECT count(*) AS n, round(corr(rx, ry), 9) AS rho FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM {_PD})""")
+@query(f"SELECT n, round(rho, 9) AS rho, round({student_two_sided('t', 'df')}, 7) AS p FROM (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS t, CAST(n - 2 AS DOUBLE) AS df FROM {_RHO})")
 def i16_spearman(spark: SparkSession, root: str) -> DataFrame:
-    """Rank correlation of two conditions' scores (I16)."""
+    """Rank correlation of two conditions' scores with its t test (I16)."""
     d = _deltas(spark, root).withColumn("all", F.lit(1))
-    return N.spearman(d, ["all"], "x", "y").select("n", _r("rho").alias("rho"))
+    return N.spearman(d, ["all"], "x", "y").select("n", _r("rho").alias("rho"), _r("p", 7).alias("p"))
 
 
 @query(f"""SELECT class_id, count(*) AS n, round(min(x), 9) AS lo, round(quantile_cont(x, 0.5), 9) AS median, round(list_sort(list(x))[CAST(floor(0.9 * (count(*) - 1)) AS BIGINT) + 1], 9) AS p90_floor,
