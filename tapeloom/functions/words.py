@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,16 +55,25 @@ def leading_phrase(c: Column, n: int = 3) -> Column:
     return F.array_join(F.slice(word_list(c), 1, n), " ")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams of a token array in order; none for a shorter array."""
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of a value that is computed once, however often `f` uses it and inside however many lambdas."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
+def _ngrams(tokens: Column, n: int) -> Column:
     spots = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(spots, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
 
+def ngrams(tokens: Column, n: int) -> Column:
+    """All n-grams of a token array in order; none for a shorter array."""
+    return bound(tokens, lambda t: _ngrams(t, n))
+
+
 def distinct_ngrams(tokens: Column, low: int, high: int, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """Distinct n-grams of low to high words that aren't all stopwords."""
     stop = F.array(*map(F.lit, stopwords))
-    every = F.array_distinct(F.concat(*[ngrams(tokens, n) for n in range(low, high + 1)]))
+    every = bound(tokens, lambda t: F.array_distinct(F.concat(*[_ngrams(t, n) for n in range(low, high + 1)])))
     return F.filter(every, lambda g: F.exists(F.split(g, " "), lambda w: ~F.array_contains(stop, w)))
 
 
@@ -82,7 +91,7 @@ def phrase_candidates(tokens: Column, stopwords: Sequence[str] = STOPWORDS) -> C
         w = F.split(g, " ")
         return ~F.array_contains(stop, F.element_at(w, 1)) & ~F.array_contains(stop, F.element_at(w, -1))
 
-    return F.filter(F.array_distinct(F.concat(*[ngrams(tokens, n) for n in (1, 2, 3)])), good)
+    return F.filter(bound(tokens, lambda t: F.array_distinct(F.concat(*[_ngrams(t, n) for n in (1, 2, 3)]))), good)
 
 
 def type_token_ratio(tokens: Column) -> Column:

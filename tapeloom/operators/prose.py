@@ -69,20 +69,24 @@ def template_phrases(docs: DataFrame, group: list[str], doc: str, text: str, low
     return common.join(covered, [*group, "term"], "left_anti").select(*group, "term", "df", "n_docs")
 
 
-def template_coverage(tokens: Column, phrases: Column) -> Column:
-    """Number of words of a text that lie in one of the phrases."""
-    n = F.size(tokens)
+def template_coverage(docs: DataFrame, group: list[str], doc: str, text: str, phrases: DataFrame, low: int = 3, high: int = 6) -> DataFrame:
+    """(doc, n_words, covered): how many words of each text lie in one of the phrases (group, term) of its group, of low to
+    high words. Texts of groups without phrases, null ones and ones without words included.
 
-    def covers(i: Column) -> Column:
-        def at(p: Column) -> Column:
-            m = F.size(F.split(p, " "))
-            starts = F.sequence(F.greatest(F.lit(1), i - m + 1), i)
-            return F.exists(starts, lambda s: (s + m - 1 <= n) & (F.array_join(F.slice(tokens, s, m), " ") == p))
-
-        return F.exists(phrases, at)
-
-    spots = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(spots, covers))
+    Every n-gram of a text meets the phrases by an equi-join, so that the work is linear in the words.
+    """
+    words = docs.select(*group, doc, W.word_list(F.col(text)).alias("w"))
+
+    def placed(t: Column, n: int) -> Column:
+        return F.transform(W.ngrams(t, n), lambda g, i: F.struct(g.alias("term"), i.alias("at"), F.lit(n).alias("n")))
+
+    grams = W.bound(F.col("w"), lambda t: F.concat(*[placed(t, n) for n in range(low, high + 1)]))
+    spots = words.select(*group, doc, F.explode(grams).alias("x")).select(*group, doc, "x.*")
+    hit = spots.join(phrases.select(*group, "term").distinct(), [*group, "term"], "left_semi")
+    places = hit.select(doc, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("place")).distinct()
+    covered = places.groupBy(doc).agg(F.count(F.lit(1)).alias("covered"))
+    size = F.coalesce(F.size("w"), F.lit(0)).cast("bigint")
+    return words.select(doc, size.alias("n_words")).join(covered, doc, "left").select(doc, "n_words", F.coalesce("covered", F.lit(0)).alias("covered"))
 
 
 def only_in(left: DataFrame, right: DataFrame, doc: str, text: str, least: int = 5) -> DataFrame:

@@ -13,7 +13,7 @@ from tapeloom.operators import views as V
 from tapeloom.plans.inputs import PROGRAMS_SQL, SCORED_SQL, SUMMARIES_SQL, ascii_sql, events, programs, scored, summaries
 from tapeloom.plans.scalars import _NG, _STOP, _WORDS
 from tapeloom.plans.sequences import _ISL, ORDER
-from tapeloom.shared import stripped, table
+from tapeloom.shared import stripped, table, written
 
 QUERIES = {}
 ORACLE = {}
@@ -215,13 +215,17 @@ def g40_j62_templates(spark: SparkSession, root: str) -> DataFrame:
     return P.template_phrases(d, ["exercise_id"], "doc", "summary")
 
 
-@query()
+_SPOTS = " UNION ALL ".join(f"SELECT doc, exercise_id, {n} AS n, unnest(range(1, len(w) - {n} + 2)) AS i, unnest({_NG.format(n=n)}) AS term FROM w WHERE len(w) >= {n}" for n in (3, 4, 5, 6))
+
+
+@query(f"""WITH w AS (SELECT *, custom_id || '/' || run_condition AS doc, {_WORDS} AS w FROM {SUMMARIES_SQL}), g AS (SELECT exercise_id, unnest({_G36}) AS term FROM w), c AS (SELECT exercise_id, term FROM g JOIN (SELECT exercise_id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 3) USING (exercise_id) GROUP BY ALL HAVING count(*) >= 0.5 * any_value(n)),
+   t AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.exercise_id = c.exercise_id AND d.term <> c.term AND contains(' ' || d.term || ' ', ' ' || c.term || ' '))),
+   p AS (SELECT doc, count(DISTINCT place) AS covered FROM (SELECT doc, unnest(range(i, i + n)) AS place FROM ({_SPOTS}) JOIN t USING (exercise_id, term)) GROUP BY doc)
+   SELECT doc, len(w) AS n_words, coalesce(covered, 0) AS covered FROM w LEFT JOIN p USING (doc)""")
 def g40_j63_coverage(spark: SparkSession, root: str) -> DataFrame:
     """Words covered by the phrases of the exercise."""
-    d = _docs(spark, root)
-    t = P.template_phrases(d, ["exercise_id"], "doc", "summary").groupBy("exercise_id").agg(F.collect_list("term").alias("phrases"))
-    w = d.join(t, "exercise_id").withColumn("w", W.word_list(F.col("summary")))
-    return w.select("doc", F.size("w").alias("n_words"), P.template_coverage(F.col("w"), F.col("phrases")).alias("covered"))
+    d = written(_docs(spark, root), "docs")
+    return P.template_coverage(d, ["exercise_id"], "doc", "summary", P.template_phrases(d, ["exercise_id"], "doc", "summary"))
 
 
 _PH = f"list_filter(list_distinct({_NG.format(n=1)} || {_NG.format(n=2)} || {_NG.format(n=3)}), lambda g: NOT list_contains({_STOP}, string_split(g, ' ')[1]) AND NOT list_contains({_STOP}, string_split(g, ' ')[-1]))"

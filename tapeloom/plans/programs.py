@@ -12,6 +12,7 @@ from tapeloom.operators import replay as R
 from tapeloom.operators import score as S
 from tapeloom.operators.contracts import step_problem
 from tapeloom.plans.inputs import EVENTS_SQL, PROGRAMS_SQL, events, programs
+from tapeloom.plans.scalars import blank_sql
 from tapeloom.plans.sequences import _ISL, ORDER
 from tapeloom.shared import stripped, table
 from tapeloom.sources import documents as DOC
@@ -119,21 +120,36 @@ def e02_e05_candidates(spark: SparkSession, root: str) -> DataFrame:
     return R.snapshot_candidates(*_attempts_and_snapshots(spark, root), ["class_id", "assessment_id"])
 
 
-@query()
+_WAYS = f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY class_id, assessment_id ORDER BY attempt) AS k, count(*) OVER (PARTITION BY class_id, assessment_id) AS n FROM {_CAND}),
+   o AS (SELECT class_id, assessment_id, k, n, unnest(list_distinct(candidates)) AS s FROM c),
+   w AS (SELECT class_id, assessment_id, k, n, s, CAST(1 AS BIGINT) AS ways, [s] AS path FROM o WHERE k = 1 UNION ALL
+     SELECT o.class_id, o.assessment_id, o.k, o.n, o.s, least(2, CAST(sum(w.ways) AS BIGINT)), list_append(any_value(w.path), o.s) FROM w JOIN o ON o.class_id = w.class_id AND o.assessment_id = w.assessment_id AND o.k = w.k + 1 AND o.s > w.s GROUP BY o.class_id, o.assessment_id, o.k, o.n, o.s),
+   z AS (SELECT c.class_id, c.assessment_id, c.k, c.n, coalesce(least(2, CAST(sum(ways) AS BIGINT)), 0) AS total, any_value(path) AS path FROM c LEFT JOIN w ON c.class_id = w.class_id AND c.assessment_id = w.assessment_id AND c.k = w.k GROUP BY ALL)"""
+_STATUS = "CASE total WHEN 1 THEN 'matched' WHEN 0 THEN 'no_match' ELSE 'ambiguous' END AS status"
+
+
+@query(f"{_WAYS} SELECT class_id, assessment_id, CASE WHEN total = 1 THEN path END AS alignment, {_STATUS} FROM z WHERE k = n")
 def e03_e08_alignment(spark: SparkSession, root: str) -> DataFrame:
     """The only increasing alignment of all attempts of a scope."""
     c = R.snapshot_candidates(*_attempts_and_snapshots(spark, root), ["class_id", "assessment_id"])
     return R.aligned(c.withColumn("candidates", F.col("candidates").cast("array<int>")), ["class_id", "assessment_id"])
 
 
-@query()
+@query(f"{_WAYS} SELECT class_id, assessment_id, CAST(k AS INTEGER) AS n_attempts, {_STATUS} FROM z")
 def e08_e09_prefixes(spark: SparkSession, root: str) -> DataFrame:
     """Whether each prefix of the attempts aligns in one way only."""
     c = R.snapshot_candidates(*_attempts_and_snapshots(spark, root), ["class_id", "assessment_id"])
     return R.prefix_alignments(c.withColumn("candidates", F.col("candidates").cast("array<int>")), ["class_id", "assessment_id"])
 
 
-@query()
+_SNAPS = f"(SELECT class_id, assessment_id, s.i AS i, {blank_sql('s.c')} AS x FROM (SELECT class_id, assessment_id, unnest([{{'i': 2 * candidate_id, 'c': code_n}}, {{'i': 2 * candidate_id + 1, 'c': code_n1}}]) AS s FROM {PROGRAMS_SQL} WHERE code_n IS NOT NULL AND code_n1 IS NOT NULL))"
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY class_id, assessment_id ORDER BY i) AS k FROM {_SNAPS}), l AS (SELECT class_id, assessment_id, list(CAST(i AS VARCHAR) ORDER BY i) AS texts FROM s GROUP BY ALL),
+   m AS (SELECT a.class_id, a.assessment_id, a.candidate_id AS attempt, n.i, n1.i AS j, CASE WHEN n1.i > n.i THEN array_to_string(l.texts[n.k + 1:n1.k], '') END AS sig FROM (SELECT *, {blank_sql('code_n')} AS xn, {blank_sql('code_n1')} AS xn1 FROM {PROGRAMS_SQL} WHERE code_n IS NOT NULL AND code_n1 IS NOT NULL) a
+     LEFT JOIN s n ON n.class_id = a.class_id AND n.assessment_id = a.assessment_id AND n.x = a.xn LEFT JOIN s n1 ON n1.class_id = a.class_id AND n1.assessment_id = a.assessment_id AND n1.x = a.xn1 JOIN l ON l.class_id = a.class_id AND l.assessment_id = a.assessment_id),
+   g AS (SELECT class_id, assessment_id, attempt, count(DISTINCT sig) AS n, count(i) AS ni, min({{'i': i, 'j': j}}) FILTER (sig IS NOT NULL) AS f FROM m GROUP BY ALL)
+   SELECT class_id, assessment_id, attempt, CASE WHEN ni = 0 THEN 'no_match_n' WHEN n = 0 THEN 'no_match_n1' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN f.i END AS snap_n, CASE WHEN n = 1 THEN f.j END AS snap_n1 FROM g""")
 def e01_transition_alignment(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of snapshots of each transition."""
     p = _both(spark, root)
@@ -153,7 +169,8 @@ def a03_test_case_headers(spark: SparkSession, root: str) -> DataFrame:
     return d.select("doc_id", F.regexp_count(lf, F.lit(head)).cast("bigint").alias("n_headers"))
 
 
-@query()
+@query("""SELECT CAST(candidate_id AS VARCHAR) AS log, CAST(0 AS INTEGER) AS attempt, TIMESTAMP '2024-03-04 08:00:00' AS ts, len(attempt_n_pass_fail_vector) + 0.5 AS grade, CAST(len(attempt_n_pass_fail_vector) AS INTEGER) AS n_tests,
+   CAST(len(list_filter(attempt_n_pass_fail_vector, lambda x: x)) AS INTEGER) AS n_passed, CASE WHEN len(attempt_n_pass_fail_vector) = 0 THEN 'no_tests' END AS reason FROM validated_candidate WHERE attempt_n_code IS NOT NULL AND attempt_n_pass_fail_vector IS NOT NULL""")
 def a01_a05_execution_logs(spark: SparkSession, root: str) -> DataFrame:
     """Execution logs made of programs and outputs, parsed back into attempts."""
     p = programs(spark, root).where("code_n IS NOT NULL")

@@ -10,7 +10,8 @@ from tapeloom.operators import reports as R
 from tapeloom.operators import views as V
 from tapeloom.plans.cohorts import SCOPE
 from tapeloom.plans.inputs import PROGRAMS_SQL, SCORED_SQL, programs, scored
-from tapeloom.plans.studies import _HYP, _PD, hypotheses
+from tapeloom.plans.sqlparts import boot_row, flip_row, hash_draw, signed_ranks
+from tapeloom.plans.studies import _HYP, hypotheses
 from tapeloom.shared import table
 
 QUERIES = {}
@@ -83,31 +84,56 @@ def g12_head_ablation(spark: SparkSession, root: str) -> DataFrame:
     return R.head_ablation(m, ["custom_id"], "predictor", ["first", "high"]).withColumn("match_rate", F.round("match_rate", 9))
 
 
-@query(f"SELECT 'top_1_score' AS metric, count(*) AS n, round(avg(x), 9) AS mean_left, round(avg(y), 9) AS mean_right FROM {_PD}")
+def _paired(metric: str, where: str = "true") -> str:
+    """Paired rows of two conditions: custom_id, x, y and their difference."""
+    return f"""(SELECT a.custom_id, a.{metric} AS x, b.{metric} AS y, a.{metric} - b.{metric} AS delta, 0 AS g FROM {SCORED_SQL} a JOIN {SCORED_SQL} b ON a.custom_id = b.custom_id
+       WHERE a.run_condition = 'full_trace' AND b.run_condition = 'no_trace' AND a.{metric} - b.{metric} IS NOT NULL AND {where.format(s='a.scope')} AND {where.format(s='b.scope')})"""
+
+
+def _study(metric: str, k: int, samples: int, where: str = "true") -> str:
+    """A row of `reports.condition_study`; the seed of the k-th metric is 42 + 1000 k."""
+    return f"""SELECT '{metric}' AS metric, m.*, t.low, t.high, coalesce(w.p, 1.0) AS p FROM (SELECT count(*) AS n, round(avg(x), 9) AS mean_left, round(avg(y), 9) AS mean_right, round(avg(delta), 9) AS delta FROM {_paired(metric, where)}) m,
+       (WITH p AS (SELECT *, row_number() OVER (ORDER BY custom_id) - 1 AS i FROM {_paired(metric, where)}), k AS (SELECT count(*) AS k FROM p), r AS (SELECT b.range AS b, {hash_draw(42 + 1000 * k, 'b.range', 's.range', 'k.k')} AS i FROM range({samples}) b, k, LATERAL (SELECT * FROM range(k.k)) s),
+        t AS (SELECT b, avg(delta) AS theta FROM r JOIN p USING (i) GROUP BY b) SELECT round(list_sort(list(theta))[CAST(floor(0.025 * {samples - 1}) AS BIGINT) + 1], 9) AS low, round(list_sort(list(theta))[CAST(floor(0.975 * {samples - 1}) AS BIGINT) + 1], 9) AS high FROM t) t
+       LEFT JOIN {signed_ranks(_paired(metric, where), 'g')} w ON true"""
+
+
+_METRICS = ("top_1_score", "expected_score")
+
+
+@query(" UNION ALL ".join(_study(m, k, 50) for k, m in enumerate(_METRICS)))
 def m49_m51_condition_study(spark: SparkSession, root: str) -> DataFrame:
-    """Means of two conditions over their pairs."""
-    s = R.condition_study(scored(spark, root).withColumnRenamed("run_condition", "condition"), "custom_id", ["top_1_score"], "full_trace", "no_trace", samples=50)
-    return s.select("metric", "n", F.round("mean_left", 9).alias("mean_left"), F.round("mean_right", 9).alias("mean_right"))
+    """Two conditions over their pairs: means, bootstrap limits and signed-rank p of two metrics."""
+    s = R.condition_study(scored(spark, root).withColumnRenamed("run_condition", "condition"), "custom_id", list(_METRICS), "full_trace", "no_trace", samples=50)
+    return s.select("metric", "n", *[F.round(c, 9).alias(c) for c in ("mean_left", "mean_right", "delta", "low", "high")], F.round("p", 7).alias("p"))
+
+
+def _draw_sql(k: int) -> str:
+    return f"CAST('0x' || substr(md5('{k}:' || {{s}}), 1, 8) AS BIGINT) % 2 = 0"
+
+
+_DRAWS = " UNION ALL ".join(f"SELECT {k} AS draw, metric, delta, p FROM ({_study(m, i, 50, _draw_sql(k))})" for k in range(3) for i, m in enumerate(_METRICS))
 
 
-@query()
+@query(f"""SELECT metric, count(*) AS n_draws, count(*) FILTER (p < 0.05) AS n_significant, count(*) FILTER (p < 0.05 AND delta > 0) AS n_positive, count(*) FILTER (p < 0.05 AND delta < 0) AS n_negative,
+   (count(*) FILTER (p < 0.05 AND delta > 0) > 0 AND count(*) FILTER (p < 0.05 AND delta < 0) > 0) OR (count(*) FILTER (p < 0.05) > 0 AND count(*) FILTER (p < 0.05) < count(*)) AS unstable FROM ({_DRAWS}) GROUP BY metric""")
 def g21_i15_draw_sensitivity(spark: SparkSession, root: str) -> DataFrame:
-    """Whether a result holds over several draws of rows."""
+    """Whether a result holds over several draws of scopes."""
     s = scored(spark, root).withColumnRenamed("run_condition", "condition")
     parts = None
     for k in range(3):
-        some = s.where(F.pmod(F.xxhash64("scope", F.lit(k)), F.lit(2)) == 0)
-        one = R.condition_study(some, "custom_id", ["top_1_score", "expected_score"], "full_trace", "no_trace", samples=50).withColumn("draw", F.lit(k))
+        some = s.where(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(k)), "scope")), 1, 8), 16, 10).cast("bigint") % 2 == 0)
+        one = R.condition_study(some, "custom_id", list(_METRICS), "full_trace", "no_trace", samples=50).withColumn("draw", F.lit(k))
         parts = one if parts is None else parts.unionByName(one)
     return R.draw_sensitivity(parts)
 
 
-_RUN = f"""(SELECT a.scope, a.top_1_score AS own, 1 - abs(a.expected_score - b.expected_score) AS other, pa.code_n AS ca, pb.code_n AS cb FROM {SCORED_SQL} a JOIN {SCORED_SQL} b ON a.scope = b.scope AND a.student_id <> b.student_id AND a.run_condition = b.run_condition AND a.signature = b.signature
+_RUN = f"""(SELECT a.scope, a.run_condition, a.top_1_score AS own, 1 - abs(a.expected_score - b.expected_score) AS other, pa.code_n AS ca, pb.code_n AS cb FROM {SCORED_SQL} a JOIN {SCORED_SQL} b ON a.scope = b.scope AND a.student_id <> b.student_id AND a.run_condition = b.run_condition AND a.signature = b.signature
    JOIN {PROGRAMS_SQL} pa ON pa.custom_id = a.custom_id JOIN {PROGRAMS_SQL} pb ON pb.custom_id = b.custom_id WHERE a.attempt_n_pass_fail_vector IS NOT NULL AND b.attempt_n_pass_fail_vector IS NOT NULL)"""
 
 
 @query(f"""WITH d AS (SELECT *, levenshtein(ca, cb) / (length(ca) + length(cb)) AS x FROM {_RUN} WHERE own IS NOT NULL AND other IS NOT NULL), t AS (SELECT unnest([NULL, 0.3, 0.45, 0.5])::DOUBLE AS tau)
-   SELECT tau, count(*) AS n_pairs, count(DISTINCT scope) AS n_scopes, round(avg(own), 9) AS mean_self, round(avg(other), 9) AS mean_other, round(avg(own - other), 9) AS mean_delta FROM t JOIN d ON tau IS NULL OR x <= tau GROUP BY tau""")
+   SELECT tau, count(*) AS n_pairs, count(DISTINCT (scope, run_condition)) AS n_scopes, round((count(*) FILTER (own > other) + 0.5 * count(*) FILTER (own = other)) / count(*), 9) AS auc, round(avg(own), 9) AS mean_self, round(avg(other), 9) AS mean_other, round(avg(own - other), 9) AS mean_delta FROM t JOIN d ON tau IS NULL OR x <= tau GROUP BY tau""")
 def run_report(spark: SparkSession, root: str) -> DataFrame:
     """Own against peers' scores, for all peers and within code distances, from one pass over the pairs (§3.1, D01-D07, M28)."""
     p = programs(spark, root).select("custom_id", F.col("code_n").alias("code"))
@@ -115,19 +141,22 @@ def run_report(spark: SparkSession, root: str) -> DataFrame:
     rows = s.select("scope", "run_condition", "student_id", "row", "code", F.col("attempt_n_pass_fail_vector").alias("vector"), F.col("top_1_score").alias("own"), "expected_score")
     score = 1 - F.abs(F.col("expected_score_a") - F.col("expected_score_b"))
     r = R.run_report(rows, ["scope", "run_condition"], "student_id", "row", score, (0.3, 0.45, 0.5))
-    return r.drop("auc", "n_scopes").select("tau", "n_pairs", *[F.round(c, 9).alias(c) for c in ("mean_self", "mean_other", "mean_delta")])
+    return r.select("tau", "n_pairs", "n_scopes", *[F.round(c, 9).alias(c) for c in ("mean_self", "mean_other", "mean_delta", "auc")])
 
 
-ORACLE["run_report"] = ORACLE["run_report"].replace("count(DISTINCT scope) AS n_scopes, ", "")
+_TWO = f"(SELECT * FROM {SCORED_SQL} WHERE top_1_score IS NOT NULL AND custom_id IN (SELECT custom_id FROM {SCORED_SQL} WHERE top_1_score IS NOT NULL GROUP BY 1 HAVING count(DISTINCT run_condition) = 2))"
+_RUNS = f"""(SELECT l.scope, sl, nl, sr, nr FROM (SELECT scope, sum(top_1_score) AS sl, count(*) AS nl FROM {_TWO} WHERE run_condition = 'full_trace' GROUP BY 1) l
+   JOIN (SELECT scope, sum(top_1_score) AS sr, count(*) AS nr FROM {_TWO} WHERE run_condition = 'no_trace' GROUP BY 1) r ON l.scope = r.scope)"""
 
 
-@query()
+@query(f"SELECT * FROM {boot_row(_RUNS, 200)}, {flip_row(_RUNS, 200)}")
 def compare_runs(spark: SparkSession, root: str) -> DataFrame:
     """Contrast of two conditions over the ids both have (§3.2, I03-I09)."""
     s = scored(spark, root).where("top_1_score IS NOT NULL")
     both = s.groupBy("custom_id").agg(F.count_distinct("run_condition").alias("n")).where("n = 2").select("custom_id")
     s = s.join(both, "custom_id")
-    return R.compare_runs(s.where("run_condition = 'full_trace'"), s.where("run_condition = 'no_trace'"), ["scope"], ["custom_id"], "top_1_score", samples=200)
+    return R.compare_runs(s.where("run_condition = 'full_trace'"), s.where("run_condition = 'no_trace'"), ["scope"], ["custom_id"], "top_1_score", samples=200).select(
+        "n_clusters", "n_assignments", "exact", *[F.round(c, 9).alias(c) for c in ("observed", "low", "high", "share_positive", "p")])
 
 
 _SEL = f"""(SELECT v.*, t.tertile, array_to_string(list_transform(v.attempt_n_pass_fail_vector, lambda x: CASE WHEN x THEN 'P' ELSE 'F' END), '') AS sig FROM validated_candidate v JOIN
