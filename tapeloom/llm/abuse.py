@@ -1,47 +1,61 @@
 """Abusive, hateful or sexual content, by non-negative positive-unlabelled learning.
 
-Abuse is mostly one sentence of a longer text, so that texts are cut into segments and a text's
-score is that of its worst segment. A linear classifier over hashed features of segments is
-trained in numpy from the segments of confirmed abusive texts and from unlabelled ones: with pi
-the share of abusive segments among all, the risk is
+Abuse is mostly one sentence of a longer text, so that texts are cut into windows of words and a
+text's score is that of its worst window. A linear classifier over hashed features of windows is
+trained in numpy from the windows of confirmed abusive texts and from those of all texts of the
+corpus, unlabelled: with pi the share of abusive windows among all, the risk is
 
     pi E_p[l(f)] + max(0, E_u[l(-f)] - pi E_p[l(-f)])
 
 and a step for which the second part has become negative goes the other way, which keeps the
-classifier from fitting unlabelled abuse as harmless. A label holds for a text, not for a
-segment: which segments of a confirmed text are abusive is chosen anew between rounds, and pi
-is taken anew from the scores of the unlabelled ones.
-
-The training sample is bounded by parameters; every document is scored.
+classifier from fitting unlabelled abuse as harmless. A label holds for a text, not for a window:
+which windows of a confirmed text are abusive is chosen anew between rounds.
+
+Nothing but the labelled rows is sampled. Texts are cut once, into numbers, and laid out in shards
+by a hash of their id; in each round every shard is learnt from as a whole by a learner of its own
+that starts from the common weights, and the learners' weights are averaged, by their numbers of
+windows, over slices of the weights. Word and feature counts are those of all texts. pi comes from
+the scores of all texts and of confirmed ones kept back from training: the least ratio of the two
+shares above a threshold, with a bound of its error (best bin estimate). The threshold of the result
+maximises recall^2 / share of all texts above it, which needs no clean labels.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most labelled and unlabelled documents that training reads.
+from tapeloom.shared import written
+
+#: Most labelled documents that training reads; the one bound of a sample.
 MAX_LABELLED = 20_000
-MAX_UNLABELLED = 12_000
 FEATURE_BITS = 18
 WINDOW, STRIDE = 14, 5
-ROUNDS, EPOCHS = 4, 6
+ROUNDS = 4
+#: Texts of a shard, about; texts and least number of steps of a learner in a round.
+SHARD_TEXTS, STEP_TEXTS, STEPS = 8_000, 300, 50
 MIN_WORD_TEXTS = 3
-#: How often a reviewed text that isn't abusive counts among the unlabelled ones: they hold the hard cases.
-REVIEWED_WEIGHT = 5
-#: Mean log-odds of standing in confirmed rather than in reviewed clean texts from which a segment may be abusive.
+#: Share of each step's unlabelled part that comes from reviewed texts that aren't abusive: they hold the hard cases.
+REVIEWED_SHARE = 0.25
+#: Mean log-odds of standing in confirmed rather than in reviewed clean texts from which a window may be abusive.
 HINT = 0.2
 HARD_WEIGHT = 20.0
-MIN_PRIOR, MAX_PRIOR = 0.01, 0.05
+#: One of so many confirmed texts is kept back from training, for pi and the threshold.
+KEPT_BACK = 5
+#: Edges of the histogram of scores.
+_EDGES = np.linspace(-20.0, 20.0, 1_601)
+_SLICES = 64
+_UNKNOWN, _BEGIN, _STOP, _FIRST_WORD = 0, 1, 2, 3
 
 #: Letters of other scripts that look like Latin ones.
 _LOOKALIKES = str.maketrans(
@@ -100,245 +114,421 @@ def word(token: str) -> str:
     return _AGAIN.sub(r"\1", token)
 
 
-def segments(text: str) -> list[tuple[str, ...]]:
-    """The words of each sentence or line of a text; long ones as overlapping windows."""
-    out = []
-    for part in _END.split(plain(text)):
-        words = tuple(map(word, _TOKEN.findall(part)))
-        if len(words) <= WINDOW + STRIDE // 2:
-            if words:
-                out.append(words)
-        else:
-            out += [words[k : k + WINDOW] for k in range(0, len(words) - STRIDE, STRIDE)]
-    return out
+class _Forms(dict):
+    """A number for each token, that of its one form; kept for tokens that recur."""
 
+    def __missing__(self, token: str) -> int:
+        h = max(xxhash.xxh32_intdigest(word(token).encode("utf-8", "surrogatepass")) >> 1, _FIRST_WORD)
+        if len(self) >= 500_000:
+            self.clear()
+        self[token] = h
+        return h
 
-def known_form(words: tuple[str, ...], vocabulary: frozenset[str]) -> tuple[str, ...]:
-    """The words with those outside the vocabulary, names and numbers mostly, made alike."""
-    return tuple(w if w in vocabulary else "#" for w in words)
 
+def numbered(text: str | None, forms: _Forms) -> tuple[list[int], list[int]]:
+    """The words of a text as numbers, each sentence or line between two marks, and the lengths of these parts."""
+    flat: list[int] = []
+    sizes: list[int] = []
+    of = forms.__getitem__
+    for part in _END.split(plain(text or "")):
+        found = _TOKEN.findall(part)
+        if found:
+            flat.append(_BEGIN)
+            flat += map(of, found)
+            flat.append(_STOP)
+            sizes.append(len(found) + 2)
+    return flat, sizes
 
-def features(words: tuple[str, ...]) -> np.ndarray:
-    """Hashed one-, two- and three-word and skip features of a segment."""
-    mask = (1 << FEATURE_BITS) - 1
-    crc = zlib.crc32
-    padded = ("^", *words, "$")
-    n = len(padded)
-    names = list(words)
-    names += [f"{padded[k]} {padded[k + 1]}" for k in range(n - 1)]
-    names += [f"{padded[k]} {padded[k + 1]} {padded[k + 2]}" for k in range(n - 2)]
-    names += [f"{padded[k]} _ {padded[k + 2]}" for k in range(n - 2)]
-    return np.array(sorted({crc(x.encode()) & mask for x in names}), dtype=np.int32)
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
 
-@dataclass
-class Model:
-    """What scoring needs; of fixed or bounded size."""
 
-    weights: np.ndarray
-    bias: float
-    vocabulary: frozenset[str]
-    threshold: float
-    prior: float
-    notes: dict = field(default_factory=dict)
-
-    def segment_score(self, words: tuple[str, ...]) -> float:
-        at = features(words)
-        return float(self.weights[at].sum() / np.sqrt(len(at)) + self.bias) if len(at) else -20.0
-
-
-class _Set:
-    """Distinct segments with their features, as one sparse matrix."""
-
-    def __init__(self):
-        self.row: dict[tuple[str, ...], int] = {}
-        self.parts: list[np.ndarray] = []
+class Cut:
+    """Texts as numbers, laid out one after another, with their windows and the features of every place.
 
-    def add(self, words: tuple[str, ...]) -> int:
-        k = self.row.get(words)
-        if k is None:
-            k = self.row[words] = len(self.parts)
-            self.parts.append(features(words))
-        return k
-
-    def pack(self) -> None:
-        self.size = np.array([len(p) for p in self.parts], dtype=np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.size)])
-        self.flat = np.concatenate(self.parts) if self.parts else np.empty(0, dtype=np.int32)
-        self.scale = 1 / np.sqrt(np.maximum(self.size, 1))
+    A part of up to WINDOW words and a bit is one window, a longer one is covered by windows that overlap. A window's
+    features are its words, pairs, triples and pairs with a gap; marks of the beginning and end belong to the windows there.
+    """
 
-    def scores(self, w: np.ndarray, b: float) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(w[self.flat])])
-        return (sums[self.start[1:]] - sums[self.start[:-1]]) * self.scale + b
+    def __init__(self, words: np.ndarray, parts: np.ndarray, per_text: np.ndarray, vocabulary: np.ndarray | None = None):
+        """`words` of all texts, lengths of their `parts`, and the number of parts of each text."""
+        self.texts = len(per_text)
+        words = words.astype(np.uint64)
+        self.mark = (words == _BEGIN) | (words == _STOP)
+        if vocabulary is not None:
+            words = np.where(self.mark | np.isin(words, vocabulary), words, np.uint64(_UNKNOWN))
+        self.words = words
+        n = parts.astype(np.int64) - 2
+        at = np.cumsum(parts, dtype=np.int64) - parts
+        times = np.where(n <= WINDOW + STRIDE // 2, 1, -(-(n - STRIDE) // STRIDE))
+        part = np.repeat(np.arange(len(parts)), times)
+        k = np.arange(len(part)) - np.repeat(np.cumsum(times) - times, times)
+        single = times[part] == 1
+        low = k * STRIDE
+        high = np.where(single, n[part], np.minimum(low + WINDOW, n[part]))
+        self.start = at[part] + 1 + low - (k == 0)
+        self.stop = at[part] + 1 + high + (high == n[part])
+        text_of_part = np.repeat(np.arange(self.texts), per_text)
+        self.text = text_of_part[part]
+        long = self.stop - self.start
+        self.scale = 1 / np.sqrt(np.maximum(4 * long - 5, 1))
+        self.f = self._features()
+
+    def _features(self) -> np.ndarray:
+        x = _mix(self.words * np.uint64(0x9E3779B97F4A7C15))
+        pad = np.concatenate([x, np.zeros(2, dtype=np.uint64)])
+        y, z = pad[1 : len(x) + 1], pad[2 : len(x) + 2]
+        every = (
+            x + np.uint64(1), x * np.uint64(3) + y * np.uint64(5) + np.uint64(2),
+            x * np.uint64(3) + y * np.uint64(7) + z * np.uint64(11) + np.uint64(3), x * np.uint64(3) + z * np.uint64(13) + np.uint64(4),
+        )
+        return np.stack([(_mix(v * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32) for v in every])
+
+    def scores(self, w: np.ndarray, b: float, low: int = 0, high: int | None = None) -> np.ndarray:
+        """Scores of the windows low to high, as log-odds: by sums of weights up to each place."""
+        s, e = self.start[low:high], self.stop[low:high]
+        if not len(s):
+            return np.empty(0)
+        p, q = s[0], e.max()
+        total = np.zeros(len(s))
+        for kind, short in enumerate((0, 1, 2, 2)):
+            at = w[self.f[kind, p:q]]
+            if kind == 0:
+                at = np.where(self.mark[p:q], 0.0, at)
+            sums = np.concatenate([[0.0], np.cumsum(at)])
+            total += sums[e - p - short] - sums[s - p]
+        return total * self.scale[low:high] + b
+
+    def gradient(self, by_window: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Sum over the windows low to high of by_window times their features."""
+        s, e = self.start[low:high], self.stop[low:high]
+        p, q = s[0], e.max()
+        g = by_window * self.scale[low:high]
+        out = np.zeros(1 << FEATURE_BITS)
+        begun = np.bincount(s - p, weights=g, minlength=q - p + 1)
+        for kind, short in enumerate((0, 1, 2, 2)):
+            each = np.cumsum(begun - np.bincount(e - p - short, weights=g, minlength=q - p + 1))[:-1]
+            if kind == 0:
+                each = np.where(self.mark[p:q], 0.0, each)
+            out += np.bincount(self.f[kind, p:q], weights=each, minlength=1 << FEATURE_BITS)
+        return out
+
+    def expanded(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(features, number of each window) of single windows, one after another."""
+        flat, size = [], []
+        for r in rows:
+            s, e = self.start[r], self.stop[r]
+            every = (self.f[0, s:e][~self.mark[s:e]], self.f[1, s : e - 1], self.f[2, s : e - 2], self.f[3, s : e - 2])
+            flat += every
+            size.append(sum(map(len, every)))
+        return (np.concatenate(flat) if flat else np.empty(0, dtype=np.int32)), np.array(size, dtype=np.int64)
+
+    def hints(self, rows: np.ndarray, odds: np.ndarray) -> np.ndarray:
+        """Mean of the eight greatest log-odds of each window's features."""
+        flat, size = self.expanded(rows)
+        ends = np.cumsum(size)
+        return np.array([np.sort(odds[flat[e - n : e]])[-8:].mean() for n, e in zip(size, ends)])
+
+    def text_scores(self, by_window: np.ndarray) -> np.ndarray:
+        """The greatest score of each text's windows; -20 for a text without words."""
+        out = np.full(self.texts, -20.0)
+        np.maximum.at(out, self.text, by_window)
+        return out
+
+    def text_counts(self) -> np.ndarray:
+        """Number of texts that each feature stands in."""
+        per_window = self.stop - self.start
+        place = np.repeat(self.start - (np.cumsum(per_window) - per_window), per_window) + np.arange(per_window.sum())
+        text = np.repeat(self.text, per_window).astype(np.int64) << FEATURE_BITS
+        inside = np.repeat(self.stop, per_window) - place
+        found = [(text + self.f[kind, place])[(inside > short) & (~self.mark[place] if kind == 0 else True)] for kind, short in enumerate((0, 1, 2, 2))]
+        both = np.unique(np.concatenate(found)) if len(place) else np.empty(0, dtype=np.int64)
+        return np.bincount(both & ((1 << FEATURE_BITS) - 1), minlength=1 << FEATURE_BITS)
+
+
+class _Rows:
+    """Single windows with their features written out, for those that are few."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray):
+        self.flat, self.size = flat, size
+        self.scale = 1 / np.sqrt(np.maximum(size, 1))
+        self.start = np.cumsum(size) - size
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def _at(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.size[rows]
+        return self.flat[np.repeat(self.start[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+    def scores(self, rows: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+        at, n = self._at(rows)
+        sums = np.concatenate([[0.0], np.cumsum(w[at])])
+        ends = np.cumsum(n)
+        return (sums[ends] - sums[ends - n]) * self.scale[rows] + b
 
     def gradient(self, rows: np.ndarray, by_row: np.ndarray) -> np.ndarray:
-        """Sum over rows of by_row times the row's features."""
-        size = self.size[rows]
-        at = np.repeat(self.start[rows] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        values = np.repeat(by_row * self.scale[rows], size)
-        return np.bincount(self.flat[at], weights=values, minlength=1 << FEATURE_BITS)
-
-    def row_scores(self, rows: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
-        size = self.size[rows]
-        ends = np.cumsum(size)
-        at = np.repeat(self.start[rows] - np.concatenate([[0], ends[:-1]]), size) + np.arange(size.sum())
-        sums = np.concatenate([[0.0], np.cumsum(w[self.flat[at]])])
-        return (sums[ends] - sums[ends - size]) * self.scale[rows] + b
+        at, n = self._at(rows)
+        return np.bincount(at, weights=np.repeat(by_row * self.scale[rows], n), minlength=1 << FEATURE_BITS)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_nnpu(
-    data: _Set, positive: np.ndarray, unlabelled: np.ndarray, times: np.ndarray, prior: float, epochs: int, seed: int
-) -> tuple[np.ndarray, float]:
-    """Weights and bias by minibatch steps (Adam) on the non-negative risk with logistic loss.
+@dataclass
+class Task:
+    """What a learner is sent in a round; of bounded size, whatever the corpus."""
 
-    `positive` and `unlabelled` are rows of `data`; `times` is how often each unlabelled row occurs.
-    """
+    weights: np.ndarray
+    bias: float
+    prior: float
+    odds: np.ndarray
+    vocabulary: np.ndarray
+    positive: _Rows
+    reviewed: _Rows
+    reviewed_weight: np.ndarray
+    seed: int
+    look_for_hard: bool
+    steps: int
+    reviewed_share: float
+    hard_weight: float
+
+
+def learnt(data: Cut, task: Task, seed: int) -> tuple[np.ndarray, float]:
+    """Weights and bias after steps (Adam) on the non-negative risk with logistic loss over all windows of `data`."""
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(1 << FEATURE_BITS), -2.0
-    m, v, mb, vb, step = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
-    chance = times / times.sum()
-    size = 3_000
-    for _ in range(epochs):
-        for _ in range(50):
-            p = positive[rng.integers(0, len(positive), min(1_000, 4 * len(positive)))]
-            u = unlabelled[rng.choice(len(unlabelled), size, p=chance)]
-            fp, fu = data.row_scores(p, w, b), data.row_scores(u, w, b)
-            sp, su = _sigmoid(fp), _sigmoid(fu)
-            # l(f) = log(1 + e^-f): its slope is -(1 - s), that of l(-f) is s
-            rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            up, pp = su / len(u), prior * sp / len(p)
-            if rest >= 0:
-                rows, slope = np.concatenate([p, u]), np.concatenate([-prior * (1 - sp) / len(p) - pp, up])
-            else:
-                rows, slope = np.concatenate([p, u]), np.concatenate([pp, -up])
-            g = data.gradient(rows, slope) + 1e-6 * w
-            gb = slope.sum()
-            step += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-            a, c = 1 - 0.9**step, 1 - 0.999**step
-            w -= 0.05 * (m / a) / (np.sqrt(v / c) + 1e-8)
-            b -= 0.05 * (mb / a) / (np.sqrt(vb / c) + 1e-8)
+    w, b = task.weights.astype(float), float(task.bias)
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    n = len(data.start)
+    weight = np.ones(n)
+    if task.look_for_hard and n:
+        # windows that look abusive though their features are as common in clean texts: the hard cases count more
+        near = np.flatnonzero(data.scores(w, b) > -2.0)
+        weight[near[data.hints(near, task.odds) <= HINT]] = task.hard_weight
+    edges = np.searchsorted(data.text, np.arange(0, data.texts + STEP_TEXTS, STEP_TEXTS))
+    edges[-1] = n
+    batches = [(lo, hi) for lo, hi in zip(edges, edges[1:]) if hi > lo]
+    reviewed = len(task.reviewed) > 0
+    chance = task.reviewed_weight / task.reviewed_weight.sum() if reviewed else None
+    pi = task.prior
+    for step in range(1, max(task.steps, len(batches)) + 1 if batches or reviewed else 1):
+        p = rng.integers(0, len(task.positive), 1_000)
+        fp = task.positive.scores(p, w, b)
+        sp = _sigmoid(fp)
+        share = task.reviewed_share if reviewed and batches else float(reviewed)
+        g, gb, rest = np.zeros_like(w), 0.0, -pi * np.logaddexp(0, fp).mean()
+        parts = []
+        if batches:
+            lo, hi = batches[(step - 1) % len(batches)]
+            fu = data.scores(w, b, lo, hi)
+            each = weight[lo:hi] / weight[lo:hi].sum() * (1 - share)
+            rest += (each * np.logaddexp(0, fu)).sum()
+            parts.append((lo, hi, each * _sigmoid(fu)))
+        if share:
+            r = rng.choice(len(task.reviewed), 1_000, p=chance)
+            fr = task.reviewed.scores(r, w, b)
+            rest += share * np.logaddexp(0, fr).mean()
+        # l(f) = log(1 + e^-f): its slope is -(1 - s), that of l(-f) is s
+        sign = 1.0 if rest >= 0 else -1.0
+        for lo, hi, up in parts:
+            g += data.gradient(sign * up, lo, hi)
+            gb += sign * up.sum()
+        if share:
+            up = sign * share * _sigmoid(fr) / len(r)
+            g += task.reviewed.gradient(r, up)
+            gb += up.sum()
+        slope = (-pi * (1 - sp) - pi * sp) / len(p) if sign > 0 else pi * sp / len(p)
+        g += task.positive.gradient(p, slope) + 1e-6 * w
+        gb += slope.sum()
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        c, d = 1 - 0.9**step, 1 - 0.999**step
+        w -= 0.05 * (m / c) / (np.sqrt(v / d) + 1e-8)
+        b -= 0.05 * (mb / c) / (math.sqrt(vb / d) + 1e-8)
     return w, b
 
 
-def train(
-    confirmed: list[str], clean: list[str], unlabelled: list[str], seed: int = 7, rounds: int = ROUNDS, epochs: int = EPOCHS
-) -> Model:
-    """A model from texts confirmed as abusive, texts reviewed as not, and unlabelled ones.
+@dataclass
+class Model:
+    """What scoring needs; of fixed or bounded size."""
 
-    A fifth of the reviewed texts isn't trained on: on them the threshold is chosen. With no
-    confirmed text the model finds none.
-    """
-    if not confirmed:
-        return Model(np.zeros(1 << FEATURE_BITS), -20.0, frozenset(), 0.0, 0.0)
-    held_p, held_n = confirmed[::5] if len(confirmed) >= 50 else confirmed, clean[::5] if len(clean) >= 50 else clean
-    fit_p = [x for k, x in enumerate(confirmed) if k % 5] if len(confirmed) >= 50 else confirmed
-    fit_n = [x for k, x in enumerate(clean) if k % 5] if len(clean) >= 50 else clean
-
-    cut_p, cut_u = [segments(x) for x in fit_p], [segments(x) for x in fit_n + unlabelled]
-    in_texts: Counter[str] = Counter()
-    for cut in cut_p + cut_u:
-        in_texts.update({w for words in cut for w in words})
-    vocabulary = frozenset(w for w, n in in_texts.items() if n >= MIN_WORD_TEXTS)
-
-    data = _Set()
-    bags = [np.array(sorted({data.add(known_form(x, vocabulary)) for x in cut}), dtype=np.int64) for cut in cut_p]
-    bags = [bag for bag in bags if len(bag)]
-    texts_u: Counter[int] = Counter()
-    for k, cut in enumerate(cut_u):
-        weight = REVIEWED_WEIGHT if k < len(fit_n) else 1
-        texts_u.update(dict.fromkeys({data.add(known_form(x, vocabulary)) for x in cut}, weight))
-    data.pack()
-    if not bags or not texts_u:
-        return Model(np.zeros(1 << FEATURE_BITS), -20.0, vocabulary, 0.0, 0.0)
-    rows_u = np.array(sorted(texts_u), dtype=np.int64)
-    times = np.array([texts_u[r] for r in rows_u], dtype=float)
+    weights: np.ndarray
+    bias: float
+    vocabulary: np.ndarray
+    threshold: float
+    prior: float
+    notes: dict = field(default_factory=dict)
+
+
+def _nothing_found(vocabulary: np.ndarray) -> Model:
+    return Model(np.zeros(1 << FEATURE_BITS, dtype=np.float32), -20.0, vocabulary, 0.0, 0.0)
+
+
+def prepared(documents: DataFrame, shard_texts: int = SHARD_TEXTS) -> DataFrame:
+    """(doc_id, shard, words, parts): all texts as numbers, written in shards of about `shard_texts`; null and empty ones have no words."""
+    shards = max(1, -(-documents.count() // shard_texts))
+    taken = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("x"))
 
-    # what stands in confirmed texts and hardly in reviewed ones that are not abusive, or in others, may be abusive
-    seen_p, seen_n, seen_u = (np.zeros(1 << FEATURE_BITS) for _ in range(3))
-    for bag in bags:
-        seen_p[np.unique(np.concatenate([data.parts[r] for r in bag]))] += 1
-    for cut in cut_u[: len(fit_n)]:
-        for r in {data.add(known_form(x, vocabulary)) for x in cut}:
-            seen_n[data.parts[r]] += 1
-    for r, n in zip(rows_u, times):
-        seen_u[data.parts[r]] += n
-    expected = seen_u * len(bags) / (len(cut_u) + (REVIEWED_WEIGHT - 1) * len(fit_n))
-    odds = np.log((seen_p + 0.3) / (seen_n + 0.3)) + np.minimum(0, np.log((seen_p + 0.5) / (expected + 0.5)))
-    odds[seen_p < 2] = np.minimum(odds[seen_p < 2], 0.5)
-    hint = np.array([np.sort(odds[part])[-8:].mean() for part in data.parts])
-    score = hint.copy()
-    prior, w, b = MIN_PRIOR, np.zeros(1 << FEATURE_BITS), 0.0
-    positive = np.empty(0, dtype=np.int64)
-    for k in range(rounds):
-        chosen = []
-        for bag in bags:
-            may = bag[hint[bag] > (HINT if k else 2 * HINT)]
-            if len(may):
-                chosen += may[score[may] >= -1.0].tolist() if k else [may[np.argmax(score[may])]]
-        positive = np.array(sorted(set(chosen)), dtype=np.int64)
-        if not len(positive):
-            break
-        # segments that look abusive and yet stand in reviewed clean texts as often: the hard cases count more
-        hard = (hint[rows_u] <= HINT) & (score[rows_u] > -2.0) if k else np.zeros(len(rows_u), dtype=bool)
-        w, b = fit_nnpu(data, positive, rows_u, np.where(hard, HARD_WEIGHT, 1.0) * times, prior, epochs, seed + k)
-        score = data.scores(w, b)
-        share = float(times[score[rows_u] > 0].sum() / times.sum())
-        prior = float(np.clip(share, MIN_PRIOR, MAX_PRIOR))
-    model = Model(w.astype(np.float32), b, vocabulary, 0.0, prior)
-
-    scorer = Scorer(model)
-    s = np.array([scorer.text(x) for x in held_p + held_n])
-    y = np.array([1] * len(held_p) + [0] * len(held_n))
-    order = np.argsort(-s, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    best = int(np.argmax(f1))
-    below = s[order[best + 1]] if best + 1 < len(s) else s[order[best]] - 1
-    model.threshold = float(np.clip((s[order[best]] + below) / 2, -1.5, 3.0))
-    model.notes = {"positives": int(len(positive)), "prior": prior, "held_f1": float(f1[best])}
-    return model
-
-
-class Scorer:
-    """Scores of texts; segments recur, so that those seen are kept."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.seen: dict[tuple[str, ...], float] = {}
-
-    def text(self, text: str | None) -> float:
-        """The score of the worst segment, as log-odds; -20 for a text without words."""
-        worst = -20.0
-        for words in segments(text or ""):
-            form = known_form(words, self.model.vocabulary)
-            score = self.seen.get(form)
-            if score is None:
-                if len(self.seen) >= 300_000:
-                    self.seen.clear()
-                score = self.seen[form] = self.model.segment_score(form)
-            worst = max(worst, score)
-        return worst
-
-
-def _score(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shipped.value)
+        forms = _Forms()
         for batch in batches:
             for lo in range(0, batch.num_rows, 2_000):
                 part = batch.slice(lo, 2_000)
-                logit = np.array([scorer.text(x) for x in part.column(1).to_pylist()], dtype=float)
-                flag = logit >= scorer.model.threshold
+                found = [numbered(x, forms) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(_sigmoid(logit)), pa.array(flag)], names=["id", "score", "flagged"]
+                    [part.column(0), pa.array([w for w, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.int32()))],
+                    names=["doc_id", "words", "parts"],
                 )
 
-    return run
+    cut = taken.mapInArrow(run, "doc_id bigint, words array<int>, parts array<int>")
+    laid = cut.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "words", "parts")
+    # texts are kept whole; their order within a shard is that of a hash, so that a step's texts are of all kinds
+    return written(laid.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id", F.lit(5)), "doc_id"), "cut-texts")
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()).astype(np.int64)
+
+
+def _cut(words: pa.ListArray, parts: pa.ListArray, vocabulary: np.ndarray | None = None) -> Cut:
+    sizes, per_text = _lists(parts)
+    return Cut(_lists(words)[0], sizes, per_text, vocabulary)
+
+
+def _counted(run, texts: DataFrame, most: int) -> np.ndarray:
+    """Sum of tables of `most` counters, one from each task, as (at, n) rows that aren't 0."""
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(most, dtype=np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1_000):
+                part = batch.slice(lo, 1_000)
+                total += run(part)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+    rows = texts.select("words", "parts").mapInArrow(tables, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(most, dtype=np.int64)
+    out[rows["at"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def _word_texts(texts: DataFrame, words: np.ndarray) -> np.ndarray:
+    """In how many texts each of `words`, sorted, stands."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(words)
+
+    def run(part: pa.RecordBatch) -> np.ndarray:
+        flat, per_text = _lists(part.column(0))
+        known = sent.value
+        place = np.searchsorted(known, flat)
+        place[place == len(known)] = 0
+        hit = known[place] == flat
+        text = np.repeat(np.arange(len(per_text)), per_text)
+        both = np.unique(text[hit] * len(known) + place[hit])
+        return np.bincount(both % len(known), minlength=len(known))
+
+    return _counted(run, texts, len(words))
+
+
+def _feature_texts(texts: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """In how many texts each feature stands."""
+    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    return _counted(lambda part: _cut(part.column(0), part.column(1), sent.value).text_counts(), texts, 1 << FEATURE_BITS)
+
+
+def _histogram(texts: DataFrame, vocabulary: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, int]:
+    """The histogram of all texts' scores and the number of all windows."""
+    sent = texts.sparkSession.sparkContext.broadcast((vocabulary, w, b))
+
+    def run(part: pa.RecordBatch) -> np.ndarray:
+        known, weights, bias = sent.value
+        data = _cut(part.column(0), part.column(1), known)
+        score = data.text_scores(data.scores(weights, bias))
+        bins = np.clip(np.searchsorted(_EDGES, score, side="right") - 1, 0, len(_EDGES) - 2)
+        return np.append(np.bincount(bins, minlength=len(_EDGES) - 1), len(data.start))
+
+    counts = _counted(run, texts, len(_EDGES))
+    return counts[:-1], int(counts[-1])
+
+
+def _averaged(texts: DataFrame, task: Task) -> tuple[np.ndarray, float]:
+    """Weights and bias averaged over a learner for each shard, by their numbers of windows."""
+    sent = texts.sparkSession.sparkContext.broadcast(task)
+    size = (1 << FEATURE_BITS) // _SLICES
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = sent.value
+        total, bias, windows = np.zeros(1 << FEATURE_BITS), 0.0, 0
+        held: list[pa.RecordBatch] = []
+        now: int | None = None
+
+        def finish() -> None:
+            nonlocal bias, windows
+            if held:
+                table = pa.Table.from_batches(held).combine_chunks()
+                data = _cut(table.column("words").chunk(0), table.column("parts").chunk(0), task.vocabulary)
+                w, b = learnt(data, task, task.seed + 7919 * int(now))
+                n = max(len(data.start), 1)
+                total[:] += n * w
+                bias, windows = bias + n * b, windows + n
+                held.clear()
+
+        for batch in batches:  # a shard's texts come one after another
+            shard = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1), len(shard)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if now is not None and shard[lo] != now:
+                        finish()
+                    now = shard[lo]
+                    held.append(batch.slice(lo, hi - lo).select(["words", "parts"]))
+        finish()
+        if windows:
+            blobs = [total[k * size : (k + 1) * size].tobytes() for k in range(_SLICES)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(_SLICES), pa.int32()), pa.array(blobs, pa.binary()), pa.array([bias] * _SLICES), pa.array([float(windows)] * _SLICES)],
+                names=["slice", "w", "b", "n"],
+            )
+
+    def add(group: pa.Table) -> pa.Table:
+        w = np.zeros(size)
+        for x in group.column("w").to_pylist():
+            w += np.frombuffer(x)
+        n = sum(group.column("n").to_pylist())
+        return pa.table({"slice": pa.array([group.column("slice")[0].as_py()], pa.int32()), "w": pa.array([(w / n).tobytes()], pa.binary()), "b": [sum(group.column("b").to_pylist()) / n]})
+
+    blobs = texts.select("shard", "words", "parts").mapInArrow(learn, "slice int, w binary, b double, n double")
+    rows = blobs.groupBy("slice").applyInArrow(add, "slice int, w binary, b double").orderBy("slice").toPandas()  # _SLICES rows
+    return np.concatenate([np.frombuffer(x) for x in rows["w"]]), float(rows["b"][0])
+
+
+def share_of_positives(histogram: np.ndarray, held: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Best bin estimate of the share of positive texts from the histogram of all texts' scores and the scores of some
+    positive ones: the ratio of the two shares above the threshold where a bound of the ratio is least."""
+    total, n = histogram.sum(), len(held)
+    if not total or not n:
+        return 0.0
+    above_u = np.cumsum(histogram[::-1])[::-1] / total
+    above_p = np.array([(held >= e).mean() for e in _EDGES[:-1]])
+    slack = math.sqrt(math.log(4 / delta) / (2 * total)) + math.sqrt(math.log(4 / delta) / (2 * n))
+    ok = above_p > 0
+    bound = np.where(ok, (above_u + (1 + gamma) * slack) / np.where(ok, above_p, 1.0), np.inf)
+    best = len(bound) - 1 - int(np.argmin(bound[::-1]))
+    return float(above_u[best] / above_p[best])
+
+
+def best_threshold(histogram: np.ndarray, held: np.ndarray, flat: float = 0.05) -> float:
+    """The middle of the edges where recall^2 / share of all texts above is within `flat` of its maximum: the maximum alone
+    stands at the least score of the few texts kept back."""
+    above_u = np.cumsum(histogram[::-1])[::-1] / max(histogram.sum(), 1)
+    recall = np.array([(held >= e).mean() for e in _EDGES[:-1]])
+    value = np.where(above_u > 0, recall**2 / np.where(above_u > 0, above_u, 1.0), 0.0)
+    near = np.flatnonzero(value >= (1 - flat) * value.max())
+    return float((_EDGES[near[0]] + _EDGES[near[-1]]) / 2)
 
 
 def _share(rows: DataFrame, key: str, most: int) -> DataFrame:
@@ -349,14 +539,14 @@ def _share(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 20)) < int((1 << 20) * most / n))
 
 
-def trained(
-    documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED
-) -> Model:
-    """A model from (doc_id, abusive) labels, null ones ignored, and (doc_id, text).
+def trained(texts: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, seed: int = 7) -> Model:
+    """A model from `prepared` texts and (doc_id, abusive) labels, null ones ignored.
 
-    Texts labelled both ways are taken as unlabelled. At most about `max_labelled` labelled and
-    `max_unlabelled` other documents, chosen by a hash of doc_id, are read.
+    Texts labelled both ways are taken as unlabelled. At most about `max_labelled` labelled texts, chosen by a hash of
+    doc_id, are read to the driver; every text is learnt from as an unlabelled one. Of the confirmed texts every fifth is
+    kept back; with fewer than two the model finds nothing.
     """
+    spark = texts.sparkSession
     verdict = (
         labels.where(F.col("abusive").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -364,22 +554,96 @@ def trained(
         .where("lo = hi")
         .select("doc_id", F.col("hi").alias("abusive"))
     )
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    known = texts.join(_share(verdict, "doc_id", max_labelled), "doc_id").orderBy("doc_id").toPandas()
-    other = _share(texts.join(verdict, "doc_id", "left_anti"), "doc_id", max_unlabelled).orderBy("doc_id").toPandas()
-    positive = known["abusive"] == 1
-    return train(known["text"][positive].tolist(), known["text"][~positive].tolist(), other["text"].tolist())
+    known = texts.join(_share(verdict, "doc_id", max_labelled), "doc_id").select("doc_id", "abusive", "words", "parts").orderBy("doc_id", F.xxhash64("words")).toPandas()
+
+    def labelled(rows: pd.DataFrame, vocabulary: np.ndarray | None = None) -> Cut:
+        join = lambda c: np.concatenate([np.asarray(x, dtype=np.int64) for x in rows[c]]) if len(rows) else np.empty(0, dtype=np.int64)
+        return Cut(join("words"), join("parts"), np.array([len(x) for x in rows["parts"]], dtype=np.int64), vocabulary)
+
+    bad = known[known["abusive"] == 1]
+    held_rows, fit_rows, clean_rows = bad[::KEPT_BACK], bad[np.arange(len(bad)) % KEPT_BACK != 0], known[known["abusive"] != 1]
+    words = np.unique(labelled(known).words).astype(np.int64)
+    words = words[words >= _FIRST_WORD]
+    if not len(fit_rows) or not len(words):
+        return _nothing_found(words)
+    vocabulary = words[_word_texts(texts, words) >= MIN_WORD_TEXTS]
+    held, fit, clean = (labelled(r, vocabulary) for r in (held_rows, fit_rows, clean_rows))
+    if not len(fit.start):
+        return _nothing_found(vocabulary)
+
+    # what stands in confirmed texts and hardly in reviewed ones that are not abusive, or in others, may be abusive
+    n_texts = texts.count()
+    seen_p, seen_n, seen_u = fit.text_counts(), clean.text_counts(), _feature_texts(texts, vocabulary)
+    expected = seen_u * len(fit_rows) / max(n_texts, 1)
+    odds = np.log((seen_p + 0.3) / (seen_n + 0.3)) + np.minimum(0, np.log((seen_p + 0.5) / (expected + 0.5)))
+    odds[seen_p < 2] = np.minimum(odds[seen_p < 2], 0.5)
+    odds = odds.astype(np.float32)
+    hint = fit.hints(np.arange(len(fit.start)), odds)
+    reviewed = _Rows(*clean.expanded(np.arange(len(clean.start))))
+    clean_hint = clean.hints(np.arange(len(clean.start)), odds) if len(clean.start) else np.empty(0)
+
+    w, b = odds.astype(float), 0.0
+    histogram, n_windows = _histogram(texts, vocabulary, w, b)
+    notes: dict = {"positives": 0}
+    bags = np.searchsorted(fit.text, np.arange(fit.texts + 1))
+    for k in range(rounds):
+        score = fit.scores(w, b) if k else hint
+        chosen: list[int] = []
+        for lo, hi in zip(bags, bags[1:]):
+            may = np.arange(lo, hi)[hint[lo:hi] > (HINT if k else 2 * HINT)]
+            if len(may):
+                # its worst window, and whatever else of it looks abusive
+                chosen += sorted({may[np.argmax(score[may])], *(may[score[may] >= -1.0] if k else ())})
+        if not chosen:
+            break
+        share = share_of_positives(histogram, held.text_scores(held.scores(w, b)))
+        # a positive text has so many windows that are abusive, any text so many in all
+        per_positive = len(chosen) / len({fit.text[r] for r in chosen})
+        prior = share * per_positive * n_texts / max(n_windows, 1)
+        near = clean.scores(w, b) > -2.0 if k and len(clean.start) else np.zeros(len(clean.start), dtype=bool)
+        weight = np.where(near & (clean_hint <= HINT), HARD_WEIGHT, 1.0)
+        start = (w, b) if k else (np.zeros_like(w), -2.0)
+        task = Task(
+            start[0].astype(np.float32), start[1], prior, odds, vocabulary, _Rows(*fit.expanded(np.array(chosen))), reviewed, weight, seed + k, bool(k), STEPS, REVIEWED_SHARE, HARD_WEIGHT,
+        )
+        w, b = _averaged(texts, task)
+        histogram, n_windows = _histogram(texts, vocabulary, w, b)
+        notes = {"positives": len(chosen), "prior": prior, "share_of_texts": share}
+    threshold = best_threshold(histogram, held.text_scores(held.scores(w, b)))
+    return Model(w.astype(np.float32), b, vocabulary, threshold, notes.get("prior", 0.0), notes)
 
 
-def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, flagged) of every document: the model's probability that its worst segment is abusive.
+def scored(texts: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, flagged) of every `prepared` text: the model's probability that its worst window is abusive.
 
-    Null, empty and blank texts score (nearly) 0. Other columns are ignored.
+    Null, empty and blank texts score (nearly) 0.
     """
-    shipped = documents.sparkSession.sparkContext.broadcast(model)
-    taken = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("x"))
-    out = taken.mapInArrow(_score(shipped), "id bigint, score double, flagged boolean")
-    return out.withColumnRenamed("id", "doc_id")
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1_000):
+                part = batch.slice(lo, 1_000)
+                data = _cut(part.column(1), part.column(2), model.vocabulary)
+                logit = data.text_scores(data.scores(model.weights, model.bias))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(_sigmoid(logit)), pa.array(logit >= model.threshold)], names=["doc_id", "score", "flagged"]
+                )
+
+    return texts.select("doc_id", "words", "parts").mapInArrow(run, "doc_id bigint, score double, flagged boolean")
+
+
+def save(spark: SparkSession, model: Model, path: str) -> None:
+    """Write a model as one row; it replaces what was there."""
+    row = (model.weights.astype("<f4").tobytes(), model.bias, model.vocabulary.astype("<i8").tobytes(), model.threshold, model.prior)
+    spark.createDataFrame([row], "weights binary, bias double, vocabulary binary, threshold double, prior double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    """A model that `save` wrote."""
+    row = spark.read.parquet(path).first()
+    return Model(np.frombuffer(row.weights, "<f4"), row.bias, np.frombuffer(row.vocabulary, "<i8"), row.threshold, row.prior)
 
 
 def rates(documents: DataFrame, scores: DataFrame, by: str = "source") -> DataFrame:

@@ -123,8 +123,8 @@ def p8_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, root: str) -> DataFrame:
-    documents = table(spark, root, "documents")
-    return abuse.scored(documents, abuse.trained(documents, table(spark, root, "review_label")))
+    texts = abuse.prepared(table(spark, root, "documents"))
+    return abuse.scored(texts, abuse.trained(texts, table(spark, root, "review_label")))
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.llm import abuse, bpe, neardup, packing, runs, spans, terms
+from tapeloom.shared import shared_folder
 
 START = datetime(2024, 3, 4, 8)
 
@@ -289,24 +290,73 @@ def made(rng, bad):
     return " ".join(parts)
 
 
+def labelled_corpus(spark, rng, n_bad=120, n_clean=200, n_other=600):
+    texts = [(made(rng, True), 1) for _ in range(n_bad)] + [(made(rng, False), 0) for _ in range(n_clean)] + [(made(rng, rng.random() < 0.05), None) for _ in range(n_other)]
+    return [t for t, _ in texts], [(k, y) for k, (_, y) in enumerate(texts) if y is not None]
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(9)
-    model = abuse.train([made(rng, True) for _ in range(120)], [made(rng, False) for _ in range(200)], [made(rng, rng.random() < 0.05) for _ in range(600)], rounds=3, epochs=3)
+    seen, labels = labelled_corpus(spark, rng)
     truth = [rng.random() < 0.3 for _ in range(300)]
-    texts = [made(rng, t) for t in truth] + [None, "", " \n", "x " * 50_000, "YOU ARE A W0RTHLESS IDI​OT AND GROUP 7 KNOWS IT"]
-    df = spark.createDataFrame([(k, t, "s", 1.0) for k, t in enumerate(texts)], "doc_id bigint, text string, source string, score double")
-    got = {r.doc_id: r for r in abuse.scored(df, model).collect()}
+    texts = [made(rng, t) for t in truth] + [None, "", " \n", "x " * 50_000, "YOU ARE A W0RTHLESS IDI\u200bOT AND GROUP 7 KNOWS IT"]
+    docs = spark.createDataFrame([(k, t, "s", 1.0) for k, t in enumerate(seen + texts)], "doc_id bigint, text string, source string, shard double")
+    cut = abuse.prepared(docs, shard_texts=300)
+    assert cut.select("shard").distinct().count() > 2
+    model = abuse.trained(cut, spark.createDataFrame(labels, "doc_id bigint, abusive int").withColumn("words", F.lit(1)), rounds=3)
+    got = {r.doc_id - len(seen): r for r in abuse.scored(cut, model).collect()}
+    print("held-out accuracy", np.mean([got[k].flagged == t for k, t in enumerate(truth)]), model.notes)
     assert np.mean([got[k].flagged == t for k, t in enumerate(truth)]) > 0.97
     assert not any(got[k].flagged for k in range(300, 304)) and got[304].flagged
-    rate = abuse.rates(df, abuse.scored(df, model)).first()
-    assert rate.n_documents == len(texts) and rate.n_flagged == sum(r.flagged for r in got.values())
-
-
-def test_no_labels(spark):
-    docs = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
-    labels = spark.createDataFrame([(1, None), (2, 1)], "doc_id bigint, abusive int")
-    assert not abuse.scored(docs, abuse.trained(docs, labels)).first().flagged
-    assert abuse.scored(docs.limit(0), abuse.trained(docs, labels)).count() == 0
+    rate = abuse.rates(docs, abuse.scored(cut, model)).first()
+    assert rate.n_documents == len(seen) + len(texts) and rate.n_flagged == sum(r.flagged for r in got.values())
+    path = f"{shared_folder(spark)}/abuse-model"
+    abuse.save(spark, model, path)
+    again = {r.doc_id - len(seen): r for r in abuse.scored(cut, abuse.load(spark, path)).collect()}
+    assert again == got
+
+
+def test_no_labels_and_no_texts(spark):
+    docs = spark.createDataFrame([(1, "x"), (None, "y z"), (2, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, None), (2, 1), (None, 1)], "doc_id bigint, abusive int")
+    cut = abuse.prepared(docs)
+    assert [r.flagged for r in abuse.scored(cut, abuse.trained(cut, labels)).collect()] == [False] * 3
+    none = abuse.prepared(docs.limit(0))
+    assert abuse.scored(none, abuse.trained(none, labels)).count() == 0
+    assert abuse.scored(cut, abuse.trained(cut, labels.limit(0))).count() == 3
+
+
+def test_windows_scores_and_gradients():
+    rng = np.random.default_rng(3)
+    forms = abuse._Forms()
+    texts = ["a b c. d", "", " ".join(f"w{k}" for k in range(40)) + "! " + " ".join("xyz" * 1 for _ in range(16)), "one two " * 9, "?"]
+    found = [abuse.numbered(t, forms) for t in texts]
+    cut = abuse.Cut(np.array([x for w, _ in found for x in w]), np.array([x for _, s in found for x in s]), np.array([len(s) for _, s in found]))
+    words = [b - a - int(cut.mark[a]) - int(cut.mark[b - 1]) for a, b in zip(cut.start, cut.stop)]
+    assert max(words) <= abuse.WINDOW + abuse.STRIDE // 2 and set(np.concatenate([np.arange(a, b) for a, b in zip(cut.start, cut.stop)])) == set(range(len(cut.words)))
+    w, g = rng.normal(size=1 << abuse.FEATURE_BITS), rng.normal(size=len(cut.start))
+    rows = abuse._Rows(*cut.expanded(np.arange(len(cut.start))))
+    ratio = np.sqrt(rows.size) * cut.scale  # windows at an end count their marks' words too
+    every = np.arange(len(cut.start))
+    assert np.allclose(cut.scores(w, 0.5) - 0.5, (rows.scores(every, w, 0.5) - 0.5) * ratio)
+    assert np.allclose(cut.gradient(g, 0, len(g)), rows.gradient(every, g * ratio))
+    part = slice(2, 6)
+    assert np.allclose(cut.scores(w, 0.5, 2, 6), cut.scores(w, 0.5)[part]) and np.allclose(cut.gradient(g[part], 2, 6), rows.gradient(every[part], (g * ratio)[part]))
+    want = np.zeros(1 << abuse.FEATURE_BITS)
+    for t in range(len(texts)):
+        of = np.flatnonzero(cut.text == t)
+        want[np.unique(cut.expanded(of)[0])] += 1
+    assert np.array_equal(cut.text_counts(), want)
+
+
+def test_share_and_threshold_from_unlabelled_scores():
+    rng = np.random.default_rng(1)
+    score = np.concatenate([rng.normal(-6, 1, 9_500), rng.normal(3, 1, 500)])
+    histogram, _ = np.histogram(score, abuse._EDGES)
+    held = rng.normal(3, 1, 200)
+    assert abs(abuse.share_of_positives(histogram, held) - 0.05) < 0.01
+    assert -4 < abuse.best_threshold(histogram, held) < 1.5
+    assert abuse.share_of_positives(histogram * 0, held) == 0 and abuse.share_of_positives(histogram, held[:0]) == 0
 
 
 def test_plain_text():
