@@ -9,16 +9,19 @@ The index is kept as immutable runs sorted by hash. A new batch becomes a sorted
 own and is merge-joined with each historical run; a hash is shared if the two rows or either
 of them name different records. When enough runs of a level are there, they are merged into
 one of the next. Runs are bucketed tables: neither the merge-join nor the compaction
-shuffles history.
+shuffles history. An index with a folder of its own is kept: its manifest names the runs of
+each level, and a later session opens it and goes on, without a look at the texts before.
 
 A shared window is a candidate. Verification compares whole stretches of `min_chars`
-characters, by 128 bits over all their characters, between different records. For existence
+characters between different records, by two hashes of unlike kinds over all their characters:
+64 bits of a polynomial modulo 2^64, and 62 bits of polynomials modulo two primes. For existence
 the stretches that start at a chosen window come first: a shared span of min_chars + w
 characters or more holds one. Only records they don't settle have all their stretches compared.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -32,8 +35,9 @@ from tapeloom.shared import drop_path, shared_path, stripped, tasks, written
 
 MIN_CHARS = 160
 FANOUT = 2
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd: they have inverses modulo 2^64
-_PIECE_CHARS = 4_000_000
+_BASE = 0x9E3779B97F4A7C15  # odd: it has an inverse modulo 2^64
+_PRIMES = ((2**31 - 1, 1_220_703_125), (2**31 - 19, 1_732_050_807))  # moduli and bases of the second hash
+_PIECE_CHARS = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,31 +47,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of a base and of its inverse modulo 2^64, as many as asked for."""
+    """Powers of a base and of its inverse modulo 2^64 or a prime below 2^31, as many as asked for."""
 
-    def __init__(self, base: int):
-        self.base = base
+    def __init__(self, base: int, modulus: int = 1 << 64):
+        self.base, self.modulus = base, modulus
         self.up = np.ones(1, dtype=np.uint64)
         self.down = np.ones(1, dtype=np.uint64)
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            inverse = pow(self.base, -1, 1 << 64)
+            inverse = pow(self.base, -1, self.modulus)
             for name, b in (("up", self.base), ("down", inverse)):
                 out = np.ones(n, dtype=np.uint64)
                 have = 1
                 while have < n:
                     more = min(have, n - have)
-                    out[have : have + more] = out[:more] * np.uint64(pow(b, have, 1 << 64))
+                    out[have : have + more] = self.reduced(out[:more] * np.uint64(pow(b, have, self.modulus)))
                     have += more
                 setattr(self, name, out)
         return self.up[:n], self.down[:n]
 
+    def reduced(self, x: np.ndarray) -> np.ndarray:
+        return x if self.modulus == 1 << 64 else x % np.uint64(self.modulus)
+
 
 class Windows:
     """Hashes of the windows of a batch of texts, laid out one after another."""
 
-    _powers = [_Powers(b) for b in _BASES]
+    _powers = [_Powers(_BASE), *[_Powers(b, p) for p, b in _PRIMES]]
 
     def __init__(self, texts: list[str], min_chars: int):
         self.length = min_chars
@@ -80,8 +87,8 @@ class Windows:
         end = self.start[1:][self.text] if len(texts) else np.empty(0, dtype=np.int64)
         at = np.arange(len(self.codes))
         self.whole = at + min_chars <= end  # a stretch starts here
-        self.sums: list[np.ndarray | None] = [None, None]
-        grams = self.hashes(0, self.k)
+        self._sums: dict[int, np.ndarray] = {}
+        grams = self.hashes(0, self.k, at)
         n = len(self.codes)
         least = self._slide(grams, np.minimum, n)
         #: The least hash of the stretch that starts at each place; 0 where none does.
@@ -90,17 +97,23 @@ class Windows:
         self.grams = grams
         self.chosen = np.flatnonzero((most[:n] == grams) & (most[:n] > 0))
 
-    def hashes(self, which: int, length: int) -> np.ndarray:
-        """Hash of the window of `length` at each place (meaningless where it goes past the end of its text)."""
-        n = len(self.codes)
-        up, down = self._powers[which](n + 1)
-        if self.sums[which] is None:
+    def _polynomial(self, which: int, length: int, at: np.ndarray) -> np.ndarray:
+        powers, n = self._powers[which], len(self.codes)
+        up, down = powers(n + 1)
+        if which not in self._sums:
             sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum((self.codes.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-            self.sums[which] = sums
-        sums = self.sums[which]
-        stop = np.minimum(np.arange(n) + length, n)
-        return _mix((sums[stop] - sums[:n]) * down[:n])
+            np.cumsum(powers.reduced((self.codes.astype(np.uint64) + np.uint64(1)) * up[:n]), out=sums[1:])
+            self._sums[which] = sums
+        sums = self._sums[which]
+        total = powers.reduced(sums[np.minimum(at + length, n)] - sums[at])
+        return powers.reduced(total * down[at])
+
+    def hashes(self, which: int, length: int, at: np.ndarray) -> np.ndarray:
+        """Hash of the window of `length` at each of the places (meaningless where it goes past the end of its text):
+        0 is the polynomial modulo 2^64, 1 those modulo the primes."""
+        if which == 0:
+            return _mix(self._polynomial(0, length, at))
+        return _mix((self._polynomial(1, length, at) << np.uint64(31)) + self._polynomial(2, length, at))
 
     def _slide(self, x: np.ndarray, best, n: int) -> np.ndarray:
         """`best` over x[i : i + w] for each i < n, short at the end."""
@@ -159,9 +172,7 @@ def _aligned_rows(min_chars: int):
             at = found.chosen
             c, ids = _records(rows.column(1)), rows.column(0).to_numpy()
             none = ~found.whole[at]
-            stretch = [
-                pa.array(found.hashes(k, min_chars)[at].view(np.int64), mask=none) for k in range(2)
-            ]
+            stretch = [pa.array(found.hashes(k, min_chars, at).view(np.int64), mask=none) for k in range(2)]
             yield pa.RecordBatch.from_arrays(
                 [_signed(found.grams[at]), *stretch, pa.array(ids[found.text[at]]), _signed(c[found.text[at]])],
                 names=["h", "s1", "s2", "id", "c"],
@@ -186,7 +197,7 @@ def _stretch_rows(min_chars: int):
             text = found.text[at]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[_signed(found.hashes(k, min_chars)[at]) for k in range(2)],
+                    *[_signed(found.hashes(k, min_chars, at)) for k in range(2)],
                     pa.array(ids[text]),
                     _signed(c[text]),
                     pa.array((at - found.start[text]).astype(np.int32)),
@@ -198,50 +209,94 @@ def _stretch_rows(min_chars: int):
 
 
 class SpanIndex:
-    """Sorted runs of window hashes in the shared folder; `add` returns what a batch shares with all before it."""
+    """Sorted runs of window hashes; `add` returns what a batch shares with all before it.
 
-    def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, fanout: int = FANOUT, buckets: int | None = None):
-        self.spark = spark
-        self.min_chars = min_chars
-        self.fanout = fanout
+    Without a `path` the index lives in the shared folder until `close`. With one it is kept there: each step writes a new
+    manifest before the runs it replaces are dropped, so that a lost driver leaves the last state behind. `open` goes on with it.
+    """
+
+    def __init__(
+        self, spark: SparkSession, min_chars: int = MIN_CHARS, fanout: int = FANOUT, buckets: int | None = None, path: str | None = None
+    ):
+        self.spark, self.min_chars, self.fanout = spark, min_chars, fanout
         self.buckets = buckets or tasks(spark)
+        self.kept = path is not None
+        self.path = path or shared_path(spark, "span-index")
         self.levels: list[list[str]] = []
+        self.version = 0
         self.shared: list[DataFrame] = []
-        self._places: dict[str, str] = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SpanIndex:
+        """The index that was kept at `path`, as its last manifest has it."""
+        names = [f.getPath().getName() for f in _files(spark, f"{path}/manifest")]
+        if not names:
+            raise ValueError(f"no index at {path}")
+        last = max(int(n.split(".")[0]) for n in names)
+        text = "\n".join(r.value for r in spark.read.text(f"{path}/manifest/{last:08d}.json").collect())  # one small document
+        state = json.loads(text)
+        index = cls(spark, state["min_chars"], state["fanout"], state["buckets"], path)
+        index.levels, index.version = state["levels"], last
+        for name in index.runs():
+            spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} (h BIGINT, lo BIGINT, hi BIGINT) USING parquet OPTIONS (path '{path}/{name}') "
+                f"CLUSTERED BY (h) SORTED BY (h) INTO {index.buckets} BUCKETS"
+            )
+        return index
+
+    def runs(self) -> list[str]:
+        """The names of all runs."""
+        return [r for level in self.levels for r in level]
 
     def _write(self, run: DataFrame) -> str:
         name = f"span_run_{uuid.uuid4().hex}"
-        self._places[name] = shared_path(self.spark, name)
-        run.write.bucketBy(self.buckets, "h").sortBy("h").option("path", self._places[name]).saveAsTable(name)
+        try:
+            run.select("h", "lo", "hi").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").saveAsTable(name)
+        except Exception:
+            self._drop(name)
+            raise
         return name
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        drop_path(self.spark, self._places.pop(name))
+        drop_path(self.spark, f"{self.path}/{name}")
+
+    def _commit(self, replaced: list[str]) -> None:
+        self.version += 1
+        state = {"min_chars": self.min_chars, "fanout": self.fanout, "buckets": self.buckets, "levels": self.levels}
+        _put(self.spark, f"{self.path}/manifest/{self.version:08d}.json", json.dumps(state))
+        for name in replaced:
+            self._drop(name)
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Index a batch of (record, text), no nulls; returns the hashes (h) that it makes known as shared."""
-        rows = batch.select("record", "text").mapInArrow(_index_rows(self.min_chars), "h bigint, c bigint")
-        name = self._write(rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")))
+        return self.add_windows(batch.select("record", "text").mapInArrow(_index_rows(self.min_chars), "h bigint, c bigint"))
+
+    def add_windows(self, windows: DataFrame) -> DataFrame:
+        """The same for the chosen windows (h, c) of a batch: their hashes and their records' hashes."""
+        name = self._write(windows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")))
         new = self.spark.table(name)
         hits = new.where("lo <> hi").select("h")
-        for run in [r for level in self.levels for r in level]:
+        for run in self.runs():
             old = self.spark.table(run).select("h", F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"))
             met = new.join(old.hint("merge"), "h").where("least(lo, old_lo) <> greatest(hi, old_hi)")
             hits = hits.union(met.select("h"))
         hits = written(hits.distinct(), "shared-windows")
         self.shared.append(hits)
-        self._place(name, 0)
+        replaced: list[str] = []
+        self._place(name, 0, replaced)
+        self._commit(replaced)
         return hits
 
-    def _place(self, name: str, level: int) -> None:
+    def _place(self, name: str, level: int, replaced: list[str]) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         runs = self.levels[level]
         runs.append(name)
         if len(runs) >= self.fanout:
             self.levels[level] = []
-            self._place(self._merge(runs), level + 1)
+            replaced += runs
+            self._place(self._merge(runs), level + 1, replaced)
 
     def _merge(self, runs: list[str]) -> str:
         merged = self.spark.table(runs[0])
@@ -250,36 +305,54 @@ class SpanIndex:
             merged = merged.join(other.hint("merge"), "h", "full_outer").select(
                 "h", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi")
             )
-        name = self._write(merged)
-        for run in runs:
-            self._drop(run)
-        return name
+        return self._write(merged)
 
     def shared_hashes(self) -> DataFrame:
-        """The distinct hashes known as shared."""
+        """The distinct hashes known as shared since the index was made or opened."""
         out = self.shared[0]
         for more in self.shared[1:]:
             out = out.union(more)
         return out.distinct()
 
     def close(self) -> None:
-        """Remove all runs."""
-        for name in list(self._places):
-            self._drop(name)
+        """Forget the index; its runs are removed unless it is kept."""
+        for name in self.runs():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if not self.kept:
+            drop_path(self.spark, self.path)
         self.levels = []
 
 
+def _files(spark: SparkSession, path: str) -> list:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return list(fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written aside and moved to its place as a whole."""
+    jvm = spark.sparkContext._jvm
+    at, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(aside, at):
+        raise OSError(f"could not write {path}")
+
+
 def _taken(rows: DataFrame, row_id: str, record: str, text: str) -> DataFrame:
     return rows.select(
         F.col(row_id).cast("bigint").alias("id"), stripped(F.col(record)).alias("record"), F.col(text).alias("text")
     ).where(F.col("id").isNotNull() & F.col("record").isNotNull() & F.col("text").isNotNull())
 
 
-def _indexed(taken: DataFrame, min_chars: int, batches: int) -> DataFrame:
-    """The shared hashes of all rows, added to an index batch by batch."""
-    index = SpanIndex(taken.sparkSession, min_chars)
+def _indexed(windows: DataFrame, min_chars: int, batches: int) -> DataFrame:
+    """The shared hashes of the windows (h, id, c) of all rows, added to an index batch by batch."""
+    index = SpanIndex(windows.sparkSession, min_chars)
     for k in range(batches):
-        index.add(taken.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k))
+        index.add_windows(windows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k).select("h", "c"))
     shared = written(index.shared_hashes(), "shared")
     index.close()
     return shared
@@ -301,10 +374,9 @@ def _stretches(taken: DataFrame, asked: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _candidates(taken: DataFrame, min_chars: int, batches: int) -> DataFrame:
-    """(h, s1, s2, id, c): the chosen windows whose hash is shared."""
-    shared = _indexed(taken, min_chars, batches)
-    aligned = taken.mapInArrow(_aligned_rows(min_chars), "h bigint, s1 bigint, s2 bigint, id bigint, c bigint")
-    return written(aligned.join(shared, "h", "left_semi"), "candidates")
+    """(h, s1, s2, id, c): the chosen windows whose hash is shared. The texts are hashed once, for index and candidates."""
+    windows = written(taken.mapInArrow(_aligned_rows(min_chars), "h bigint, s1 bigint, s2 bigint, id bigint, c bigint"), "windows")
+    return written(windows.join(_indexed(windows.select("h", "id", "c"), min_chars, batches), "h", "left_semi"), "candidates")
 
 
 def sharing_rows(

@@ -96,7 +96,29 @@ def test_index_is_incremental_and_compacted(spark):
     assert [len(x) for x in index.levels] == [0, 1]
     assert index.add(batch(("b", text[30:120]))).count() > 0
     index.close()
-    assert not index._places
+    assert not index.runs() and not spans._files(spark, index.path)
+
+
+def test_a_kept_index_goes_on_in_another_session(spark):
+    text = "".join(chr(97 + k * 7 % 25) for k in range(90)) + "#" + "".join(chr(97 + k * k % 23) for k in range(90))
+    batch = lambda s, *rows: s.createDataFrame(rows, "record string, text string")
+    path = f"{shared_folder(spark)}/kept-index"
+    first = spans.SpanIndex(spark, 40, fanout=2, path=path)
+    first.add(batch(spark, ("a", text), ("x", "nothing of it " * 9)))
+    first.add(batch(spark, ("q", "other words " * 12)))
+    first.add(batch(spark, ("r", "more of them " * 12)))
+    first.close()
+    other = spark.newSession()
+    again = spans.SpanIndex.open(other, path)
+    assert [len(x) for x in again.levels] == [1, 1] and again.min_chars == 40
+    found = again.add(batch(other, ("b", text[20:130])))
+    plans = [other.table(r)._jdf.queryExecution().toString() for r in again.runs()]
+    assert found.count() > 0 and all("kept-index" in p for p in plans)
+    assert again.add(batch(other, ("c", "new text entirely, seen nowhere " * 4))).count() == 0
+    assert [len(x) for x in spans.SpanIndex.open(other, path).levels] == [len(x) for x in again.levels]
+    again.close()
+    with pytest.raises(ValueError):
+        spans.SpanIndex.open(other, path + "-none")
 
 
 def test_no_texts(spark):
