@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.bpe import encoded
-from tapeloom.shared import tasks, written
+from tapeloom.shared import beside, tasks, written
 
 CAPACITY = 2048
 
@@ -144,3 +144,20 @@ def packed(sizes: DataFrame, doc_id: str = "doc_id", size: str = "n_tokens", cap
 def packed_documents(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`packed` of texts by their number of tokens of byte_bpe_50k; empty and null texts have none."""
     return packed(encoded(documents, with_ids=False), capacity=capacity)
+
+
+def filling(sizes: DataFrame, placed: DataFrame, doc_id: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
+    """One row on a packing: containers, least_containers (that could hold all tokens), overfull containers, items with lost or
+    added tokens, short items that were cut, and unused_share of the room. `sizes` are the items, `placed` what `packed` gave."""
+    per = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("filled"))
+    full = per.agg(
+        F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("filled") / capacity).alias("least_containers"),
+        F.count_if(F.col("filled") > capacity).alias("overfull"), (1 - F.sum("filled") / (F.count(F.lit(1)) * capacity)).alias("unused_share"),
+    )
+    got = placed.groupBy(doc_id).agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("parts"))
+    want = sizes.where(F.col(size) > 0).groupBy(doc_id).agg(F.sum(size).alias("want"), F.max(size).alias("longest"))
+    both = want.join(got, doc_id, "full_outer")
+    items = both.agg(
+        F.count_if(~F.col("want").eqNullSafe(F.col("got"))).alias("wrong_items"), F.count_if((F.col("longest") <= capacity) & (F.col("parts") > 1)).alias("cut_short_items")
+    )
+    return beside(full, items)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import abuse, bpe, neardup, packing, runs, spans, terms
-from tapeloom.shared import stripped, table
+from tapeloom.shared import stripped, table, written
 
 SUMMARY_COMMON = 0.4
 LABEL_COMMON = 0.1
@@ -122,6 +122,14 @@ def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.packed_documents(table(spark, root, "documents"))
 
 
+def p8_unused_room(spark: SparkSession, root: str) -> DataFrame:
+    """How well the containers are filled: their number, the least that could hold all tokens, those too full, tokens lost or
+    cut without need, and the share of room that is left."""
+    documents = table(spark, root, "documents")
+    placed = written(packing.packed_documents(documents), "containers")
+    return packing.filling(bpe.encoded(documents, with_ids=False), placed)
+
+
 def _scores(spark: SparkSession, root: str) -> DataFrame:
     texts = abuse.prepared(table(spark, root, "documents"))
     return abuse.scored(texts, abuse.trained(texts, table(spark, root, "review_label")))
@@ -146,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_terms, p2_found, p2_shared_chars, p3_found, p3_collapsed_types, p3_collapsed_texts,
-        p4_found, p4_links, p7_ids, p8_containers, p9_found, p9_scores, p9_rates,
+        p4_found, p4_links, p7_ids, p8_containers, p8_unused_room, p9_found, p9_scores, p9_rates,
     )
 }
 
@@ -212,6 +220,19 @@ _SPANS = f"""WITH t AS (
     SELECT DISTINCT field_name, custom_id FROM w JOIN g USING (field_name, s)"""
 
 
+# every stretch of 160 characters by its place; a text's shared ones overlap or stand apart
+_SHARED_CHARS = f"""WITH t AS (
+      SELECT 'summary' AS field_name, delivery_id AS id, {_STRIP.format('custom_id')} AS custom_id, summary AS x FROM summary_record
+      UNION ALL SELECT 'attempt_n_code', candidate_id, {_STRIP.format('custom_id')}, attempt_n_code FROM validated_candidate),
+    w AS (SELECT field_name, custom_id, id, i, md5(substr(x, i, 160)) AS s FROM
+      (SELECT *, unnest(range(1, length(x) - 158)) AS i FROM t WHERE custom_id IS NOT NULL AND length(x) >= 160)),
+    g AS (SELECT field_name, s FROM w GROUP BY field_name, s HAVING count(DISTINCT custom_id) > 1),
+    d AS (SELECT field_name, id, i, i - lag(i) OVER (PARTITION BY field_name, id ORDER BY i) AS gap FROM w JOIN g USING (field_name, s)),
+    c AS (SELECT field_name, id, sum(least(coalesce(gap, 160), 160)) AS chars, count(*) FILTER (gap IS NULL OR gap > 160) AS spans FROM d GROUP BY ALL)
+    SELECT field_name, custom_id, count(x) AS n_texts, CAST(coalesce(sum(length(x)), 0) AS BIGINT) AS n_chars, CAST(coalesce(sum(chars), 0) AS BIGINT) AS shared_chars,
+      CAST(coalesce(sum(spans), 0) AS BIGINT) AS shared_spans FROM t LEFT JOIN c USING (field_name, id) WHERE custom_id IS NOT NULL GROUP BY field_name, custom_id"""
+
+
 def _close(field: str) -> str:
     return f"""SELECT '{field}' AS field_name, a AS candidate_id_a, b AS candidate_id_b FROM (
       SELECT x.id AS a, y.id AS b, sum(least(x.n, y.n)) AS s, any_value(x.total) AS na, any_value(y.total) AS nb
@@ -225,8 +246,20 @@ def _counted(field: str) -> str:
       FROM validated_candidate WHERE {field} IS NOT NULL) GROUP BY id, word))"""
 
 
+def _linked(field: str) -> str:
+    return f"""SELECT '{field}' AS field_name, m.id AS candidate_id, m.class_id, m.copies, coalesce(l.links, 0) AS links FROM {field}_m m
+      LEFT JOIN (SELECT id, count(*) AS links FROM (SELECT unnest([candidate_id_a, candidate_id_b]) AS id FROM ({_close(field)}) WHERE candidate_id_a IN (SELECT class_id FROM {field}_m) AND candidate_id_b IN (SELECT class_id FROM {field}_m)) GROUP BY id) l ON l.id = m.class_id"""
+
+
+def _classes(field: str) -> str:
+    return f"""{field}_m AS (SELECT id, min(id) OVER (PARTITION BY words) AS class_id, count(*) OVER (PARTITION BY words) AS copies FROM (
+      SELECT candidate_id AS id, list_sort(regexp_extract_all(lower({field}), '[\\p{{L}}\\p{{N}}_]+')) AS words FROM validated_candidate WHERE {field} IS NOT NULL) WHERE len(words) > 0)"""
+
+
 ORACLE = {
     "p2_found": _SPANS,
+    "p2_shared_chars": _SHARED_CHARS,
+    "p4_links": "WITH " + ", ".join([*map(_counted, CODE_FIELDS), *map(_classes, CODE_FIELDS)]) + " SELECT * FROM (" + " UNION ALL ".join(map(_linked, CODE_FIELDS)) + ")",
     "p4_found": "WITH " + ", ".join(map(_counted, CODE_FIELDS)) + " " + " UNION ALL ".join(map(_close, CODE_FIELDS)),
     "p1_terms": _TERMS,
     "p1_found": f"SELECT field_name, term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
