@@ -100,8 +100,8 @@ def plain(text: str) -> str:
         text = _HIDDEN.sub("", text)
         text = _FOREIGN.sub(_mended, text)
         text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c))
-    text = _TAG.sub(" ", text.lower()).translate(_LOOKALIKES)
+        text = "".join(c for c in text if not unicodedata.combining(c)).lower().translate(_LOOKALIKES)
+    text = _TAG.sub(" ", text.lower())
     return _SPELLED.sub(lambda m: re.sub(r"[ \-._]", "", m.group()), text)
 
 
@@ -155,6 +155,7 @@ class Cut:
     def __init__(self, words: np.ndarray, parts: np.ndarray, per_text: np.ndarray, vocabulary: np.ndarray | None = None):
         """`words` of all texts, lengths of their `parts`, and the number of parts of each text."""
         self.texts = len(per_text)
+        self.parts, self.parts_of_text = parts, per_text
         words = words.astype(np.uint64)
         self.mark = (words == _BEGIN) | (words == _STOP)
         if vocabulary is not None:
@@ -172,6 +173,7 @@ class Cut:
         self.stop = at[part] + 1 + high + (high == n[part])
         text_of_part = np.repeat(np.arange(self.texts), per_text)
         self.text = text_of_part[part]
+        self.per_text = np.bincount(text_of_part, weights=parts, minlength=self.texts).astype(np.int64)  # places
         long = self.stop - self.start
         self.scale = 1 / np.sqrt(np.maximum(4 * long - 5, 1))
         self.f = self._features()
@@ -201,29 +203,37 @@ class Cut:
             total += sums[e - p - short] - sums[s - p]
         return total * self.scale[low:high] + b
 
-    def gradient(self, by_window: np.ndarray, low: int, high: int) -> np.ndarray:
-        """Sum over the windows low to high of by_window times their features."""
+    def slopes(self, by_window: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Features and what each adds to the sum over the windows low to high of by_window times their features."""
         s, e = self.start[low:high], self.stop[low:high]
         p, q = s[0], e.max()
         g = by_window * self.scale[low:high]
-        out = np.zeros(1 << FEATURE_BITS)
         begun = np.bincount(s - p, weights=g, minlength=q - p + 1)
+        parts = []
         for kind, short in enumerate((0, 1, 2, 2)):
             each = np.cumsum(begun - np.bincount(e - p - short, weights=g, minlength=q - p + 1))[:-1]
-            if kind == 0:
-                each = np.where(self.mark[p:q], 0.0, each)
-            out += np.bincount(self.f[kind, p:q], weights=each, minlength=1 << FEATURE_BITS)
-        return out
+            parts.append(np.where(self.mark[p:q], 0.0, each) if kind == 0 else each)
+        return self.f[:, p:q].ravel(), np.concatenate(parts)
+
+    def gradient(self, by_window: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Sum over the windows low to high of by_window times their features."""
+        f, each = self.slopes(by_window, low, high)
+        return np.bincount(f, weights=each, minlength=1 << FEATURE_BITS)
 
     def expanded(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(features, number of each window) of single windows, one after another."""
-        flat, size = [], []
-        for r in rows:
-            s, e = self.start[r], self.stop[r]
-            every = (self.f[0, s:e][~self.mark[s:e]], self.f[1, s : e - 1], self.f[2, s : e - 2], self.f[3, s : e - 2])
-            flat += every
-            size.append(sum(map(len, every)))
-        return (np.concatenate(flat) if flat else np.empty(0, dtype=np.int32)), np.array(size, dtype=np.int64)
+        flat, window = [], []
+        for kind, short in enumerate((0, 1, 2, 2)):
+            s = self.start[rows]
+            n = self.stop[rows] - s - short
+            at = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            of = np.repeat(np.arange(len(rows)), n)
+            ok = ~self.mark[at] if kind == 0 else slice(None)
+            flat.append(self.f[kind, at[ok]])
+            window.append(of[ok])
+        of = np.concatenate(window)
+        order = np.argsort(of, kind="stable")
+        return np.concatenate(flat)[order], np.bincount(of, minlength=len(rows)).astype(np.int64)
 
     def hints(self, rows: np.ndarray, odds: np.ndarray) -> np.ndarray:
         """Mean of the eight greatest log-odds of each window's features."""
@@ -231,6 +241,16 @@ class Cut:
         ends = np.cumsum(size)
         return np.array([np.sort(odds[flat[e - n : e]])[-8:].mean() for n, e in zip(size, ends)])
 
+    def fresh(self) -> np.ndarray:
+        """Whether each window is the first with its words in its text: a text that repeats itself counts no more for that."""
+        each = _mix((self.words + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(each)])
+        kind = sums[self.stop] - sums[self.start]
+        order = np.lexsort((kind, self.text))
+        first = np.ones(len(order), dtype=bool)
+        first[order[1:]] = (kind[order[1:]] != kind[order[:-1]]) | (self.text[order[1:]] != self.text[order[:-1]])
+        return first
+
     def text_scores(self, by_window: np.ndarray) -> np.ndarray:
         """The greatest score of each text's windows; -20 for a text without words."""
         out = np.full(self.texts, -20.0)
@@ -239,12 +259,11 @@ class Cut:
 
     def text_counts(self) -> np.ndarray:
         """Number of texts that each feature stands in."""
-        per_window = self.stop - self.start
-        place = np.repeat(self.start - (np.cumsum(per_window) - per_window), per_window) + np.arange(per_window.sum())
-        text = np.repeat(self.text, per_window).astype(np.int64) << FEATURE_BITS
-        inside = np.repeat(self.stop, per_window) - place
-        found = [(text + self.f[kind, place])[(inside > short) & (~self.mark[place] if kind == 0 else True)] for kind, short in enumerate((0, 1, 2, 2))]
-        both = np.unique(np.concatenate(found)) if len(place) else np.empty(0, dtype=np.int64)
+        last = self.words == _STOP
+        ends = np.append(last[1:], True)
+        ok = (~self.mark, ~last, ~last & ~ends, ~last & ~ends)
+        text = np.repeat(np.arange(self.texts), self.per_text).astype(np.int64) << FEATURE_BITS
+        both = np.unique(np.concatenate([(text + self.f[kind])[ok[kind]] for kind in range(4)]))
         return np.bincount(both & ((1 << FEATURE_BITS) - 1), minlength=1 << FEATURE_BITS)
 
 
@@ -269,9 +288,9 @@ class _Rows:
         ends = np.cumsum(n)
         return (sums[ends] - sums[ends - n]) * self.scale[rows] + b
 
-    def gradient(self, rows: np.ndarray, by_row: np.ndarray) -> np.ndarray:
+    def slopes(self, rows: np.ndarray, by_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, n = self._at(rows)
-        return np.bincount(at, weights=np.repeat(by_row * self.scale[rows], n), minlength=1 << FEATURE_BITS)
+        return at, np.repeat(by_row * self.scale[rows], n)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -288,7 +307,7 @@ class Task:
     odds: np.ndarray
     vocabulary: np.ndarray
     positive: _Rows
-    reviewed: _Rows
+    reviewed: tuple[np.ndarray, np.ndarray, np.ndarray]
     reviewed_weight: np.ndarray
     seed: int
     look_for_hard: bool
@@ -297,56 +316,60 @@ class Task:
     hard_weight: float
 
 
-def learnt(data: Cut, task: Task, seed: int) -> tuple[np.ndarray, float]:
+def learnt(data: Cut, task: Task, reviewed: _Rows, seed: int) -> tuple[np.ndarray, float]:
     """Weights and bias after steps (Adam) on the non-negative risk with logistic loss over all windows of `data`."""
     rng = np.random.default_rng(seed)
-    w, b = task.weights.astype(float), float(task.bias)
+    w, b = task.weights.astype(np.float32), float(task.bias)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     n = len(data.start)
-    weight = np.ones(n)
+    weight = data.fresh().astype(float)
     if task.look_for_hard and n:
         # windows that look abusive though their features are as common in clean texts: the hard cases count more
         near = np.flatnonzero(data.scores(w, b) > -2.0)
-        weight[near[data.hints(near, task.odds) <= HINT]] = task.hard_weight
+        weight[near[data.hints(near, task.odds) <= HINT]] *= task.hard_weight
     edges = np.searchsorted(data.text, np.arange(0, data.texts + STEP_TEXTS, STEP_TEXTS))
     edges[-1] = n
     batches = [(lo, hi) for lo, hi in zip(edges, edges[1:]) if hi > lo]
-    reviewed = len(task.reviewed) > 0
-    chance = task.reviewed_weight / task.reviewed_weight.sum() if reviewed else None
+    some = len(reviewed) > 0
+    chance = task.reviewed_weight / task.reviewed_weight.sum() if some else None
     pi = task.prior
-    for step in range(1, max(task.steps, len(batches)) + 1 if batches or reviewed else 1):
+    for step in range(1, max(task.steps, len(batches)) + 1 if batches or some else 1):
         p = rng.integers(0, len(task.positive), 1_000)
         fp = task.positive.scores(p, w, b)
         sp = _sigmoid(fp)
-        share = task.reviewed_share if reviewed and batches else float(reviewed)
-        g, gb, rest = np.zeros_like(w), 0.0, -pi * np.logaddexp(0, fp).mean()
-        parts = []
+        share = task.reviewed_share if some and batches else float(some)
+        rest = -pi * np.logaddexp(0, fp).mean()
         if batches:
             lo, hi = batches[(step - 1) % len(batches)]
             fu = data.scores(w, b, lo, hi)
             each = weight[lo:hi] / weight[lo:hi].sum() * (1 - share)
             rest += (each * np.logaddexp(0, fu)).sum()
-            parts.append((lo, hi, each * _sigmoid(fu)))
         if share:
-            r = rng.choice(len(task.reviewed), 1_000, p=chance)
-            fr = task.reviewed.scores(r, w, b)
+            r = rng.choice(len(reviewed), 1_000, p=chance)
+            fr = reviewed.scores(r, w, b)
             rest += share * np.logaddexp(0, fr).mean()
         # l(f) = log(1 + e^-f): its slope is -(1 - s), that of l(-f) is s
         sign = 1.0 if rest >= 0 else -1.0
-        for lo, hi, up in parts:
-            g += data.gradient(sign * up, lo, hi)
-            gb += sign * up.sum()
+        down = (-pi * (1 - sp) - pi * sp) / len(p) if sign > 0 else pi * sp / len(p)
+        parts, gb = [task.positive.slopes(p, down)], down.sum()
+        if batches:
+            up = sign * each * _sigmoid(fu)
+            parts.append(data.slopes(up, lo, hi))
+            gb += up.sum()
         if share:
             up = sign * share * _sigmoid(fr) / len(r)
-            g += task.reviewed.gradient(r, up)
+            parts.append(reviewed.slopes(r, up))
             gb += up.sum()
-        slope = (-pi * (1 - sp) - pi * sp) / len(p) if sign > 0 else pi * sp / len(p)
-        g += task.positive.gradient(p, slope) + 1e-6 * w
-        gb += slope.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        g = np.bincount(np.concatenate([f for f, _ in parts]), weights=np.concatenate([x for _, x in parts]), minlength=len(w)).astype(np.float32)
+        g += np.float32(1e-6) * w
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * g
+        v *= np.float32(0.999)
+        g *= g
+        v += np.float32(0.001) * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c, d = 1 - 0.9**step, 1 - 0.999**step
-        w -= 0.05 * (m / c) / (np.sqrt(v / d) + 1e-8)
+        w -= np.float32(0.05 / c) * m / (np.sqrt(v * np.float32(1 / d)) + np.float32(1e-8))
         b -= 0.05 * (mb / c) / (math.sqrt(vb / d) + 1e-8)
     return w, b
 
@@ -367,6 +390,14 @@ def _nothing_found(vocabulary: np.ndarray) -> Model:
     return Model(np.zeros(1 << FEATURE_BITS, dtype=np.float32), -20.0, vocabulary, 0.0, 0.0)
 
 
+def _list_array(rows: list[list[int]]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    flat: list[int] = []
+    for x in rows:
+        flat += x
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(flat, dtype=np.int32)))
+
+
 def prepared(documents: DataFrame, shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """(doc_id, shard, words, parts): all texts as numbers, written in shards of about `shard_texts`; null and empty ones have no words."""
     shards = max(1, -(-documents.count() // shard_texts))
@@ -378,10 +409,8 @@ def prepared(documents: DataFrame, shard_texts: int = SHARD_TEXTS) -> DataFrame:
             for lo in range(0, batch.num_rows, 2_000):
                 part = batch.slice(lo, 2_000)
                 found = [numbered(x, forms) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([w for w, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.int32()))],
-                    names=["doc_id", "words", "parts"],
-                )
+                lists = [_list_array([f[k] for f in found]) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["doc_id", "words", "parts"])
 
     cut = taken.mapInArrow(run, "doc_id bigint, words array<int>, parts array<int>")
     laid = cut.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "words", "parts")
@@ -398,19 +427,21 @@ def _cut(words: pa.ListArray, parts: pa.ListArray, vocabulary: np.ndarray | None
     return Cut(_lists(words)[0], sizes, per_text, vocabulary)
 
 
-def _counted(run, texts: DataFrame, most: int) -> np.ndarray:
-    """Sum of tables of `most` counters, one from each task, as (at, n) rows that aren't 0."""
+def _counted(run, sent_value, texts: DataFrame, most: int) -> np.ndarray:
+    """Sum over all tasks of `run` of a part of the texts and what is sent, a table of `most` counters; rows of 0 aren't sent back."""
+    sent = texts.sparkSession.sparkContext.broadcast(sent_value)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(most, dtype=np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1_000):
                 part = batch.slice(lo, 1_000)
-                total += run(part)
+                total += run(part, sent.value)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
 
     rows = texts.select("words", "parts").mapInArrow(tables, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    sent.destroy()
     out = np.zeros(most, dtype=np.int64)
     out[rows["at"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return out
@@ -418,12 +449,9 @@ def _counted(run, texts: DataFrame, most: int) -> np.ndarray:
 
 def _word_texts(texts: DataFrame, words: np.ndarray) -> np.ndarray:
     """In how many texts each of `words`, sorted, stands."""
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(words)
 
-    def run(part: pa.RecordBatch) -> np.ndarray:
+    def run(part: pa.RecordBatch, known: np.ndarray) -> np.ndarray:
         flat, per_text = _lists(part.column(0))
-        known = sent.value
         place = np.searchsorted(known, flat)
         place[place == len(known)] = 0
         hit = known[place] == flat
@@ -431,27 +459,25 @@ def _word_texts(texts: DataFrame, words: np.ndarray) -> np.ndarray:
         both = np.unique(text[hit] * len(known) + place[hit])
         return np.bincount(both % len(known), minlength=len(known))
 
-    return _counted(run, texts, len(words))
+    return _counted(run, words, texts, len(words))
 
 
 def _feature_texts(texts: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """In how many texts each feature stands."""
-    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    return _counted(lambda part: _cut(part.column(0), part.column(1), sent.value).text_counts(), texts, 1 << FEATURE_BITS)
+    return _counted(lambda part, known: _cut(part.column(0), part.column(1), known).text_counts(), vocabulary, texts, 1 << FEATURE_BITS)
 
 
 def _histogram(texts: DataFrame, vocabulary: np.ndarray, w: np.ndarray, b: float) -> tuple[np.ndarray, int]:
-    """The histogram of all texts' scores and the number of all windows."""
-    sent = texts.sparkSession.sparkContext.broadcast((vocabulary, w, b))
+    """The histogram of all texts' scores and the number of all windows, equal ones of a text once."""
 
-    def run(part: pa.RecordBatch) -> np.ndarray:
-        known, weights, bias = sent.value
+    def run(part: pa.RecordBatch, model: tuple) -> np.ndarray:
+        known, weights, bias = model
         data = _cut(part.column(0), part.column(1), known)
         score = data.text_scores(data.scores(weights, bias))
         bins = np.clip(np.searchsorted(_EDGES, score, side="right") - 1, 0, len(_EDGES) - 2)
-        return np.append(np.bincount(bins, minlength=len(_EDGES) - 1), len(data.start))
+        return np.append(np.bincount(bins, minlength=len(_EDGES) - 1), data.fresh().sum())
 
-    counts = _counted(run, texts, len(_EDGES))
+    counts = _counted(run, (vocabulary, w.astype(np.float32), b), texts, len(_EDGES))
     return counts[:-1], int(counts[-1])
 
 
@@ -462,6 +488,8 @@ def _averaged(texts: DataFrame, task: Task) -> tuple[np.ndarray, float]:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = sent.value
+        clean = Cut(*task.reviewed)
+        reviewed = _Rows(*clean.expanded(np.arange(len(clean.start))))
         total, bias, windows = np.zeros(1 << FEATURE_BITS), 0.0, 0
         held: list[pa.RecordBatch] = []
         now: int | None = None
@@ -471,7 +499,7 @@ def _averaged(texts: DataFrame, task: Task) -> tuple[np.ndarray, float]:
             if held:
                 table = pa.Table.from_batches(held).combine_chunks()
                 data = _cut(table.column("words").chunk(0), table.column("parts").chunk(0), task.vocabulary)
-                w, b = learnt(data, task, task.seed + 7919 * int(now))
+                w, b = learnt(data, task, reviewed, task.seed + 7919 * int(now))
                 n = max(len(data.start), 1)
                 total[:] += n * w
                 bias, windows = bias + n * b, windows + n
@@ -488,21 +516,22 @@ def _averaged(texts: DataFrame, task: Task) -> tuple[np.ndarray, float]:
                     held.append(batch.slice(lo, hi - lo).select(["words", "parts"]))
         finish()
         if windows:
-            blobs = [total[k * size : (k + 1) * size].tobytes() for k in range(_SLICES)]
+            blobs = [(total[k * size : (k + 1) * size] / windows).astype(np.float32).tobytes() for k in range(_SLICES)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(_SLICES), pa.int32()), pa.array(blobs, pa.binary()), pa.array([bias] * _SLICES), pa.array([float(windows)] * _SLICES)],
                 names=["slice", "w", "b", "n"],
             )
 
     def add(group: pa.Table) -> pa.Table:
-        w = np.zeros(size)
-        for x in group.column("w").to_pylist():
-            w += np.frombuffer(x)
-        n = sum(group.column("n").to_pylist())
+        w, counts = np.zeros(size), group.column("n").to_pylist()
+        for x, n in zip(group.column("w").to_pylist(), counts):
+            w += n * np.frombuffer(x, dtype=np.float32)
+        n = sum(counts)
         return pa.table({"slice": pa.array([group.column("slice")[0].as_py()], pa.int32()), "w": pa.array([(w / n).tobytes()], pa.binary()), "b": [sum(group.column("b").to_pylist()) / n]})
 
     blobs = texts.select("shard", "words", "parts").mapInArrow(learn, "slice int, w binary, b double, n double")
     rows = blobs.groupBy("slice").applyInArrow(add, "slice int, w binary, b double").orderBy("slice").toPandas()  # _SLICES rows
+    sent.destroy()
     return np.concatenate([np.frombuffer(x) for x in rows["w"]]), float(rows["b"][0])
 
 
@@ -522,12 +551,12 @@ def share_of_positives(histogram: np.ndarray, held: np.ndarray, delta: float = 0
 
 
 def best_threshold(histogram: np.ndarray, held: np.ndarray, flat: float = 0.05) -> float:
-    """The middle of the edges where recall^2 / share of all texts above is within `flat` of its maximum: the maximum alone
-    stands at the least score of the few texts kept back."""
+    """The middle of the edges where recall^2 / share of all texts above is as high as its maximum but for `flat` and the
+    error of a recall from so few texts kept back: the maximum alone stands at the score of one of them."""
     above_u = np.cumsum(histogram[::-1])[::-1] / max(histogram.sum(), 1)
     recall = np.array([(held >= e).mean() for e in _EDGES[:-1]])
     value = np.where(above_u > 0, recall**2 / np.where(above_u > 0, above_u, 1.0), 0.0)
-    near = np.flatnonzero(value >= (1 - flat) * value.max())
+    near = np.flatnonzero(value >= (1 - flat - 1 / math.sqrt(max(len(held), 1))) * value.max())
     return float((_EDGES[near[0]] + _EDGES[near[-1]]) / 2)
 
 
@@ -579,7 +608,7 @@ def trained(texts: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     odds[seen_p < 2] = np.minimum(odds[seen_p < 2], 0.5)
     odds = odds.astype(np.float32)
     hint = fit.hints(np.arange(len(fit.start)), odds)
-    reviewed = _Rows(*clean.expanded(np.arange(len(clean.start))))
+    reviewed = tuple(x.astype(np.int32) for x in (clean.words, clean.parts, clean.parts_of_text))
     clean_hint = clean.hints(np.arange(len(clean.start)), odds) if len(clean.start) else np.empty(0)
 
     w, b = odds.astype(float), 0.0

@@ -45,7 +45,7 @@ def test_scores_flags_and_rates_agree(spark):
     scores = {r.doc_id: r for r in queries.p9_scores(spark, data).collect()}
     found = {r.doc_id for r in queries.p9_found(spark, data).collect()}
     assert found == {k for k, r in scores.items() if r.flagged} and all(0 <= r.score <= 1 for r in scores.values())
-    assert len(scores) == duckdb.sql(f"SELECT count(*) FROM '{data}/documents.parquet'").fetchone()[0]
+    assert len(scores) == duckdb.sql(f"SELECT count(*) FROM '{data}/documents.parquet'").fetchall()[0][0]
     source = dict(duckdb.sql(f"SELECT doc_id, source FROM '{data}/documents.parquet'").fetchall())
     for r in queries.p9_rates(spark, data).collect():
         of = [scores[k] for k, s in source.items() if s == r.source]
