@@ -69,11 +69,14 @@ _LOOKALIKES = str.maketrans(
 _SIGNS = str.maketrans("013457@$!", "oieastasi")
 
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
+#: The blocks of combining marks that Latin letters are written with.
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _FOREIGN = re.compile("[^\x00-\x7f]{2,}")
 _TAG = re.compile(r"<[^<>\s][^<>]{0,80}>|&[a-z#0-9]{2,8};")
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ \-._]){3,}[^\W\d_](?![^\W_])")
-_END = re.compile(r"[.!?]+(?=\s|$)|[\n\r]+")
-_TOKEN = re.compile(r"[^\W_][\w@$!*]*[\w@$*]|[^\W_]")
+#: A token, or the end of a sentence or line.
+_ITEM = re.compile(r"[^\W_][\w@$!*]*[\w@$*]|[^\W_]|[.!?]+(?=\s|$)|[\n\r]+")
+_ENDS = frozenset(".!?\n\r")
 _MIXED = re.compile(r"[^\W\d_][\d@$!]|[\d@$!][^\W\d_]")
 _AGAIN = re.compile(r"(.)\1+")
 
@@ -99,8 +102,9 @@ def plain(text: str) -> str:
     if not text.isascii():
         text = _HIDDEN.sub("", text)
         text = _FOREIGN.sub(_mended, text)
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c)).lower().translate(_LOOKALIKES)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower()
+        if not text.isascii():
+            text = text.translate(_LOOKALIKES)
     text = _TAG.sub(" ", text.lower())
     return _SPELLED.sub(lambda m: re.sub(r"[ \-._]", "", m.group()), text)
 
@@ -115,29 +119,49 @@ def word(token: str) -> str:
 
 
 class _Forms(dict):
-    """A number for each token, that of its one form; kept for tokens that recur."""
+    """A number for each token, that of its one form, and _STOP for an end; kept for tokens that recur."""
 
     def __missing__(self, token: str) -> int:
-        h = max(xxhash.xxh32_intdigest(word(token).encode("utf-8", "surrogatepass")) >> 1, _FIRST_WORD)
+        if token[0] in _ENDS:
+            h = _STOP
+        else:
+            h = max(xxhash.xxh32_intdigest(word(token).encode("utf-8", "surrogatepass")) >> 1, _FIRST_WORD)
         if len(self) >= 500_000:
             self.clear()
         self[token] = h
         return h
 
 
-def numbered(text: str | None, forms: _Forms) -> tuple[list[int], list[int]]:
-    """The words of a text as numbers, each sentence or line between two marks, and the lengths of these parts."""
+def numbered(texts: list[str | None], forms: _Forms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, parts, parts of each text): the words of the texts as numbers, each sentence or line between two marks, the
+    lengths of these parts, and how many each text has."""
     flat: list[int] = []
-    sizes: list[int] = []
+    sizes = np.zeros(len(texts), dtype=np.int64)
     of = forms.__getitem__
-    for part in _END.split(plain(text or "")):
-        found = _TOKEN.findall(part)
-        if found:
-            flat.append(_BEGIN)
+    for k, text in enumerate(texts):
+        if text:
+            found = _ITEM.findall(plain(text))
             flat += map(of, found)
-            flat.append(_STOP)
-            sizes.append(len(found) + 2)
-    return flat, sizes
+            sizes[k] = len(found)
+    items = np.array(flat, dtype=np.int32)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    end = items == _STOP
+    # a part is what lies between two ends or at the edge of a text; those without words are none
+    begun = np.ones(len(items), dtype=bool)
+    begun[1:] = end[:-1] | (text[1:] != text[:-1])
+    part = np.cumsum(begun) - 1
+    words = np.bincount(part[~end], minlength=int(part[-1]) + 1 if len(part) else 0)
+    part_text = text[begun]
+    live = words > 0
+    parts = words[live] + 2
+    at = np.cumsum(parts) - parts
+    out = np.full(int(parts.sum()), _BEGIN, dtype=np.int32)
+    out[at + parts - 1] = _STOP
+    rank = np.cumsum(live) - 1
+    kept = part[~end]
+    first = np.cumsum(words) - words
+    out[at[rank[kept]] + 1 + np.arange(len(kept)) - first[kept]] = items[~end]
+    return out, parts.astype(np.int32), np.bincount(part_text[live], minlength=len(texts))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -237,9 +261,13 @@ class Cut:
 
     def hints(self, rows: np.ndarray, odds: np.ndarray) -> np.ndarray:
         """Mean of the eight greatest log-odds of each window's features."""
+        if not len(rows):
+            return np.empty(0)
         flat, size = self.expanded(rows)
-        ends = np.cumsum(size)
-        return np.array([np.sort(odds[flat[e - n : e]])[-8:].mean() for n, e in zip(size, ends)])
+        laid = np.full((len(rows), max(int(size.max()), 8)), -np.inf)
+        laid[np.repeat(np.arange(len(rows)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = odds[flat]
+        best = -np.partition(-laid, 7, axis=1)[:, :8]
+        return np.where(np.isfinite(best), best, 0.0).sum(axis=1) / np.minimum(size, 8)
 
     def fresh(self) -> np.ndarray:
         """Whether each window is the first with its words in its text: a text that repeats itself counts no more for that."""
@@ -262,9 +290,18 @@ class Cut:
         last = self.words == _STOP
         ends = np.append(last[1:], True)
         ok = (~self.mark, ~last, ~last & ~ends, ~last & ~ends)
-        text = np.repeat(np.arange(self.texts), self.per_text).astype(np.int64) << FEATURE_BITS
-        both = np.unique(np.concatenate([(text + self.f[kind])[ok[kind]] for kind in range(4)]))
-        return np.bincount(both & ((1 << FEATURE_BITS) - 1), minlength=1 << FEATURE_BITS)
+        total = np.zeros(1 << FEATURE_BITS, dtype=np.int64)
+        edges = np.cumsum(self.per_text)
+        lo = 0
+        for first in range(0, self.texts, 4_096):  # texts and features in 32 bits, which sort faster
+            hi = int(edges[min(first + 4_096, self.texts) - 1])
+            text = np.repeat(np.arange(len(self.per_text[first : first + 4_096]), dtype=np.uint32) << np.uint32(FEATURE_BITS), self.per_text[first : first + 4_096])
+            both = np.sort(np.concatenate([(text + self.f[kind, lo:hi].astype(np.uint32))[ok[kind][lo:hi]] for kind in range(4)]))
+            fresh = np.ones(len(both), dtype=bool)
+            fresh[1:] = both[1:] != both[:-1]
+            total += np.bincount(both[fresh] & np.uint32((1 << FEATURE_BITS) - 1), minlength=1 << FEATURE_BITS)
+            lo = hi
+        return total
 
 
 class _Rows:
@@ -390,12 +427,8 @@ def _nothing_found(vocabulary: np.ndarray) -> Model:
     return Model(np.zeros(1 << FEATURE_BITS, dtype=np.float32), -20.0, vocabulary, 0.0, 0.0)
 
 
-def _list_array(rows: list[list[int]]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
-    flat: list[int] = []
-    for x in rows:
-        flat += x
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(flat, dtype=np.int32)))
+def _list_array(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
 
 def prepared(documents: DataFrame, shard_texts: int = SHARD_TEXTS) -> DataFrame:
@@ -408,8 +441,9 @@ def prepared(documents: DataFrame, shard_texts: int = SHARD_TEXTS) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2_000):
                 part = batch.slice(lo, 2_000)
-                found = [numbered(x, forms) for x in part.column(1).to_pylist()]
-                lists = [_list_array([f[k] for f in found]) for k in range(2)]
+                words, sizes, per_text = numbered(part.column(1).to_pylist(), forms)
+                of = np.repeat(np.arange(len(per_text)), per_text)
+                lists = [_list_array(words, np.bincount(of, weights=sizes, minlength=len(per_text))), _list_array(sizes, per_text)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["doc_id", "words", "parts"])
 
     cut = taken.mapInArrow(run, "doc_id bigint, words array<int>, parts array<int>")

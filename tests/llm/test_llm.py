@@ -352,8 +352,9 @@ def test_windows_scores_and_gradients():
     rng = np.random.default_rng(3)
     forms = abuse._Forms()
     texts = ["a b c. d", "", " ".join(f"w{k}" for k in range(40)) + "! " + " ".join("xyz" * 1 for _ in range(16)), "one two " * 30, "?"]
-    found = [abuse.numbered(t, forms) for t in texts]
-    cut = abuse.Cut(np.array([x for w, _ in found for x in w]), np.array([x for _, s in found for x in s]), np.array([len(s) for _, s in found]))
+    cut = abuse.Cut(*abuse.numbered(texts, forms))
+    spelled = [[abuse._Forms()[w] for w in re.findall(r"\w+", p)] for t in texts for p in re.split(r"[.!?]+", t)]
+    assert cut.words.tolist() == [x for p in spelled if p for x in (1, *p, 2)] and cut.parts_of_text.tolist() == [2, 0, 2, 1, 0]
     words = [b - a - int(cut.mark[a]) - int(cut.mark[b - 1]) for a, b in zip(cut.start, cut.stop)]
     assert max(words) <= abuse.WINDOW + abuse.STRIDE // 2 and set(np.concatenate([np.arange(a, b) for a, b in zip(cut.start, cut.stop)])) == set(range(len(cut.words)))
     w, g = rng.normal(size=1 << abuse.FEATURE_BITS), rng.normal(size=len(cut.start))
@@ -370,6 +371,8 @@ def test_windows_scores_and_gradients():
         of = np.flatnonzero(cut.text == t)
         want[np.unique(cut.expanded(of)[0])] += 1
     assert np.array_equal(cut.text_counts(), want)
+    odds = w.astype(np.float32)
+    assert np.allclose(cut.hints(every, odds), [np.sort(odds[cut.expanded(np.array([r]))[0]])[-8:].mean() for r in every])
     seen = [(t, sorted(cut.words[a:b])) for t, a, b in zip(cut.text, cut.start, cut.stop)]
     assert cut.fresh().tolist() == [x not in seen[:k] for k, x in enumerate(seen)] and not cut.fresh().all()
 
