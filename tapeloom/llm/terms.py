@@ -14,13 +14,12 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.shared import stripped, tasks
+from tapeloom.shared import stripped, tasks, written
 
 _WORD = re.compile(r"\w+")
 
@@ -37,18 +36,19 @@ def whole_value(text: str) -> list[str]:
 
 
 def _pairs(terms_of: Callable[[str], list[str]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # a record of very many rows is reduced here: its pairs must meet in one partition later
             by: dict[str, Counter] = {}
-            for record, text in zip(batch["r"], batch["x"]):
+            for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(record, Counter()).update(terms_of(text))
-            term = [t for found in by.values() for t in found]
-            occ = [n for found in by.values() for n in found.values()]
-            rec = np.repeat(np.array(list(by), dtype=object), [len(found) for found in by.values()])
-            for lo in range(0, len(term), 50_000):
-                hi = lo + 50_000
-                yield pd.DataFrame({"term": term[lo:hi], "rec": rec[lo:hi], "n": np.array(occ[lo:hi], dtype=np.int64)})
+            term = pa.array([t for found in by.values() for t in found], pa.string())
+            times = pa.array([n for found in by.values() for n in found.values()], pa.int64())
+            of = np.repeat(np.arange(len(by)), [len(found) for found in by.values()])
+            rec = pa.array(list(by), pa.string()).take(pa.array(of))
+            whole = pa.RecordBatch.from_arrays([term, rec, times], names=["term", "rec", "n"])
+            for lo in range(0, len(of), 50_000):
+                yield whole.slice(lo, 50_000)
 
     return run
 
@@ -91,7 +91,8 @@ def term_frequencies(
     taken = rows.select(F.col(record).cast("string").alias("r"), F.col(text).cast("string").alias("x")).where(
         F.col("r").isNotNull() & F.col("x").isNotNull()
     )
-    pairs = taken.mapInPandas(_pairs(terms_of), "term string, rec string, n bigint")
+    # written, so that the texts aren't cut again for the sample that the ranges are taken from
+    pairs = written(taken.mapInArrow(_pairs(terms_of), "term string, rec string, n bigint"), "term-pairs")
     ordered = pairs.repartitionByRange(partitions or tasks(rows.sparkSession), "term", "rec").sortWithinPartitions(
         "term", "rec"
     )
