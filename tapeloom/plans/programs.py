@@ -252,7 +252,26 @@ def s01_interval_stream(spark: SparkSession, root: str) -> DataFrame:
     return tapes.run_available(tapes.interval_stream(stream), "intervals").drop("closed_ts")
 
 
+def _event_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """`rows` as a stream of files."""
+    from tapeloom.shared import shared_path
+
+    path = shared_path(spark, "stream")
+    rows.write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1_000_000).parquet(path)
+
+
 @query(f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, kind, count(*) AS n FROM {EVENTS_SQL} GROUP BY ALL")
 def s02_windowed_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Hourly counts by kind, batch form of the stream operator."""
-    return tapes.windowed_counts(events(spark, root).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "kind").drop("end")
+    """Hourly counts by kind from a stream with a watermark, in complete mode (§2.N)."""
+    e = events(spark, root).select(F.col("ts").cast("timestamp").alias("ts"), "kind")
+    return tapes.run_available(tapes.windowed_counts(_event_stream(spark, e), "ts", "kind"), "windows", "complete").drop("end")
+
+
+@query(f"""SELECT log_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events FROM (SELECT *, sum(cut) OVER (PARTITION BY log_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
+   SELECT log_id, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY log_id ORDER BY ts), ts) <= 1800000000 THEN 0 ELSE 1 END AS cut FROM {EVENTS_SQL})) GROUP BY log_id, s""")
+def s03_session_stream(spark: SparkSession, root: str) -> DataFrame:
+    """Sessions of each log from a stream of session windows (§2.N)."""
+    e = events(spark, root).select("log_id", F.col("ts").cast("timestamp").alias("ts"))
+    return tapes.run_available(tapes.sessions_stream(_event_stream(spark, e), "log_id", "ts"), "sessions", "complete")

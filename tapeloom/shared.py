@@ -24,9 +24,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (tests only) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset a temporary one, but only if Spark runs in
+    one process, as in tests: on a cluster an unset folder is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         named = "file://" + tempfile.mkdtemp(prefix="tapeloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
