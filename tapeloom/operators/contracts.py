@@ -117,3 +117,55 @@ def missing_json_keys(document: Column, keys: list[str]) -> Column:
     """The keys of `keys` that a JSON object hasn't, in order; all of them for text that is no object."""
     have = F.coalesce(F.json_object_keys(document), F.array().cast("array<string>"))
     return F.array_except(F.array(*map(F.lit, keys)), have)
+
+
+def event_problem(kind: Column, payload: Column, kinds: list[str]) -> Column:
+    """unknown_kind, bad_change (a change without the JSON of a range and its text) or no_key (a handled key without a name);
+    null for an event that keeps its kind's contract."""
+    line = lambda side: F.get_json_object(payload, f"$.{side}.line").try_cast("int").isNull() | F.get_json_object(payload, f"$.{side}.ch").try_cast("int").isNull()
+    bad = F.get_json_object(payload, "$.text").isNull() | line("from") | line("to")
+    return (
+        F.when(~F.coalesce(kind.isin(*kinds), F.lit(False)), "unknown_kind").when((kind == "change") & F.coalesce(bad, F.lit(True)), "bad_change")
+        .when((kind == "keyhandled") & (F.coalesce(F.trim(payload), F.lit("")) == ""), "no_key")
+    )
+
+
+def response_problem(n: Column, total: Column, least_p: Column, most_p: Column, longest: Column, tolerance: float, fewest: int = 2, most: int = 5, most_events: int | None = None) -> Column:
+    """Why a response of several hypotheses breaks its contract: wrong_number, out_of_range, not_one or too_long; null if it doesn't."""
+    long = (longest > most_events) if most_events is not None else F.lit(False)
+    return (
+        F.when((n < fewest) | (n > most), "wrong_number").when((least_p <= 0) | (most_p > 1), "out_of_range")
+        .when(F.abs(total - 1) > tolerance, "not_one").when(long, "too_long")
+    )
+
+
+def exact_lookup(slots: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The slots with the number of rows that match each, and no_match or several_matches where it isn't one; null for a good slot."""
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_matches"))
+    met = slots.join(n, keys, "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
+    return met.withColumn("reason", F.when(F.col("n_matches") == 0, "no_match").when(F.col("n_matches") > 1, "several_matches"))
+
+
+def ordered_distinct(text: str) -> list[str]:
+    """The names of a comma-separated list, each once, in the order they are first given."""
+    return list(dict.fromkeys(x.strip() for x in text.split(",") if x.strip()))
+
+
+def thresholds(text: str) -> list[float]:
+    """The sorted distinct numbers of a comma-separated list; one outside [0, 1] is an error."""
+    found = sorted({float(x) for x in ordered_distinct(text)})
+    if any(not 0 <= x <= 1 for x in found):
+        raise ValueError(f"thresholds outside [0, 1]: {text}")
+    return found
+
+
+def key_set_problem(keys: Column, expected: list) -> Column:
+    """missing_key or unexpected_key of an array of keys against the expected ones; null if the sets are equal."""
+    want = F.array(*map(F.lit, expected))
+    return F.when(F.size(F.array_except(want, keys)) > 0, "missing_key").when(F.size(F.array_except(keys, want)) > 0, "unexpected_key")
+
+
+def error_class(message: Column, classes: dict[str, str]) -> Column:
+    """The class of an error message: that of the first pattern it matches, else other; null for null."""
+    hit = F.coalesce(*[F.when(message.rlike(p), F.lit(k)) for k, p in classes.items()], F.lit("other"))
+    return F.when(message.isNotNull(), hit)

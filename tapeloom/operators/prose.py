@@ -120,3 +120,8 @@ def term_rates(docs: DataFrame, keys: list[str], text: str, families: dict[str,
     return rows.groupBy(*keys, "x.family").agg(
         F.sum("x.h").alias("hits"), F.count_if(F.col("x.h") > 0).alias("docs_with_any"), W.terms_per_thousand(F.sum("x.h"), F.sum("n")).alias("per_1000")
     )
+
+
+def weight_maps(w: DataFrame, doc: list[str]) -> DataFrame:
+    """(doc, weights): the weights of each text's tokens as a map in the order of the tokens. `w` is `weights`; a text's tokens are held together."""
+    return w.groupBy(*doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "w")))).alias("weights"))

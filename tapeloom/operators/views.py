@@ -153,3 +153,10 @@ def entropy(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     # -sum p log2 p = log2 N - sum n log2 n / N
     h = F.log2(total) - F.sum(F.when(F.col(n) > 0, F.col(n) * F.log2(F.col(n)))) / total
     return counts.groupBy(*keys).agg(h.alias("entropy")).withColumn("perplexity", F.pow(F.lit(2.0), F.col("entropy")))
+
+
+def field_means(rows: DataFrame, metric: str, fields: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, metric, field, mean, n) of numeric or boolean columns in one pass; nulls don't count, a field of nulls only has a null mean."""
+    aggs = [F.struct(F.lit(f).alias("field"), F.avg(F.col(f).cast("double")).alias("mean"), F.count(F.col(f)).alias("n")) for f in fields]
+    one = rows.groupBy(*keys).agg(F.array(*aggs).alias("_x"))
+    return one.select(*keys, F.lit(metric).alias("metric"), F.explode("_x").alias("_x")).select(*keys, "metric", "_x.*")
