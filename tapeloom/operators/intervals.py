@@ -147,13 +147,18 @@ def change_stats(changes: DataFrame, keys: list[str], order: list[str]) -> DataF
     return stats.join(origins, keys)
 
 
-def segments(events: DataFrame, keys: list[str], order: list[str], kind: str) -> DataFrame:
-    """Segments closed by a run or a submit, numbered within attempts closed by a submit: keys, attempt, segment,
-    n_events, n_changes, closed_by (null for the open end). `order` begins with the time."""
+def segment_events(events: DataFrame, keys: list[str], order: list[str], kind: str) -> DataFrame:
+    """`events` with attempt and segment: segments are closed by a run or a submit and numbered within attempts closed by a
+    submit. `order` begins with the time."""
     is_kind = lambda *ks: F.col(kind).isin(*ks).cast("int")
     rows = carried(events, keys, order[0], order, {"attempt": is_kind("submit"), "_anchor": is_kind("submit", "saida_testar")})
     per = Window.partitionBy(*keys, "attempt")
-    rows = rows.withColumn("segment", F.col("_anchor") - F.min("_anchor").over(per))
+    return rows.withColumn("segment", F.col("_anchor") - F.min("_anchor").over(per)).drop("n_before", "ts_before", "_anchor")
+
+
+def segments(events: DataFrame, keys: list[str], order: list[str], kind: str) -> DataFrame:
+    """The segments of `segment_events`: keys, attempt, segment, n_events, n_changes, closed_by (null for the open end)."""
+    rows = segment_events(events, keys, order, kind)
     last = F.max(F.when(F.col(kind).isin("submit", "saida_testar"), F.col(kind)))
     return rows.groupBy(*keys, "attempt", "segment").agg(
         F.count(F.lit(1)).alias("n_events"), F.count_if(F.col(kind) == "change").alias("n_changes"), last.alias("closed_by")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.code import code_distance, pass_signature
@@ -97,6 +97,12 @@ def condition_study(rows: DataFrame, key: str, metrics: list[str], left: str, ri
     return out.select("metric", "n", "mean_left", "mean_right", F.col("mean").alias("delta"), "low", "high", F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
+def run_grid(spark: SparkSession, kinds: Sequence[str], seeds: int) -> DataFrame:
+    """(name, kind, seed) of the runs of a sensitivity study: a full one, a deterministic one, and seeds 1, 2, ... of each kind."""
+    rows = [("full", "full", None), ("fixed", "deterministic", None)] + [(f"{k}_{s}", k, s) for k in kinds for s in range(1, seeds + 1)]
+    return spark.createDataFrame(rows, "name string, kind string, seed int")
+
+
 def draw_sensitivity(study: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(metric, n_draws, n_significant, n_positive, n_negative, unstable) of studies (metric, draw, delta, p) of several
     draws; unstable if significant draws disagree in sign or not all draws are alike."""
