@@ -216,11 +216,13 @@ class SpanIndex:
     """
 
     def __init__(
-        self, spark: SparkSession, min_chars: int = MIN_CHARS, fanout: int = FANOUT, buckets: int | None = None, path: str | None = None
+        self, spark: SparkSession, min_chars: int = MIN_CHARS, fanout: int = FANOUT, buckets: int | None = None, path: str | None = None, opened: bool = False
     ):
         self.spark, self.min_chars, self.fanout = spark, min_chars, fanout
         self.buckets = buckets or tasks(spark)
         self.kept = path is not None
+        if path and not opened and _files(spark, f"{path}/manifest"):
+            raise ValueError(f"there is an index at {path}: open it")
         self.path = path or shared_path(spark, "span-index")
         self.levels: list[list[str]] = []
         self.version = 0
@@ -235,7 +237,7 @@ class SpanIndex:
         last = max(int(n.split(".")[0]) for n in names)
         text = "\n".join(r.value for r in spark.read.text(f"{path}/manifest/{last:08d}.json").collect())  # one small document
         state = json.loads(text)
-        index = cls(spark, state["min_chars"], state["fanout"], state["buckets"], path)
+        index = cls(spark, state["min_chars"], state["fanout"], state["buckets"], path, opened=True)
         index.levels, index.version = state["levels"], last
         for name in index.runs():
             spark.sql(

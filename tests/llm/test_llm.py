@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.llm import abuse, bpe, neardup, packing, runs, spans, terms
-from tapeloom.shared import shared_folder
+from tapeloom.shared import shared_path
 
 START = datetime(2024, 3, 4, 8)
 
@@ -102,7 +102,7 @@ def test_index_is_incremental_and_compacted(spark):
 def test_a_kept_index_goes_on_in_another_session(spark):
     text = "".join(chr(97 + k * 7 % 25) for k in range(90)) + "#" + "".join(chr(97 + k * k % 23) for k in range(90))
     batch = lambda s, *rows: s.createDataFrame(rows, "record string, text string")
-    path = f"{shared_folder(spark)}/kept-index"
+    path = shared_path(spark, "kept-index")
     first = spans.SpanIndex(spark, 40, fanout=2, path=path)
     first.add(batch(spark, ("a", text), ("x", "nothing of it " * 9)))
     first.add(batch(spark, ("q", "other words " * 12)))
@@ -119,6 +119,8 @@ def test_a_kept_index_goes_on_in_another_session(spark):
     again.close()
     with pytest.raises(ValueError):
         spans.SpanIndex.open(other, path + "-none")
+    with pytest.raises(ValueError):
+        spans.SpanIndex(other, 40, path=path)
 
 
 def test_no_texts(spark):
@@ -332,7 +334,7 @@ def test_held_out_accuracy(spark):
     assert not any(got[k].flagged for k in range(300, 304)) and got[304].flagged
     rate = abuse.rates(docs, abuse.scored(cut, model)).first()
     assert rate.n_documents == len(seen) + len(texts) and rate.n_flagged == sum(r.flagged for r in got.values())
-    path = f"{shared_folder(spark)}/abuse-model"
+    path = shared_path(spark, "abuse-model")
     abuse.save(spark, model, path)
     again = {r.doc_id - len(seen): r for r in abuse.scored(cut, abuse.load(spark, path)).collect()}
     assert again == got
