@@ -166,8 +166,8 @@ def m63_m64_lengths(spark: SparkSession, root: str) -> DataFrame:
     return both.select("stat", _r(a).alias("full_trace"), _r(b).alias("no_trace"), (_r(a - b) + F.lit(0.0)).alias("delta"), (a > b).alias("longer"))
 
 
-@query(f"""WITH {cohorts._TFIDF}, q AS (SELECT split_part(a, '/', 2) AS c, s FROM (SELECT a, b, s FROM pr UNION ALL SELECT b, a, s FROM pr) WHERE CAST('0x' || substr(md5(a), 1, 6) AS BIGINT) % 50 = 0 AND split_part(a, '/', 2) = split_part(b, '/', 2)),
-   m AS (SELECT c, count(*) AS n, avg(s) AS mean, median(s) AS median, stddev_pop(s) AS sd FROM q GROUP BY c) SELECT f.n AS n_full, o.n AS n_none, round(f.mean - o.mean, 7) AS mean_delta, round(f.median - o.median, 7) AS median_delta, round(f.sd - o.sd, 7) AS sd_delta FROM (SELECT * FROM m WHERE c = 'full_trace') f, (SELECT * FROM m WHERE c = 'no_trace') o""")
+@query(f"""WITH {cohorts._TFIDF}, q AS (SELECT split_part(a, '/', 2) AS c, s FROM (SELECT a, b, s FROM pr UNION ALL SELECT b, a, s FROM pr) WHERE CAST('0x' || substr(md5(a), 1, 6) AS BIGINT) % 50 = 0 AND split_part(a, '/', 2) = split_part(b, '/', 2))
+   SELECT count(s) FILTER (c = 'full_trace') AS n_full, count(s) FILTER (c = 'no_trace') AS n_none, round(avg(s) FILTER (c = 'full_trace') - avg(s) FILTER (c = 'no_trace'), 7) AS mean_delta, round(median(s) FILTER (c = 'full_trace') - median(s) FILTER (c = 'no_trace'), 7) AS median_delta, round(stddev_pop(s) FILTER (c = 'full_trace') - stddev_pop(s) FILTER (c = 'no_trace'), 7) AS sd_delta FROM q""")
 def m62_similarity_deltas(spark: SparkSession, root: str) -> DataFrame:
     """Similarities within each condition of a fiftieth of its texts with all, and how the conditions differ."""
     s = cohorts.j55_similarity_to_queries(spark, root)
