@@ -84,10 +84,18 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(2.0 * overlap(a, b) / both)
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """Number of characters put in, left out or changed; null if a text is null. An Arrow UDF over bit vectors, a column of the
+    table at a time: for programs of a thousand characters many times as fast as the engine's own table of cells."""
+    from tapeloom.functions.diff import distance_udf
+
+    return distance_udf(a, b)
+
+
 def code_distance(a: Column, b: Column) -> Column:
     """Edit distance over the sum of the lengths; 0 for two empty texts."""
     both = F.length(a) + F.length(b)
-    return F.when(both == 0, 0.0).otherwise(F.levenshtein(a, b) / both)
+    return F.when(both == 0, 0.0).otherwise(edit_distance(a, b) / both)
 
 
 def code_distance_within(a: Column, b: Column, limit: float) -> Column:
@@ -99,18 +107,18 @@ def code_distance_within(a: Column, b: Column, limit: float) -> Column:
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """Share of the summed lengths that needn't be edited; 1 for two empty texts."""
     both = F.length(a) + F.length(b)
-    return F.when(both == 0, 1.0).otherwise((both - F.levenshtein(a, b)) / both)
+    return F.when(both == 0, 1.0).otherwise((both - edit_distance(a, b)) / both)
 
 
 def gain_raw(before: Column, predicted: Column, observed: Column) -> Column:
     """1 - d(predicted, observed) / d(before, observed); null where nothing was changed."""
-    base = F.levenshtein(before, observed)
-    return F.when(base > 0, 1 - F.levenshtein(predicted, observed) / base)
+    base = edit_distance(before, observed)
+    return F.when(base > 0, 1 - edit_distance(predicted, observed) / base)
 
 
 def gain_bounded(before: Column, predicted: Column, observed: Column) -> Column:
     """The gain over copying within [-1, 1]; null where nothing was changed."""
-    base, left = F.levenshtein(before, observed), F.levenshtein(predicted, observed)
+    base, left = edit_distance(before, observed), edit_distance(predicted, observed)
     return F.when(base > 0, (base - left) / F.greatest(base, left))
 
 

@@ -418,6 +418,11 @@ def focus_region_udf(code: pd.Series, line: pd.Series) -> pd.Series:
     return pd.Series([None if c is None or n is None or math.isnan(n) else focus_region(c, int(n)) for c, n in zip(code, line)])
 
 
+@F.pandas_udf(T.LongType())
+def distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(_each(distance, a, b), dtype="Int64")
+
+
 @F.pandas_udf(T.DoubleType())
 def token_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_each(token_ratio, a, b), dtype="float64")

@@ -55,7 +55,7 @@ def j04_j06_code_distance(spark: SparkSession, root: str) -> DataFrame:
     """Edit distance, normalised distance and ratio of two attempts."""
     a, b = F.col("code_n"), F.col("code_n1")
     return programs(spark, root).where(a.isNotNull() & b.isNotNull()).select(
-        "candidate_id", F.levenshtein(a, b).cast("bigint").alias("distance"),
+        "candidate_id", C.edit_distance(a, b).alias("distance"),
         F.round(C.code_distance(a, b), 9).alias("code_distance"), F.round(C.levenshtein_ratio(a, b), 9).alias("ratio"),
     )
 
