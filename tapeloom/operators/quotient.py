@@ -205,9 +205,10 @@ def message_copies(rows: DataFrame, key: list[Column], received: str, copy_id: s
     `copy_id` (an integer, unique). An empty table gives no rows.
     """
     spark = rows.sparkSession
-    text = [F.coalesce(k.cast("string"), F.lit("\x00")) for k in key]
+    # a null is a sign of its own, which no text with its length before it is
+    part = lambda x: F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-"))
     laid = rows.where(key[0].isNotNull()).select(
-        F.concat_ws("\x1f", *[F.concat(F.length(x).cast("string"), F.lit(":"), x) for x in text]).cast("binary").alias("key"),
+        F.concat_ws("\x1f", *[part(k.cast("string")) for k in key]).cast("binary").alias("key"),
         F.coalesce(F.unix_micros(F.col(received).cast("timestamp")), F.lit(int(_LATE))).alias("t"),
         F.col(copy_id).cast("bigint").alias("i"),
     )

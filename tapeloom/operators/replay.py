@@ -156,13 +156,26 @@ def snapshot_candidates(attempts: DataFrame, snapshots: DataFrame, keys: list[st
     return a.join(s, [*keys, "h"], "left").groupBy(*keys, "attempt").agg(F.array_sort(F.collect_list("submit_index")).alias("candidates"))
 
 
-def monotonic_count(candidates: list[list[int]], limit: int = 2) -> int:
-    """Number of strictly increasing choices of one index from each list, at most `limit`."""
+def monotonic_counts(candidates: list[list[int]], limit: int = 2) -> list[int]:
+    """For each prefix of the lists the number of strictly increasing choices of one index from each list, at most `limit`."""
     ways: dict[int, int] = {-1: 1}
+    out = []
     for options in candidates:
-        ways = {c: min(limit, sum(n for last, n in ways.items() if last < c)) for c in options}
-        ways = {c: n for c, n in ways.items() if n}
-    return min(limit, sum(ways.values()))
+        before, k, total = sorted(ways.items()), 0, 0
+        ways = {}
+        for c in sorted(set(options)):
+            while k < len(before) and before[k][0] < c:
+                total += before[k][1]
+                k += 1
+            if total:
+                ways[c] = min(limit, total)
+        out.append(min(limit, sum(ways.values())))
+    return out
+
+
+def monotonic_count(candidates: list[list[int]], limit: int = 2) -> int:
+    """`monotonic_counts` of all lists; 1 for none."""
+    return monotonic_counts(candidates, limit)[-1] if candidates else 1
 
 
 def unique_alignment(candidates: list[list[int]]) -> list[int] | None:
@@ -190,6 +203,11 @@ def monotonic_count_udf(candidates: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else monotonic_count([list(x) for x in c]) for c in candidates], dtype="Int32")
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def monotonic_counts_udf(candidates: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else monotonic_counts([list(x) for x in c]) for c in candidates])
+
+
 def aligned(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, alignment, status) of all attempts of the keys in order: matched, no_match or ambiguous."""
     per = candidates.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("attempt", "candidates"))), lambda x: x["candidates"]).alias("c"))
@@ -199,12 +217,10 @@ def aligned(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def prefix_alignments(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_attempts, status) for every prefix of the attempts."""
-    rows = F.array_sort(F.collect_list(F.struct("attempt", "candidates")))
-    per = candidates.groupBy(*keys).agg(rows.alias("r"))
-    each = per.select(*keys, F.explode(F.sequence(F.lit(1), F.size("r"))).alias("n_attempts"), "r")
-    part = each.withColumn("c", F.transform(F.slice("r", F.lit(1), F.col("n_attempts")), lambda x: x["candidates"]))
-    n = part.withColumn("n", monotonic_count_udf("c"))
+    """(keys, n_attempts, status) for every prefix of the attempts, from one pass over them."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("attempt", "candidates"))), lambda x: x["candidates"])
+    per = candidates.groupBy(*keys).agg(rows.alias("c"))
+    n = per.select(*keys, F.posexplode(monotonic_counts_udf("c")).alias("_k", "n")).withColumn("n_attempts", F.col("_k") + 1)
     return n.select(*keys, "n_attempts", F.when(F.col("n") == 1, "matched").when(F.col("n") == 0, "no_match").otherwise("ambiguous").alias("status"))
 
 

@@ -118,3 +118,14 @@ def test_interval_stream_of_a_log_longer_than_a_batch(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted((r.interval_idx, r.n_events, r.n_changes, r.n_runs) for r in got) == [(i, 5, 3, 1) for i in range(6)]
+
+
+def test_a_null_key_is_no_text(spark):
+    from pyspark.sql import functions as F
+
+    from tapeloom.operators.quotient import message_copies
+
+    rows = [(1, "a", None, START), (2, "a", "\x00", START), (3, "a", "-", START), (4, "a", None, START), (5, "a", "", START)]
+    df = spark.createDataFrame(rows, "i bigint, k string, c string, t timestamp")
+    got = {r.i: r.is_kept for r in message_copies(df, [F.col("k"), F.col("c")], "t", "i").collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: True}
