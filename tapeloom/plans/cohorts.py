@@ -182,7 +182,7 @@ def _docs(spark: SparkSession, root: str) -> DataFrame:
    UNION ALL SELECT exercise_id, n, CAST(n * (n - 1) / 2 AS BIGINT), CASE WHEN n > 1 THEN round((SELECT coalesce(sum(s), 0) FROM pr WHERE ea = g.exercise_id AND eb = g.exercise_id) / (n * (n - 1) / 2), 7) END FROM g""")
 def d22_j53_mean_similarity(spark: SparkSession, root: str) -> DataFrame:
     """Mean TF-IDF cosine over all pairs and within exercises, without making the pairs."""
-    w = P.weights(_docs(spark, root), ["doc", "exercise_id"], "summary")
+    w = written(P.weights(_docs(spark, root), ["doc", "exercise_id"], "summary"), "weights")  # four branches read it
     every = P.mean_similarity(w, []).select(F.lit("all").alias("kind"), "n_docs", "n_pairs", "mean_similarity")
     per = P.mean_similarity(w, ["exercise_id"]).select(F.col("exercise_id").alias("kind"), "n_docs", "n_pairs", "mean_similarity")
     return every.unionByName(per).withColumn("mean_similarity", F.round("mean_similarity", 7))

@@ -9,7 +9,7 @@ from tapeloom.functions import sequences as S
 from tapeloom.operators import intervals as I
 from tapeloom.plans.inputs import EVENTS_SQL, events
 from tapeloom.plans.sqlparts import sequence_tables
-from tapeloom.shared import table
+from tapeloom.shared import table, written
 
 QUERIES = {}
 ORACLE = {}
@@ -276,7 +276,7 @@ _LIFT = f"""WITH m AS (SELECT log_id, motif FROM {_MOTIFS}), g AS (SELECT motif
 def motif_lift(spark: SparkSession, root: str) -> DataFrame:
     """Flagship: how much better a log's own commonest motif predicts its intervals than that of all logs."""
     m = I.interval_motifs(events(spark, root), ["log_id"], ORDER, "kind").select("log_id", "motif")
-    per_log = m.groupBy("log_id", "motif").agg(F.count(F.lit(1)).alias("c"))
+    per_log = written(m.groupBy("log_id", "motif").agg(F.count(F.lit(1)).alias("c")), "motifs")  # three branches read it
     per_all = per_log.groupBy("motif").agg(F.sum("c").alias("c"))
     first = per_all.orderBy(F.desc("c"), "motif").limit(1).select(F.col("motif").alias("top"))
     own = per_log.groupBy("log_id").agg(F.min_by("motif", F.struct((-F.col("c")).alias("c"), "motif")).alias("own"))
