@@ -7,6 +7,7 @@ through a fold that holds one log's buffer, never its events.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.functions.code import normalize_code
-from tapeloom.functions.diff import coarse_steps
+from tapeloom.functions.diff import Shared, coarse_steps
 from tapeloom.shared import tasks
 
 
@@ -28,8 +29,8 @@ def change_of(payload: str | None) -> dict | None:
         return None
 
 
-def apply_change(lines: list[str], change: dict | None) -> str | None:
-    """Replace a range of the buffer in place; the reason if it can't be, with the buffer as it was."""
+def why_not(lines: list[str], change: dict | None) -> str | None:
+    """Why a change can't be applied to the buffer, or None."""
     if change is None or not change["text"]:
         return "malformed_change"
     a, x, b, y = change["span"]
@@ -41,11 +42,24 @@ def apply_change(lines: list[str], change: dict | None) -> str | None:
         return "line_out_of_bounds"
     if x > len(lines[a]) or y > len(lines[b]):
         return "character_out_of_bounds"
+    return None
+
+
+def put_in(lines: list[str], change: dict) -> None:
+    """Replace a range of the buffer in place."""
+    a, x, b, y = change["span"]
     new = list(change["text"])
     new[0] = lines[a][:x] + new[0]
     new[-1] += lines[b][y:]
     lines[a : b + 1] = new
-    return None
+
+
+def apply_change(lines: list[str], change: dict | None) -> str | None:
+    """Replace a range of the buffer in place; the reason if it can't be, with the buffer as it was."""
+    why = why_not(lines, change)
+    if why is None:
+        put_in(lines, change)
+    return why
 
 
 def removed_text(lines: list[str], span: tuple[int, int, int, int]) -> str:
@@ -61,89 +75,183 @@ _BLOCK = (
     "first_line int, first_reason string, chars_in bigint, chars_out bigint, submit_ts timestamp, "
     "steps array<struct<action string, start int, end int>>, steps_reason string"
 )
+#: Characters of programs after which the rows made so far are handed over.
+FRAME_CHARS = 4_000_000
 
 
 class _Log:
-    def __init__(self, log_id: int, seed: str):
-        self.id, self.seed, self.lines, self.submits, self.begun = log_id, seed, [""], 0, False
+    """One log's buffer and its open block. The programs of a block differ only between the first `pre` and the last `suf` lines,
+    which no change of it has touched: anchors hold what stands between them, and a change costs no more than the lines it touches."""
+
+    def __init__(self, log_id: int, seed: str, programs: bool = True, paths: bool = True):
+        self.id, self.seed, self.programs, self.paths = log_id, seed, programs, paths
+        self.lines, self.submits, self.begun, self.code = [""], 0, False, ""
+        self.odd = False  # whether a line of the buffer holds a line end, as changes may put in
+        self.times = Counter(self.lines)
         self.open_block()
 
     def open_block(self) -> None:
-        self.start = "\n".join(self.lines)
+        self.start = self.code
         self.changes = self.runs = self.rejected = self.put = self.cut = 0
         self.edited, self.anchors, self.first_line, self.reason = False, [], None, None
+        self.pre = self.suf = None
+        self.first: list[str] = []  # the start between pre and suf
+        self.whole = self.odd or not self.begun and bool(self.seed)  # whether anchors hold their whole program
+
+    def text(self) -> str:
+        return "\n".join(self.lines)
+
+    def seeded(self) -> None:
+        self.begun = True
+        self.lines = self.seed.split("\n")
+        self.start, self.times = self.seed, Counter(self.lines)
+
+    def as_whole(self) -> None:
+        """From here on anchors hold whole programs, those already there too."""
+        if not self.whole:
+            head, tail = self.around()
+            full = lambda mid: "\n".join([*head, *mid, *tail])
+            self.anchors = [(kind, full(mid), edited) for kind, mid, edited in self.anchors]
+            self.start = full(self.first)
+        self.whole = True
+
+    def around(self) -> tuple[list[str], list[str]]:
+        if self.pre is None:
+            return self.lines, []
+        return self.lines[: self.pre], self.lines[len(self.lines) - self.suf :]
+
+    def touch(self, a: int, b: int) -> None:
+        """Lines a to b are about to change: what stands between pre and suf grows to them in all programs of the block."""
+        last = len(self.lines) - 1
+        if self.pre is None:
+            self.pre, self.suf, mid = a, last - b, self.lines[a : b + 1]
+            self.first = mid
+            self.anchors = [(kind, mid, edited) for kind, _, edited in self.anchors]
+            return
+        head = self.lines[a : self.pre]
+        tail = self.lines[len(self.lines) - self.suf : b + 1]
+        if head or tail:
+            self.first = [*head, *self.first, *tail]
+            self.anchors = [(kind, [*head, *mid, *tail], edited) for kind, mid, edited in self.anchors]
+            self.pre, self.suf = min(self.pre, a), min(self.suf, last - b)
 
     def take(self, kind: str, payload: str | None, ts) -> tuple | None:
         if kind == "change":
             change = change_of(payload)
             if not self.begun:
                 # a first change at the very start means an empty buffer
-                self.begun = True
                 if self.seed and (change is None or change["span"] != (0, 0, 0, 0)):
-                    self.lines = self.seed.split("\n")
-                    self.start = self.seed
-            gone = ""
-            if change is not None and change["span"][2] < len(self.lines):
-                gone = removed_text(self.lines, change["span"])
-            why = apply_change(self.lines, change)
+                    self.seeded()
+                self.begun = True
+            why = why_not(self.lines, change)
             if why:
                 self.rejected += 1
                 self.reason = self.reason or why
                 return None
+            a, _, b, _ = change["span"]
+            text = change["text"]
+            if self.paths:
+                if not self.odd and any("\n" in t for t in text):
+                    self.as_whole()
+                    self.odd = True
+                if not self.whole:
+                    self.touch(a, b)
+                self.times.subtract(self.lines[a : b + 1])
+            self.cut += len(removed_text(self.lines, change["span"]))
+            put_in(self.lines, change)
+            if self.paths:
+                self.times.update(self.lines[a : a + len(text)])
             self.changes += 1
             self.edited = True
-            self.first_line = change["span"][0] if self.first_line is None else self.first_line
-            self.put += len("\n".join(change["text"]))
-            self.cut += len(gone)
+            self.first_line = a if self.first_line is None else self.first_line
+            self.put += sum(map(len, text)) + len(text) - 1
         elif kind in ("saida_testar", "submit"):
             if not self.begun and kind == "submit":
-                self.begun = True
-                self.lines = self.seed.split("\n")
-                self.start = self.seed
-            code = "\n".join(self.lines)
-            self.anchors.append((kind, code, self.edited))
+                self.seeded()
+            if self.paths:
+                mid = self.text() if self.whole else self.lines[self.pre : len(self.lines) - self.suf] if self.pre is not None else []
+                self.anchors.append((kind, mid, self.edited))
             self.edited = False
             self.runs += kind == "saida_testar"
             if kind == "submit":
-                steps, why = coarse_steps(self.start, self.anchors)
-                row = (self.id, self.submits, self.start, code, self.changes, self.runs, self.rejected, self.first_line, self.reason, self.put, self.cut, ts, steps, why)
-                self.submits += 1
-                self.open_block()
-                return row
+                return self.close(ts)
         return None
 
-
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in _BLOCK.split(", ") if not c.startswith(("start int", "end int"))]
-    log: _Log | None = None
-    for batch in batches:
-        out = []
-        for log_id, kind, payload, ts, seed in zip(batch["log_id"], batch["kind"], batch["payload"], batch["ts"], batch["seed"]):
-            if log is None or log.id != log_id:
-                log = _Log(log_id, seed or "")
-            row = log.take(kind, payload, ts)
-            if row:
-                out.append(row)
-        if out:
-            frame = pd.DataFrame(out, columns=names)
-            for c in ("first_line",):
-                frame[c] = frame[c].astype("Int32")
-            yield frame
-
-
-def replayed_blocks(events: DataFrame, order: list[str], seed: Column | None = None) -> DataFrame:
+    def close(self, ts) -> tuple:
+        steps, why = None, None
+        if self.paths:
+            steps, why = coarse_steps(self.start, self.anchors) if self.whole else self.steps()
+        if self.programs or self.odd:
+            self.code = self.text()
+        code = (self.start, self.code) if self.programs else ()
+        row = (self.id, self.submits, *code, self.changes, self.runs, self.rejected, self.first_line, self.reason, self.put, self.cut, ts, *((steps, why) if self.paths else ()))
+        if len(self.times) > 2 * len(self.lines) + 1_000:
+            self.times = +self.times  # lines that are gone
+        self.submits += 1
+        self.open_block()
+        return row
+
+    def steps(self) -> tuple[list[dict], str | None]:
+        """`coarse_steps` of the block from what its programs don't share."""
+        shared = Shared(self.lines, len(self.lines) if self.pre is None else self.pre, self.suf or 0, self.times)
+        now, out, final = self.first, [], self.anchors[-1][1]
+        for kind, mid, edited in self.anchors:
+            if edited:
+                span = shared.changed_span(now, mid)
+                if span is None:
+                    return [], "no_net_change"
+                span = shared.projected_span(mid, final, span)
+                if span is None:
+                    return [], "edit_not_in_final_code"
+                out.append({"action": "edit", "start": span[0], "end": span[1]})
+            out.append({"action": "submit" if kind == "submit" else "local_run", "start": None, "end": None})
+            now = mid
+        return out, None
+
+
+def _fold(names: list[str], programs: bool, paths: bool):
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log: _Log | None = None
+        for batch in batches:
+            out, held = [], 0
+            for log_id, kind, payload, ts, seed in zip(batch["log_id"], batch["kind"], batch["payload"], batch["ts"], batch["seed"]):
+                if log is None or log.id != log_id:
+                    log = _Log(log_id, seed or "", programs, paths)
+                row = log.take(kind, payload, ts)
+                if row:
+                    out.append(row)
+                    held += len(row[2]) + len(row[3]) if programs else 0
+                    if held > FRAME_CHARS:  # programs of a long log are large: few of them are held at a time
+                        yield _frame(out, names)
+                        out, held = [], 0
+            if out:
+                yield _frame(out, names)
+
+    return fold
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=names)
+    frame["first_line"] = frame["first_line"].astype("Int32")
+    return frame
+
+
+def replayed_blocks(events: DataFrame, order: list[str], seed: Column | None = None, programs: bool = True, paths: bool = True) -> DataFrame:
     """One row per submit-bounded block: programs before and after, counts, and the path of its coarse steps.
 
     `events` has log_id, kind, payload, ts and the columns of `order`. A change that can't be applied leaves the
     buffer as it is and counts in n_rejected with the first reason. `seed` is the program a log starts from where
-    its first change isn't at the very start. Events after the last submit give no row.
+    its first change isn't at the very start. Events after the last submit give no row. All changes are replayed whatever
+    is asked for; without `programs` there are no columns start_code and code, without `paths` no steps and steps_reason.
     """
     rows = events.where("log_id IS NOT NULL").select(
         "log_id", "kind", "payload", F.col("ts").cast("timestamp").alias("ts"), *[c for c in order if c not in ("log_id", "kind", "payload", "ts")],
         (seed if seed is not None else F.lit("")).alias("seed"),
     )
-    laid = rows.repartition(tasks(events.sparkSession), "log_id").sortWithinPartitions("log_id", *order)
-    return laid.mapInPandas(_fold, _BLOCK)
+    laid = rows.where(F.col("kind").isin("change", "saida_testar", "submit")).repartition(tasks(events.sparkSession), "log_id").sortWithinPartitions("log_id", *order)
+    left_out = {*(() if programs else ("start_code", "code")), *(() if paths else ("steps", "steps_reason"))}
+    fields = [f for f in T._parse_datatype_string(_BLOCK).fields if f.name not in left_out]
+    return laid.select("log_id", "kind", "payload", "ts", "seed").mapInPandas(_fold([f.name for f in fields], programs, paths), T.StructType(fields))
 
 
 def snapshot_candidates(attempts: DataFrame, snapshots: DataFrame, keys: list[str], mode: str = "narrow") -> DataFrame:

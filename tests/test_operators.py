@@ -1,6 +1,7 @@
 import math
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,56 @@ def test_replay_and_removed_text(spark):
     assert R.replayed_blocks(df.limit(0), ["n"]).count() == 0
 
 
+def _random_log(rng, n):
+    import json
+
+    for _ in range(n):
+        if rng.random() < 0.25:
+            yield rng.choice(["saida_testar", "submit"]), None
+            continue
+        a, x = rng.choice([rng.randint(0, 3), rng.randint(0, 90)]), rng.randint(0, 2)
+        b, y = a + rng.choice([0, 0, 2]), x + rng.choice([0, 0, 2])
+        text = rng.choice([[""], ["a"], ["b", ""], ["", ""], ["c\nd"] if rng.random() < 0.05 else ["e"], [f"w{rng.randint(0, 999)}" for _ in range(30)]])
+        yield "change", json.dumps({"from": {"line": a, "ch": x}, "to": {"line": b, "ch": y}, "text": text})
+
+
+def test_paths_from_touched_lines_are_those_of_whole_programs():
+    """f02_replay_counts, k03_path_contract: with no program joined or compared as a whole."""
+    import random
+
+    from tapeloom.functions.diff import coarse_steps
+
+    rng, joined = random.Random(3), 0
+    for seed in ["", "", "a\nb", "\n".join(f"s{k}" for k in range(60))] * 20:
+        logs = [R._Log(1, seed), R._Log(1, seed, programs=False), R._Log(1, seed, programs=False, paths=False)]
+        anchors, edited = [], False
+        for kind, payload in _random_log(rng, 150):
+            done = logs[0].changes
+            rows = [log.take(kind, payload, None) for log in logs]
+            edited |= kind == "change" and logs[0].changes > done
+            if kind != "change":
+                anchors.append((kind, "\n".join(logs[0].lines), edited))
+                edited = False
+            if rows[0]:
+                assert rows[0][12:] == coarse_steps(rows[0][2], anchors) and rows[1] == rows[0][:2] + rows[0][4:] and rows[2] == rows[1][:-2]
+                anchors = []
+                joined += logs[1].code != ""
+    assert joined < 80 * 20
+
+
+def test_rows_of_large_programs_are_handed_over_early():
+    """f01_f05_replay: never more than a few large programs at once."""
+    import json
+
+    big = "x" * (R.FRAME_CHARS // 4)
+    change = json.dumps({"from": {"line": 0, "ch": 0}, "to": {"line": 0, "ch": 0}, "text": [big]})
+    rows = [(1, "change", change, None, "")] + [(1, "submit", None, None, "")] * 12
+    names = [f.split()[0] for f in R._BLOCK.split(", ") if not f.startswith(("start int", "end int"))]
+    frames = list(R._fold(names, True, True)([pd.DataFrame(rows, columns=["log_id", "kind", "payload", "ts", "seed"])]))
+    assert sum(map(len, frames)) == 12 and max(map(len, frames)) <= 3
+    assert [n for f in frames for n in f["submit_index"]] == list(range(12))
+
+
 def test_monotone_alignments():
     assert R.monotonic_count([[0, 1], [1]]) == 1 and R.unique_alignment([[0, 1], [1]]) == [0, 1]
     assert R.monotonic_count([[0, 1], [2]]) == 2 and R.unique_alignment([[0, 1], [2]]) is None
