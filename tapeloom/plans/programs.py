@@ -96,7 +96,7 @@ def f02_replay_counts(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def k03_path_contract(spark: SparkSession, root: str) -> DataFrame:
     """Contract of observed paths."""
-    b = R.replayed_blocks(events(spark, root), ORDER)
+    b = R.replayed_blocks(events(spark, root), ORDER, programs=False)
     return b.select("log_id", "submit_index", "steps_reason", step_problem(F.col("steps"), None, None).alias("problem"))
 
 
