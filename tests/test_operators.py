@@ -168,6 +168,16 @@ def test_replay_and_removed_text(spark):
     assert R.replayed_blocks(df.limit(0), ["n"]).count() == 0
 
 
+def test_bootstrap_plan_does_not_grow_with_the_clusters(spark):
+    """i10_i13_paired_bootstrap"""
+    from tapeloom.operators import inference as N
+
+    sums = spark.range(5_000).select(F.col("id").alias("g"), F.col("id").cast("double").alias("sl"), F.lit(1).alias("nl"), F.lit(0.0).alias("sr"), F.lit(1).alias("nr"))
+    boot = N.bootstrap_means(sums, ["g"], 3, 42)
+    assert len(boot._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert boot.count() == 3
+
+
 def _random_log(rng, n):
     import json
 
