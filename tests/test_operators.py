@@ -178,6 +178,28 @@ def test_bootstrap_plan_does_not_grow_with_the_clusters(spark):
     assert boot.count() == 3
 
 
+def test_texts_of_a_scope_are_compared_in_tiles(spark, monkeypatch):
+    """d06_d07_threshold_sweep, g27_g45_scope_distances: all pairs once, over several tiles, with no join that makes them."""
+    import random
+
+    from tapeloom.functions.diff import distance
+    from tapeloom.operators import peers as P
+
+    monkeypatch.setattr(P, "FIRST", 4)
+    monkeypatch.setattr(P, "SECOND", 8)
+    rng = random.Random(2)
+    text = lambda: "".join(rng.choice("ab\n\u00e9\U0001f600") for _ in range(rng.choice([0, 1, 9, 70])))
+    rows = [(k, rng.choice(["s", "t", None]), rng.choice(["x", "y", "z", "u", None]), rng.choice([text(), text(), None])) for k in range(90)]
+    df = spark.createDataFrame(rows, "id bigint, scope string, actor string, code string")
+    wanted = {(s, i, j): distance(x, y) / (len(x) + len(y)) if x or y else 0.0 for i, s, a, x in rows for j, q, b, y in rows if i < j and s and s == q and a and b and a != b and x is not None and y is not None}
+    far = P.text_distances(df, ["scope"], "actor", "id", "code")
+    got = far.collect()
+    assert "Join" not in far._jdf.queryExecution().optimizedPlan().toString()
+    assert len(got) == len(wanted) and {(r.scope, r.a, r.b): r.distance for r in got} == wanted
+    sweep = {r.tau: (r.n_pairs, r.n_rows) for r in P.threshold_sweep(far, "distance", (0.0, 0.3, 1.0)).collect()}
+    assert sweep == {t: (sum(d <= t for d in wanted.values()), len({k for p, d in wanted.items() if d <= t for k in p[1:]})) for t in (0.0, 0.3, 1.0)}
+
+
 def _random_log(rng, n):
     import json
 
