@@ -200,6 +200,57 @@ def test_texts_of_a_scope_are_compared_in_tiles(spark, monkeypatch):
     assert sweep == {t: (sum(d <= t for d in wanted.values()), len({k for p, d in wanted.items() if d <= t for k in p[1:]})) for t in (0.0, 0.3, 1.0)}
 
 
+def _random_texts(rng, n):
+    common, rare = ["the", "a", "loop", "n\u00e3o", "x1"], [f"w{k}" for k in range(3 * n)]
+    text = lambda: " ".join(rng.choice(common if rng.random() < 0.5 else rare) for _ in range(rng.choice([1, 4, 12])))
+    rows = [(f"d{k}", rng.choice(["f", "n", None]), rng.choice([text(), text(), text(), "the loop", " . ", None])) for k in range(n)]
+    return [*rows, ("one", "alone", "the loop")]
+
+
+def _pairs_by_hand(spark, df, asked):
+    from tapeloom.operators import prose as P
+
+    w = {}
+    for r in P.weights(df, ["doc"], "text").collect():
+        w.setdefault(r.doc, {})[r.token] = r.w
+    return {(q, d): sum(x * w[d][t] for t, x in w[q].items() if t in w[d]) for q in w for d in w if asked(q) and q != d and w[q].keys() & w[d].keys()}
+
+
+def test_similarities_of_queries_come_from_tiles(spark, monkeypatch):
+    """j55_similarity_to_queries: each pair once, over several tiles; words aren't joined with words."""
+    import random
+
+    from tapeloom.operators import prose as P
+
+    monkeypatch.setattr(P, "TILE", 20)
+    df = spark.createDataFrame(_random_texts(random.Random(3), 120), "doc string, c string, text string")
+    lists = P.word_lists(df, [], "doc", "text")
+    met = P.similarity_to(lists.where("doc LIKE '%1%'"), lists)
+    wanted = _pairs_by_hand(spark, df, lambda q: "1" in q)
+    got = met.collect()
+    assert "token" not in met._jdf.queryExecution().optimizedPlan().toString() and "Aggregate [query" not in met._jdf.queryExecution().optimizedPlan().toString()
+    assert len(got) == len(wanted) and {(r["query"], r.doc): r.similarity for r in got} == pytest.approx(wanted, abs=1e-12)
+    assert P.similarity_to(lists.where("false"), lists).count() == 0
+
+
+def test_a_tile_of_many_queries_is_cut(spark, monkeypatch):
+    """j55_similarity_to_queries, m62_similarity_deltas: some queries at a time, fewer where their words are many."""
+    import numpy as np
+    import pyarrow as pa
+    from tapeloom.operators import prose as P
+
+    rng = np.random.default_rng(4)
+    words = [sorted(rng.choice(30, rng.integers(0, 9), replace=False).tolist()) for _ in range(40)]
+    rows = pa.table({"doc": [f"d{k:02d}" for k in range(40)] * 2, "words": pa.array(words * 2, pa.list_(pa.int64())), "weights": pa.array([[1.0 + x for x in w] for w in words] * 2, pa.list_(pa.float64())), "query": [False] * 40 + [True] * 40})
+    wanted = np.array([[0 if i == j else sum((1.0 + x) ** 2 for x in set(a) & set(b)) for j, b in enumerate(words)] for i, a in enumerate(words)])
+    for width, table in ((256, 1 << 26), (7, 1 << 26), (256, 2_000)):
+        monkeypatch.setattr(P, "WIDTH", width)
+        monkeypatch.setattr(P, "TABLE", table)
+        parts = list(P._similarities(rows))
+        assert np.allclose(np.hstack([out for _, out in parts]), wanted)
+        assert (len(parts) > 1) == ((width, table) != (256, 1 << 26))
+
+
 def _random_log(rng, n):
     import json
 
