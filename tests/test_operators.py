@@ -251,6 +251,27 @@ def test_a_tile_of_many_queries_is_cut(spark, monkeypatch):
         assert (len(parts) > 1) == ((width, table) != (256, 1 << 26))
 
 
+def test_statistics_of_similarities_without_their_rows(spark, monkeypatch):
+    """m62_similarity_deltas: exact median, mean and spread of each group; what is shuffled doesn't grow with the pairs."""
+    import random
+
+    import numpy as np
+    from tapeloom.operators import prose as P
+
+    monkeypatch.setattr(P, "TILE", 7)
+    rows = _random_texts(random.Random(5), 150)
+    df = spark.createDataFrame(rows, "doc string, c string, text string")
+    lists = P.word_lists(df, ["c"], "doc", "text")
+    kind = {d: c for d, c, _ in rows}
+    pairs = _pairs_by_hand(spark, df, lambda q: "1" in q)
+    got = {r.c: r for r in P.similarity_statistics(lists.where("doc LIKE '%1%'"), lists, ["c"]).collect()}
+    assert set(got) == {"f", "n"}
+    for c, r in got.items():
+        s = np.array([v for (q, d), v in pairs.items() if kind[q] == kind[d] == c])
+        assert r.n == len(s) and (r["mean"], r["median"], r["sd"]) == pytest.approx((s.mean(), np.median(s), s.std()), abs=1e-12)
+    assert P.similarity_statistics(lists.where("false"), lists, ["c"]).count() == 0
+
+
 def _random_log(rng, n):
     import json
 
