@@ -66,3 +66,46 @@ class Batch:
     def _counted(self, words: np.ndarray) -> np.ndarray:
         ones = np.unpackbits((words & self.inside).view(np.uint8), axis=1, bitorder="little")
         return ones.sum(axis=0, dtype=np.int64)[: self.n_texts]
+
+
+class Joined:
+    """Texts end to end in long integers, for `to`: a bit for each sign and one behind each text, in which its carry ends.
+    All signs of a bit count, however few or many the texts; for hundreds of texts `Batch` is as fast."""
+
+    def __init__(self, texts: list[str]):
+        self.length = [len(t) for t in texts]
+        self.at = [1]  # the bit before the first text begins its column, as the one behind a text does for the next
+        for n in self.length:
+            self.at.append(self.at[-1] + n + 1)
+        size = self.at[-1] // 8 + 1
+        spots: dict[str, bytearray] = {}
+        for t, at in zip(texts, self.at):
+            for k, c in enumerate(t, at):
+                if c not in spots:
+                    spots[c] = bytearray(size)
+                spots[c][k >> 3] |= 1 << (k & 7)
+        self.where = {c: int.from_bytes(b, "little") for c, b in spots.items()}
+        self.behind = 0
+        for at in self.at:
+            self.behind |= 1 << (at - 1)
+
+    def to(self, text: str, first: int, last: int) -> list[int]:
+        """The edit distance of `text` to each text from `first` to `last`, the latter left out: a column of the table at a
+        time, as two bit vectors of the places where it rises and falls."""
+        low, size = self.at[first] - 1, self.at[last] - self.at[first] + 1
+        ones = (1 << size) - 1
+        full = ones ^ self.behind >> low & ones
+        where = {c: self.where.get(c, 0) >> low & full for c in set(text)}
+        rise, fall = full, 0
+        for c in text:
+            same = where[c] | fall
+            diagonal = ((same & rise) + rise ^ rise | same) & full
+            up = (fall | (diagonal | rise) ^ ones) << 1
+            down = (rise & diagonal) << 1
+            rise = ((diagonal | up) ^ ones | down) & full
+            fall = up & diagonal
+        out = []
+        for n, at in zip(self.length[first:last], self.at[first:last]):
+            own = (1 << n) - 1
+            out.append(len(text) + (rise >> at - low & own).bit_count() - (fall >> at - low & own).bit_count())
+        return out

@@ -10,13 +10,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.code import code_distance, pass_signature
+from tapeloom.functions.code import pass_signature
 from tapeloom.operators import contracts as K
 from tapeloom.operators import inference as N
 from tapeloom.operators import peers as P
 from tapeloom.operators import selection as L
 from tapeloom.operators.views import log_loss
-from tapeloom.shared import beside
+from tapeloom.shared import beside, written
 
 
 def union_disjoint(parts: Sequence[DataFrame], key: str) -> DataFrame:
@@ -116,22 +116,34 @@ def draw_sensitivity(study: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def run_report(
-    rows: DataFrame, scope: list[str], actor: str, row_id: str, score: Column, taus: Sequence[float] = P.TAUS, own: str = "own"
+    rows: DataFrame, scope: list[str], actor: str, row_id: str, score: Column, taus: Sequence[float] = P.TAUS, own: str = "own", within: list[str] | None = None
 ) -> DataFrame:
     """(tau, n_pairs, n_scopes, mean_self, mean_other, mean_delta, auc) of directed peers with equal result vectors: all
     of them (tau null), and those whose programs are within each tau.
 
     `rows` has vector, code and `own`, the score of a row's prediction on its own outcome; `score` is that of A's on B's,
-    an expression on the columns with suffix _a and _b. Each pair is made, scored and measured once, for all taus.
+    an expression on the other columns with suffix _a and _b. Each pair is made and scored once, for all taus. Two
+    different programs with one vector are measured once for all scopes alike in `within`, some columns of `scope` (else
+    all of them), whatever rows hold them and in whichever direction; the pairs hold numbers of programs, not programs.
     """
-    keyed = rows.withColumn("sig", pass_signature(F.col("vector")))
-    take = [c for c in rows.columns if c not in (*scope, actor, row_id)]
-    pairs = P.peer_pairs(keyed, scope, "sig", actor, row_id, take).withColumn("other", score)
-    pairs = pairs.withColumn("distance", code_distance(F.col("code_a"), F.col("code_b")))
+    within = scope if within is None else within
+    keyed = rows.withColumn("sig", pass_signature(F.col("vector"))).where("sig IS NOT NULL")
+    take = [c for c in rows.columns if c not in (*scope, actor, row_id, "code", "vector")]
+    held = F.struct(*dict.fromkeys([*[c for c in scope if c not in within], actor, row_id, *take]))
+    per = keyed.groupBy(*within, "sig", "code").agg(F.collect_list(held).alias("_rows")).withColumn("_text", F.monotonically_increasing_id())
+    per = written(per, "texts")  # numbers are given once
+    texts = per.select(*within, "sig", "_text", "code")
+    far = P.text_distances(texts.withColumn("_own", F.col("_text")), [*within, "sig"], "_own", "_text", "code", max(taus, default=0.0))
+    text = F.when(F.col("code").isNotNull(), F.col("_text")).alias("_text")
+    light = per.select(*within, "sig", text, F.explode("_rows").alias("_r")).select(*within, "sig", "_text", "_r.*")
+    pairs = P.peer_pairs(light, scope, "sig", actor, row_id, [*take, "_text"]).withColumn("other", score)
+    live = pairs.where(F.col(f"{own}_a").isNotNull() & F.col("other").isNotNull()).withColumn("delta", F.col(f"{own}_a") - F.col("other"))
+    x, y = F.col("_text_a"), F.col("_text_b")
+    live = live.select(*scope, F.col(f"{own}_a"), "other", "delta", (x == y).alias("same"), F.when(x.isNotNull() & y.isNotNull(), F.least(x, y)).alias("a"), F.greatest(x, y).alias("b"))
+    measured = live.join(far.select("a", "b", "distance"), ["a", "b"], "left").withColumn("distance", F.when(F.col("same"), 0.0).otherwise(F.col("distance")))
     grid = F.array(F.lit(None).cast("double"), *[F.lit(float(t)) for t in taus])
-    each = pairs.withColumn("tau", F.explode(F.filter(grid, lambda t: t.isNull() | (F.col("distance") <= t))))
-    live = each.where(F.col(f"{own}_a").isNotNull() & F.col("other").isNotNull()).withColumn("delta", F.col(f"{own}_a") - F.col("other"))
-    return live.groupBy("tau").agg(
+    each = measured.withColumn("tau", F.explode(F.filter(grid, lambda t: t.isNull() | (F.col("distance") <= t))))
+    return each.groupBy("tau").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.count_distinct(*scope).alias("n_scopes"), F.avg(f"{own}_a").alias("mean_self"),
         F.avg("other").alias("mean_other"), F.avg("delta").alias("mean_delta"),
         ((F.count_if(F.col("delta") > 0) + 0.5 * F.count_if(F.col("delta") == 0)) / F.count(F.lit(1))).alias("auc"),

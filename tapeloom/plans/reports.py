@@ -140,7 +140,7 @@ def run_report(spark: SparkSession, root: str) -> DataFrame:
     s = scored(spark, root).join(p, "custom_id").withColumn("row", F.concat_ws("/", "custom_id", "run_condition"))
     rows = s.select("scope", "run_condition", "student_id", "row", "code", F.col("attempt_n_pass_fail_vector").alias("vector"), F.col("top_1_score").alias("own"), "expected_score")
     score = 1 - F.abs(F.col("expected_score_a") - F.col("expected_score_b"))
-    r = R.run_report(rows, ["scope", "run_condition"], "student_id", "row", score, (0.3, 0.45, 0.5))
+    r = R.run_report(rows, ["scope", "run_condition"], "student_id", "row", score, (0.3, 0.45, 0.5), within=["scope"])
     return r.select("tau", "n_pairs", "n_scopes", *[F.round(c, 9).alias(c) for c in ("mean_self", "mean_other", "mean_delta", "auc")])
 
 

@@ -272,6 +272,54 @@ def test_statistics_of_similarities_without_their_rows(spark, monkeypatch):
     assert P.similarity_statistics(lists.where("false"), lists, ["c"]).count() == 0
 
 
+def test_joined_texts_are_compared_as_one_by_one():
+    """run_report: edit distances to some texts of many that stand in one long integer, empty and repeated ones too."""
+    import random
+
+    from tapeloom.functions.diff import distance
+    from tapeloom.functions.distances import Joined
+
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choice("ab\n\u00e9\U0001f600") for _ in range(rng.choice([0, 1, 3, 29, 30, 31, 70])))
+    for _ in range(100):
+        others, own = [text() for _ in range(rng.choice([1, 2, 9, 30]))], text()
+        low = rng.randrange(len(others))
+        high = rng.randint(low + 1, len(others))
+        assert Joined(others).to(own, low, high) == [distance(own, t) for t in others[low:high]]
+
+
+def test_run_report_measures_programs_once(spark, monkeypatch):
+    """run_report: rows that share a program, null and empty ones, null scores; pairs hold no program."""
+    import random
+
+    from tapeloom.functions.diff import distance
+    from tapeloom.operators import peers as P
+    from tapeloom.operators import reports as R
+
+    calls = []
+    whole = P.text_distances
+    monkeypatch.setattr(P, "text_distances", lambda *a: calls.append(whole(*a)) or calls[-1])
+    monkeypatch.setattr(P, "FIRST", 4)
+    monkeypatch.setattr(P, "SECOND", 8)
+    rng = random.Random(7)
+    texts = ["", *["".join(rng.choice("abc\n") for _ in range(rng.choice([5, 9, 40]))) for _ in range(14)]]
+    rows = [(k, rng.choice("st"), rng.choice(["f", "n"]), rng.choice(["x", "y", "z", "u", None]), rng.choice([*texts, None]), rng.choice([[True], [False], None]), rng.choice([0.2, 0.5, None]), rng.choice([0.1, 0.5, 0.9])) for k in range(150)]
+    df = spark.createDataFrame(rows, "row bigint, scope string, c string, actor string, code string, vector array<boolean>, own double, e double")
+    score = 1 - F.abs(F.col("e_a") - F.col("e_b"))
+    far = lambda x, y: distance(x, y) / (len(x) + len(y)) if x or y else 0.0
+    met = [(a, b) for a in rows for b in rows if a[1:3] == b[1:3] and None not in (a[3], b[3], a[5], a[6]) and a[5] == b[5] and a[3] != b[3]]
+    for within in (["scope"], None):
+        got = {r.tau: r for r in R.run_report(df, ["scope", "c"], "actor", "row", score, (0.0, 0.3, 0.45), within=within).collect()}
+        assert set(got) == {None, 0.0, 0.3, 0.45}
+        for tau, r in got.items():
+            near = [(a, b) for a, b in met if tau is None or None not in (a[4], b[4]) and far(a[4], b[4]) <= tau]
+            delta = [a[6] - (1 - abs(a[7] - b[7])) for a, b in near]
+            assert (r.n_pairs, r.n_scopes) == (len(near), len({a[1:3] for a, _ in near}))
+            assert (r.mean_delta, r.auc) == pytest.approx((sum(delta) / len(near), sum((d > 0) + 0.5 * (d == 0) for d in delta) / len(near)))
+    once = {(s, tuple(v), c) for _, s, _, _, c, v, _, _ in rows if c is not None and v is not None}
+    assert calls[0].count() <= sum(1 for a in once for b in once if a < b and a[:2] == b[:2])
+
+
 def _random_log(rng, n):
     import json
 
